@@ -91,7 +91,10 @@ def title_case(c: Column) -> Column:
 
 
 def _capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
+    first = F.upper(F.substring(word, 1, 1))
+    # one letter may grow to two (``ß`` -> ``Ss``): only the first of them is upper case
+    grown = F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, F.lit(2), F.length(first))))
+    return F.concat(grown, F.substring(word, F.lit(2), F.length(word)))
 
 
 def sentence_case(c: Column) -> Column:

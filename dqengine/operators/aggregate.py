@@ -85,11 +85,10 @@ def chart_data(df: DataFrame, x: str, y: str | None = None, kind: str = "bar", b
         return df.groupBy(F.date_trunc(unit, F.col(x)).cast("timestamp_ntz").alias("x")).agg(_height(df, y).alias("y"))
     if kind == "histogram":
         v = st.present(df, x).cast("double")
-        ends = st.moments(df, [x])
-        low, high = ends["min_0"], ends["max_0"]
+        low, high = F.col("__ends")["min_0"], F.col("__ends")["max_0"]
         place = F.least(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * bins), F.lit(bins - 1).cast("bigint"))
         return (
-            df.filter(v.isNotNull())
+            st.attach(df.filter(v.isNotNull()), st.moments(df, [x]), "__ends")
             .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("x"))
             .agg(_height(df, y).alias("y"))
         )

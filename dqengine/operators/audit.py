@@ -180,7 +180,7 @@ def _single_pass(df: DataFrame, want: set[str], rules: Sequence[Rule], relations
         detail = F.concat(rows.cast("string"), F.lit(f" rows x {len(df.columns)} columns"))
         cells.append(_row("shape", F.lit(None), rows, F.lit(0), detail))
     numbers = [c for c in df.columns if st.is_number(df, c)]
-    bounds = numeric.fences(df, numbers) if "outliers" in want and numbers else {}
+    marked = numeric.with_fences(df, numbers) if "outliers" in want and numbers else df
     for name in df.columns:
         v, label = st.present(df, name), F.lit(name)
         text, number = st.is_text(df, name), name in numbers
@@ -197,7 +197,9 @@ def _single_pass(df: DataFrame, want: set[str], rules: Sequence[Rule], relations
             cells.append(_row("implicit_nulls", label, rows, hit))
         if number and "outliers" in want:
             x = v.cast("double")
-            hit = measure(F.count_if((x < bounds[name][0]) | (x > bounds[name][1])))
+            i = numbers.index(name)
+            low, high = F.col("__fences")[f"lo_{i}"], F.col("__fences")[f"hi_{i}"]
+            hit = measure(F.count_if((x < low) | (x > high)))
             cells.append(_row("outliers", label, rows, hit))
         if not text:
             continue
@@ -233,7 +235,7 @@ def _single_pass(df: DataFrame, want: set[str], rules: Sequence[Rule], relations
         if check in want:
             broken = measure(F.count_if(~F.expr(r.condition)))
             cells.append(_row(check, F.lit(r.name), rows, broken, F.lit(r.condition)))
-    one = df.agg(*aggs)
+    one = marked.agg(*aggs)
     if not cells:
         return df.sparkSession.createDataFrame([], SCHEMA)
     return _rows(one, cells)

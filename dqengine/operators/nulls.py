@@ -87,27 +87,34 @@ def fill_statistics(
     kinds = {k: [c for c, s in strategies.items() if s == k] for k in STATISTICS}
     if unknown := set(strategies.values()) - set(STATISTICS):
         raise ValueError(f"no statistic named {sorted(unknown)}")
-    whole = _whole_statistics(df, kinds, approx)
-    if not by:
-        return df.withColumns({c: F.coalesce(st.present(df, c), whole[c]) for c in strategies})
-    joined = join_stats(df, _group_statistics(df, kinds, list(by), approx), by)
-    filled = joined.withColumns(
-        {c: F.coalesce(st.present(df, c), F.col(st.quoted(f"__g_{c}")), whole[c]) for c in strategies}
-    )
-    return filled.drop(*[f"__g_{c}" for c in strategies])
-
-
-def _whole_statistics(df: DataFrame, kinds: Mapping[str, list[str]], approx: bool) -> dict[str, Column]:
+    marked, whole = _whole_statistics(df, kinds, approx)
+    if by:
+        marked = join_stats(marked, _group_statistics(df, kinds, list(by), approx), by)
+    filled = {}
+    for c in strategies:
+        group = [F.col(st.quoted(f"__g_{c}"))] if by else []
+        filled[c] = F.coalesce(st.present(df, c), *group, whole[c])
+    return marked.withColumns(filled).select(*map(st.quoted, df.columns))
+
+
+def _whole_statistics(
+    df: DataFrame, kinds: Mapping[str, list[str]], approx: bool
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with the table's statistics attached, and where each column's is."""
     out: dict[str, Column] = {}
+    marked = df
     if means := kinds["fill_mean"]:
-        one = st.moments(df, means)
-        out |= {c: one[f"mean_{i}"] for i, c in enumerate(means)}
+        marked = st.attach(marked, st.moments(df, means), "__mean")
+        out |= {c: F.col("__mean")[f"mean_{i}"] for i, c in enumerate(means)}
     if medians := kinds["fill_median"]:
-        out |= {c: v for (c, _), v in st.quantile_values(df, medians, [0.5], approx).items()}
+        marked = st.attach(marked, st.quantile_columns(df, medians, [0.5], (), approx), "__median")
+        out |= {c: F.col("__median")[f"q_{i}"][0] for i, c in enumerate(medians)}
     if modes := kinds["fill_mode"]:
-        for c, v in st.mode_values(df, modes).items():
-            out[c] = F.coalesce(v, F.lit("Unknown")) if st.is_text(df, c) else v
-    return {c: v.cast(st.type_of(df, c)) if kinds["fill_mode"].count(c) else v for c, v in out.items()}
+        marked = st.attach(marked, st.mode_columns(df, modes), "__mode")
+        for i, c in enumerate(modes):
+            found = F.col("__mode")[f"mode_{i}"]
+            out[c] = F.coalesce(found, F.lit("Unknown")) if st.is_text(df, c) else found
+    return marked, out
 
 
 def _group_statistics(df: DataFrame, kinds: Mapping[str, list[str]], by: list[str], approx: bool) -> DataFrame:

@@ -62,7 +62,7 @@ def round_places(df: DataFrame, cols: Sequence[str], places: int, mode: str = "h
 
 def normalize(df: DataFrame, cols: Sequence[str], method: str = "standard") -> DataFrame:
     """``standard``: (x - mean) / population deviation; ``minmax``: (x - min) / (max - min); flat gives 0."""
-    one = st.moments(df, cols)
+    one = F.col("__moments")
     out = {}
     for i, c in enumerate(cols):
         v = st.present(df, c).cast("double")
@@ -73,61 +73,55 @@ def normalize(df: DataFrame, cols: Sequence[str], method: str = "standard") -> D
         else:
             raise ValueError(f"unknown method {method!r}")
         out[c] = F.when(v.isNotNull(), F.when(width == 0, F.lit(0.0)).otherwise((v - base) / width))
-    return df.withColumns(out)
+    return st.attach(df, st.moments(df, cols), "__moments").withColumns(out).drop("__moments")
 
 
-def fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, approx: bool = False) -> dict[str, tuple[Column, Column]]:
-    """Lower and upper bound per column: quartiles less and plus ``k`` times their distance."""
-    q = st.quantile_values(df, cols, [0.25, 0.75], approx)
-    out = {}
-    for c in cols:
-        low, high = q[c, 0.25], q[c, 0.75]
-        out[c] = (low - (high - low) * k, high + (high - low) * k)
-    return out
+def with_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, approx: bool = False) -> DataFrame:
+    """Add ``__fences``: per column ``lo_i`` and ``hi_i``, quartiles less and plus ``k`` times their distance."""
+    wide = st.quantile_columns(df, cols, [0.25, 0.75], (), approx)
+    ends = []
+    for i in range(len(cols)):
+        low, high = F.col(f"q_{i}")[0], F.col(f"q_{i}")[1]
+        ends += [(low - (high - low) * k).alias(f"lo_{i}"), (high + (high - low) * k).alias(f"hi_{i}")]
+    return st.attach(df, wide.select(*ends), "__fences")
 
 
 def outliers_iqr(
     df: DataFrame, cols: Sequence[str], k: float = 1.5, action: str = "flag", approx: bool = False
 ) -> DataFrame:
     """Values outside the fences: flag in ``<col>_outlier``, null, clip, or drop the row."""
-    bounds = fences(df, cols, k, approx)
-    outside = {}
-    for c in cols:
-        v = st.present(df, c).cast("double")
-        outside[c] = F.coalesce((v < bounds[c][0]) | (v > bounds[c][1]), F.lit(False))
-    return _treat(df, cols, outside, action, bounds)
+    return _treat(with_fences(df, cols, k, approx), df, cols, action)
 
 
 def outliers_zscore(df: DataFrame, cols: Sequence[str], z: float = 3.0, action: str = "flag") -> DataFrame:
     """Values more than ``z`` deviations from the mean."""
-    one = st.moments(df, cols)
-    outside, bounds = {}, {}
+    ends = []
+    for i in range(len(cols)):
+        mean, reach = F.col(f"mean_{i}"), F.col(f"std_{i}") * z
+        ends += [(mean - reach).alias(f"lo_{i}"), (mean + reach).alias(f"hi_{i}")]
+    marked = st.attach(df, st.moments(df, cols).select(*ends), "__fences")
+    return _treat(marked, df, cols, action)
+
+
+def _treat(marked: DataFrame, df: DataFrame, cols: Sequence[str], action: str) -> DataFrame:
+    flags, nulled, clipped, keep = {}, {}, {}, F.lit(True)
     for i, c in enumerate(cols):
         v = st.present(df, c).cast("double")
-        mean, std = one[f"mean_{i}"], one[f"std_{i}"]
-        outside[c] = F.coalesce(F.abs(v - mean) > std * z, F.lit(False))
-        bounds[c] = (mean - std * z, mean + std * z)
-    return _treat(df, cols, outside, action, bounds)
-
-
-def _treat(df: DataFrame, cols, outside, action: str, bounds) -> DataFrame:
-    if action == "flag":
-        return df.withColumns({f"{c}_outlier": outside[c] for c in cols})
-    if action == "null":
-        return df.withColumns({c: F.when(~outside[c], F.col(st.quoted(c))) for c in cols})
-    if action == "clip":
-        out = {}
-        for c in cols:
-            v = st.present(df, c).cast("double")
-            low, high = bounds[c]
-            out[c] = F.when(v < low, low).when(v > high, high).otherwise(v)
-        return df.withColumns(out)
-    if action == "drop":
-        keep = F.lit(True)
-        for c in cols:
-            keep = keep & ~outside[c]
-        return df.filter(keep)
-    raise ValueError(f"unknown action {action!r}")
+        low, high = F.col("__fences")[f"lo_{i}"], F.col("__fences")[f"hi_{i}"]
+        outside = F.coalesce((v < low) | (v > high), F.lit(False))
+        flags[f"{c}_outlier"] = outside
+        nulled[c] = F.when(~outside, F.col(st.quoted(c)))
+        clipped[c] = F.when(v < low, low).when(v > high, high).otherwise(v)
+        keep = keep & ~outside
+    treated = {
+        "flag": lambda: marked.withColumns(flags),
+        "null": lambda: marked.withColumns(nulled),
+        "clip": lambda: marked.withColumns(clipped),
+        "drop": lambda: marked.filter(keep),
+    }
+    if action not in treated:
+        raise ValueError(f"unknown action {action!r}")
+    return treated[action]().drop("__fences")
 
 
 def convert_unit(df: DataFrame, column: str, factor: float) -> DataFrame:
@@ -140,11 +134,13 @@ def scale_check(df: DataFrame, column: str, by: Sequence[str], approx: bool = Fa
     Rows ``(by..., median, overall, power, suspicious)``.
     """
     groups = st.quantile_columns(df, [column], [0.5], by, approx).select(*by, F.col("q_0")[0].alias("median"))
-    overall = st.quantile_values(df, [column], [0.5], approx)[column, 0.5]
+    whole = st.quantile_columns(df, [column], [0.5], (), approx).select(F.col("q_0")[0].alias("median"))
     ratio = F.try_divide(F.col("median"), F.col("overall"))
     power = F.when(ratio > 0, F.round(F.log10(ratio)).cast("int"))
     return (
-        groups.withColumn("overall", overall)
+        st.attach(groups, whole, "__whole")
+        .withColumn("overall", F.col("__whole")["median"])
+        .drop("__whole")
         .withColumn("power", power)
         .withColumn("suspicious", F.coalesce(F.col("power") != 0, F.lit(False)))
     )

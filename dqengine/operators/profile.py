@@ -196,21 +196,20 @@ def missing_cells(df: DataFrame) -> DataFrame:
 
 def run_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """Shapes, changes and missing cells before and after a cleaning."""
-    def one(df: DataFrame) -> Column:
-        return df.agg(F.struct(F.count(F.lit(1)).alias("rows"), missing_count(df).alias("missing")).alias("s")).scalar()
+    def one(df: DataFrame) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("rows"), missing_count(df).alias("missing"))
 
-    spark = before.sparkSession
-    b, a = one(before), one(after)
+    both = st.attach(st.attach(before.sparkSession.range(1), one(before), "b"), one(after), "a")
     nb, na = len(before.columns), len(after.columns)
-    return spark.range(1).select(
-        b["rows"].alias("original_rows"),
+    return both.select(
+        F.col("b.rows").alias("original_rows"),
         F.lit(nb).cast("bigint").alias("original_columns"),
-        a["rows"].alias("final_rows"),
+        F.col("a.rows").alias("final_rows"),
         F.lit(na).cast("bigint").alias("final_columns"),
-        (b["rows"] - a["rows"]).alias("rows_changed"),
+        (F.col("b.rows") - F.col("a.rows")).alias("rows_changed"),
         F.lit(nb - na).cast("bigint").alias("columns_changed"),
-        b["missing"].alias("missing_before"),
-        a["missing"].alias("missing_after"),
+        F.col("b.missing").alias("missing_before"),
+        F.col("a.missing").alias("missing_after"),
     )
 
 

@@ -52,8 +52,16 @@ def present(df: DataFrame, name: str) -> Column:
     return F.nanvl(c, F.lit(None).cast("double")) if isinstance(type_of(df, name), FLOATS) else c
 
 
-def moments(df: DataFrame, cols: Sequence[str]) -> Column:
-    """One scalar struct ``mean_i, std_i, min_i, max_i`` over all ``cols``, one job."""
+def attach(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Add a one-row table to every row as the struct ``name``: a scalar subquery, run once, no join.
+
+    As a column it stays one subquery however often its fields are used.
+    """
+    return df.withColumn(name, one_row.select(F.struct("*").alias("s")).scalar())
+
+
+def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row ``mean_i, std_i, min_i, max_i`` over all ``cols``, one job."""
     aggs = []
     for i, name in enumerate(cols):
         v = present(df, name).cast("double")
@@ -63,7 +71,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> Column:
             F.min(v).alias(f"min_{i}"),
             F.max(v).alias(f"max_{i}"),
         ]
-    return df.agg(F.struct(*aggs).alias("s")).scalar()
+    return df.agg(*aggs)
 
 
 def _sketches(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -75,19 +83,14 @@ def _sketches(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     slice's bound above it, every slice would hold too few smaller values.
     """
     margin = 2 / SKETCH_ACCURACY
-    low = F.array(*[F.lit(max(0.0, p - margin)) for p in probs])
-    high = F.array(*[F.lit(min(1.0, p + margin)) for p in probs])
+    around = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     parts, merged = [], []
     for i, name in enumerate(cols):
         v = present(df, name).cast("double")
-        parts += [
-            F.count(v).alias(f"n_{i}"),
-            F.percentile_approx(v, low, SKETCH_ACCURACY).alias(f"lo_{i}"),
-            F.percentile_approx(v, high, SKETCH_ACCURACY).alias(f"hi_{i}"),
-        ]
+        parts += [F.count(v).alias(f"n_{i}"), F.percentile_approx(v, around, SKETCH_ACCURACY).alias(f"ends_{i}")]
         merged.append(F.sum(f"n_{i}").alias(f"n_{i}"))
-        for side, pick in (("lo", F.min), ("hi", F.max)):
-            bounds = [pick(F.col(f"{side}_{i}")[j]) for j in range(len(probs))]
+        for side, pick, offset in (("lo", F.min, 0), ("hi", F.max, len(probs))):
+            bounds = [pick(F.col(f"ends_{i}")[offset + j]) for j in range(len(probs))]
             merged.append(F.array(*bounds).alias(f"{side}_{i}"))
     sliced = df.withColumn("__slice", F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)))
     return sliced.groupBy(*by, "__slice").agg(*parts).groupBy(*by).agg(F.struct(*merged).alias("__sk"))
@@ -187,15 +190,6 @@ def quantile_columns(
     return table.groupBy(*by).agg(*aggs)
 
 
-def quantile_values(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], approx: bool = False
-) -> dict[tuple[str, float], Column]:
-    """Whole-table quantiles as scalar expressions."""
-    wide = quantile_columns(df, cols, probs, (), approx)
-    one = wide.select(F.struct(*[f"q_{i}" for i in range(len(cols))]).alias("s")).scalar()
-    return {(name, p): one[f"q_{i}"][j] for i, name in enumerate(cols) for j, p in enumerate(probs)}
-
-
 def mode_columns(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Most frequent present value per column, the smallest on ties: ``mode_i``."""
     cells = [
@@ -212,10 +206,3 @@ def mode_columns(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
         rank = F.when(F.col("i") == i, F.struct((-F.col("c")).alias("c"), typed.alias("v")))
         aggs.append(F.min(rank)["v"].alias(f"mode_{i}"))
     return counted.groupBy(*by).agg(*aggs)
-
-
-def mode_values(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
-    """Whole-table modes as scalar expressions."""
-    wide = mode_columns(df, cols)
-    one = wide.select(F.struct(*[f"mode_{i}" for i in range(len(cols))]).alias("s")).scalar()
-    return {name: one[f"mode_{i}"] for i, name in enumerate(cols)}

@@ -78,6 +78,8 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(used) + ",\n" + body[15:]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(used) + ",\n" + body[5:]
     return "with " + ",\n".join(used) + "\n" + body

@@ -607,9 +607,9 @@ def _(t):
     "H8",
     """with r as (select *, row_number() over (partition by user_id order by ts, event_id) as rn from
          (select event_id, user_id, ts, case when event_id % 4 < 3 then null else value end as value from gappy_events)),
-       s as (select *, max(case when value is not null then rn end) over w as at, last_value(value ignore nulls) over w as seen
+       s as (select *, max(case when value is not null then rn end) over w as last_at, last_value(value ignore nulls) over w as seen
          from r window w as (partition by user_id order by rn rows between unbounded preceding and current row))
-       select event_id, case when rn - at <= 2 then seen end as value from s""",
+       select event_id, case when rn - last_at <= 2 then seen end as value from s""",
 )
 def _(t):
     wider = t.gappy_events.withColumn("value", F.expr("case when event_id % 4 < 3 then null else value end"))
