@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqengine.operators import stats as st
-from dqengine.session import join_stats
+from dqengine.session import join_stats, match_keys
 
 SIMPLE = {
     "sum": F.sum,
@@ -34,31 +34,21 @@ def aggregate(
     if unknown := {f for _, f in wanted} - set(KINDS):
         raise ValueError(f"unknown functions {sorted(unknown)}")
     by = list(by)
-    simple = [SIMPLE[f](_input(df, c, f)).alias(f"{c}_{f}") for c, f in wanted if f in SIMPLE]
+    simple = [SIMPLE[f](st.present(df, c)).alias(f"{c}_{f}") for c, f in wanted if f in SIMPLE]
     out = df.groupBy(*by).agg(*(simple or [F.count("*").alias("__n")])).drop("__n")
     medians = [c for c, f in wanted if f == "median"]
     modes = [c for c, f in wanted if f == "mode"]
     if medians:
         wide = st.quantile_columns(df, medians, [0.5], by, approx)
-        out = _beside(out, wide.select(*by, *[F.col(f"q_{i}")[0].alias(f"{c}_median") for i, c in enumerate(medians)]), by)
+        named = [F.col(f"q_{i}")[0].alias(f"{c}_median") for i, c in enumerate(medians)]
+        out = match_keys(out, wide.select(*by, *named), by, "left")
     if modes:
         wide = st.mode_columns(df, modes, by)
-        out = _beside(out, wide.withColumnsRenamed({f"mode_{i}": f"{c}_mode" for i, c in enumerate(modes)}), by)
+        named = {f"mode_{i}": f"{c}_mode" for i, c in enumerate(modes)}
+        out = match_keys(out, wide.withColumnsRenamed(named), by, "left")
     return out.select(*by, *[f"{c}_{f}" for c, f in wanted])
 
 
-def _input(df: DataFrame, column: str, fn: str) -> Column:
-    return st.present(df, column)
-
-
-def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    right = right.withColumnsRenamed({k: f"__r_{k}" for k in by})
-    cond = F.lit(True)
-    for k in by:
-        cond = cond & left[k].eqNullSafe(right[f"__r_{k}"])
-    return left.join(right, cond, "left").drop(*[f"__r_{k}" for k in by])
-
-
 def value_counts(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
     """Rows ``(value, count)``, commonest first."""
     counts = df.groupBy(st.present(df, column).alias("value")).agg(F.count("*").alias("count"))

@@ -251,8 +251,9 @@ def _minority(counts: Column) -> tuple[Column, Column, Column]:
 def _naming(df: DataFrame, want: set[str]) -> DataFrame:
     names = cols.names_table(df).withColumn("style", nn.name_style(F.col("name")))
     styles = names.groupBy("style").agg(F.count("*").alias("n"))
-    common = styles.agg(F.min(F.struct((-F.col("n")).alias("n"), "style"))["style"].alias("style")).scalar()
-    marked = names.withColumn("common", common)
+    # a known style before names that follow none, then the commonest
+    rank = F.struct((F.col("style") == "other").alias("last"), (-F.col("n")).alias("n"), "style")
+    marked = names.withColumn("common", styles.agg(F.min(rank)["style"].alias("style")).scalar())
     odd = nn.needs_standardizing(F.col("name")) | nn.has_accents(F.col("name")) | F.col("name").contains("$")
     cells = []
     if "naming_pattern" in want:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from dqengine.functions.text import clean_aggressive
 from dqengine.operators import stats as st
-from dqengine.session import materialize
+from dqengine.session import match_keys, materialize
 
 
 def remove_duplicates(
@@ -106,12 +106,12 @@ def fuzzy_duplicates(
     heads = base.groupBy(*block, "t").agg(F.min("id").alias("head"))
     heads = materialize(heads)
     copies = (
-        _meet(base, heads, [*block, "t"]).filter("id != head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"))
+        match_keys(base, heads, [*block, "t"]).filter("id != head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"))
     )
     variants = heads.select(*block, "t", "head", F.explode(deletions(F.col("t"), max_distance)).alias("variant"))
     left = variants.withColumnsRenamed({"t": "t_a", "head": "id_a"})
     right = variants.withColumnsRenamed({"t": "t_b", "head": "id_b"})
-    met = _meet(left, right, [*block, "variant"]).filter("id_a < id_b")
+    met = match_keys(left, right, [*block, "variant"]).filter("id_a < id_b")
     near = (
         met.withColumn("distance", F.levenshtein("t_a", "t_b", max_distance))
         .filter(F.col("distance") >= 0)
@@ -121,14 +121,6 @@ def fuzzy_duplicates(
     return near.unionByName(copies)
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[f"__r_{k}"])
-    return left.join(right, cond).drop(*[f"__r_{k}" for k in keys])
-
-
 def components(links: DataFrame, left: str = "id_a", right: str = "id_b", rounds: int = 60) -> DataFrame:
     """Rows ``(id, component)``: linked ids share the least id among them.
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from dqengine.functions.text import trim_text
 from dqengine.operators import stats as st
-from dqengine.session import join_stats
+from dqengine.session import join_stats, match_keys
 
 # Texts and numbers that stand for a missing value.
 NULL_TOKENS = ("", "NULL", "null", "NaN", "nan", "N/A", "#N/A")
@@ -127,11 +127,7 @@ def _group_statistics(df: DataFrame, kinds: Mapping[str, list[str]], by: list[st
         tables.append(wide.withColumnsRenamed({f"mode_{i}": f"__g_{c}" for i, c in enumerate(modes)}))
     out = tables[0]
     for table in tables[1:]:
-        right = table.withColumnsRenamed({k: f"__r_{k}" for k in by})
-        cond = F.lit(True)
-        for k in by:
-            cond = cond & out[k].eqNullSafe(right[f"__r_{k}"])
-        out = out.join(right, cond, "left").drop(*[f"__r_{k}" for k in by])
+        out = match_keys(out, table, by, "left")
     return out
 
 
@@ -201,7 +197,7 @@ def fill_ordered(
     if limit is not None:
         # distance needs the place of the block's last present value
         last = here.groupBy(*keys, "__block").agg(F.max(F.col("__seen")["r"]).alias("__at"))
-        ends = _join_keys(ends, last, [*keys, "__block"])
+        ends = match_keys(ends, last, [*keys, "__block"], "left")
     else:
         ends = ends.withColumn("__at", F.lit(0).cast("int"))
     blocks = Window.partitionBy(*keys).orderBy("__block")
@@ -215,7 +211,7 @@ def fill_ordered(
     carried = carried.withColumn("__carry", F.last(carry, True).over(earlier)).select(
         *keys, "__block", "__start", "__carry"
     )
-    joined = _join_keys(here, carried, [*keys, "__block"])
+    joined = match_keys(here, carried, [*keys, "__block"], "left")
     own = F.col("__seen")["v"]
     value = F.coalesce(own, F.col("__carry")["v"])
     if limit is not None:
@@ -226,15 +222,6 @@ def fill_ordered(
     return joined.withColumn(column, value).select(*df.columns)
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join, a missing key meeting a missing key; the block sizes keep it even."""
-    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[f"__r_{k}"])
-    return left.join(right, cond, "left").drop(*[f"__r_{k}" for k in keys])
-
-
 def order_number(df: DataFrame, column: str) -> Column:
     """A double that never falls where the order column rises."""
     c = F.col(st.quoted(column))

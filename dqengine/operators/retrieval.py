@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from dqengine.functions import text as tx
-from dqengine.session import BROADCAST_ROWS, materialize
+from dqengine.operators import stats as st
+from dqengine.session import size_checked
 
 # Retrieval settings.
 TOP_K = 10
@@ -127,6 +129,7 @@ def _search_block(queries: DataFrame, chunks: DataFrame, top_k: int, normalize:
     schema = T.StructType(
         [queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("score", T.DoubleType())]
     )
+    arrow = to_arrow_schema(schema)
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted = shared.value
@@ -141,14 +144,13 @@ def _search_block(queries: DataFrame, chunks: DataFrame, top_k: int, normalize:
                 if normalize:
                     length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                     vectors = np.divide(vectors, length, out=vectors.copy(), where=length != 0)
-                names = np.asarray(part.column(0).to_pylist())
+                names = part.column(0).to_numpy(zero_copy_only=False)
+                names = names.astype(str) if names.dtype == object else names
                 keep.add(names, np.round(vectors @ wanted.T, 9))
         q, names, scores = keep.result()
         if len(q):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in q]), pa.array(names.tolist()), pa.array(scores)],
-                names=["query_id", "chunk_id", "score"],
-            )
+            columns = [[ids[i] for i in q], names.tolist(), scores]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return chunks.mapInArrow(best_of_task, schema)
 
@@ -205,11 +207,11 @@ def _query_words(queries: DataFrame) -> DataFrame:
 def keyword_search(queries: DataFrame, chunks: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """Share of the query's distinct words that the chunk has; chunks without any do not appear.
 
-    The words of the chunks meet those of the queries by an equi-join, which
-    Spark broadcasts while the query words are small and splits on hot words
-    otherwise; counts are combined in the task that read the chunk.
+    The words of the chunks meet those of the queries by an equi-join, in place
+    while the query words are few; counts are combined in the task that read
+    the chunk.
     """
-    wanted = _query_words(queries)
+    wanted = size_checked(_query_words(queries))
     held = chunks.select("chunk_id", F.explode(F.array_distinct(tx.words(F.col("content")))).alias("word"))
     hits = held.join(wanted, "word").groupBy("query_id", "chunk_id").agg(
         F.count("*").alias("hits"), F.max("n_words").alias("n_words")
@@ -226,35 +228,28 @@ def sparse_search(
     min_score: float = MIN_SPARSE,
 ) -> DataFrame:
     """BM25 or TF-IDF over the query's distinct words; scores of at least ``min_score``."""
-    wanted = _query_words(queries).select("query_id", "word")
+    if method not in ("bm25", "tfidf"):
+        raise ValueError(f"method is bm25 or tfidf, not {method!r}")
+    wanted = size_checked(_query_words(queries).select("query_id", "word"))
     lists = chunks.select("chunk_id", tx.words(F.col("content")).alias("words"))
-    totals = lists.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).alias("s")).scalar()
-    vocabulary = wanted.select("word").distinct()
-    tf = (
-        lists.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("word"))
-        .join(vocabulary, "word")
-        .groupBy("chunk_id", "word")
-        .agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    # first pass: chunks per query word and mean length, combined before the shuffle
+    found = lists.select(F.explode(F.array_distinct("words")).alias("word"))
+    frequent = found.join(wanted.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("df"))
+    totals = lists.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    n, freq = F.col("t.n"), F.col("df")
+    idf = F.log(1 + (n - freq + 0.5) / (freq + 0.5)) if method == "bm25" else F.log(n / freq)
+    weights = st.attach(wanted.join(frequent, "word"), totals, "t").select(
+        "query_id", "word", idf.alias("idf"), F.col("t.mean").alias("mean")
     )
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    # a weight per query and word: as small as the queries, and joined as such
-    weighted = wanted.join(df, "word").withColumn("n", totals["n"]).withColumn("mean", totals["mean"])
-    n, freq, length = F.col("n"), F.col("tf"), F.col("length")
+    # second pass: one shuffle by chunk serves the counts per word and the sums per query
+    each = lists.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("word"))
+    held = each.join(wanted.select("word").distinct(), "word", "left_semi").repartition("chunk_id")
+    counts = held.groupBy("chunk_id", "word").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    tf, relative = F.col("tf"), F.col("length") / F.col("mean")
+    part = F.col("idf") * tf
     if method == "bm25":
-        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = F.col("idf") * freq * (BM25_K1 + 1) / (
-            freq + BM25_K1 * (1 - BM25_B + BM25_B * length / F.col("mean"))
-        )
-    elif method == "tfidf":
-        idf = F.log(n / F.col("df"))
-        part = freq * F.col("idf")
-    else:
-        raise ValueError(f"method is bm25 or tfidf, not {method!r}")
-    scored = (
-        tf.join(weighted.withColumn("idf", idf), "word")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(part).alias("score"))
-    )
+        part = part * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * relative))
+    scored = counts.join(size_checked(weights), "word").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return _ranked(scored, top_k).filter(F.col("score") >= min_score)
 
 
@@ -295,10 +290,7 @@ def hybrid_search(
 
 def _beside_chunks(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Results with title and content. Counted first: few results are sent to the chunks, not the reverse."""
-    results = materialize(results)
-    if results.count() <= BROADCAST_ROWS:
-        results = F.broadcast(results)
-    return chunks.select("chunk_id", "title", "content").join(results, "chunk_id")
+    return chunks.select("chunk_id", "title", "content").join(size_checked(results), "chunk_id")
 
 
 def pack_context(

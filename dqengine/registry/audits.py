@@ -76,8 +76,11 @@ def _(t):
     _rows_sql(
         "right_types",
         "dirty_orders",
-        {"data_txt": "(avg((data_txt <> 'invalid')::int) >= 0.9)::bigint", "valor_txt": "0::bigint"},
-        "1::bigint",
+        {
+            "data_txt": "(avg((data_txt <> 'invalid')::int) >= 0.9)::bigint",
+            "valor_txt": "(count(try_cast(valor_txt as double)) >= 0.9 * count(valor_txt))::bigint",
+        },
+        "(1 + 0 * count(*))::bigint",
     ),
 )
 def _(t):
@@ -90,7 +93,7 @@ def _(t):
     """select 'date_formats' as check_id, 'data_txt' as "column", 1::bigint as n_rows,
          (count(try_strptime(data_txt, '%d/%m/%Y')) > 0 and count(try_strptime(data_txt, '%Y-%m-%d')) > 0)::bigint as n_violations,
          count(try_strptime(data_txt, '%d/%m/%Y')) || '/' || count(try_strptime(data_txt, '%Y-%m-%d')) as detail from dirty_orders
-       union all select 'date_formats', 'valor_txt', 1, 0, '0/0' from dirty_orders group by all""",
+       union all select 'date_formats', 'valor_txt', 1, 0 * count(*), '0/0' from dirty_orders""",
 )
 def _(t):
     df = au.audit(t.dirty_orders, categories=["data_types"]).filter("check_id = 'date_formats'")

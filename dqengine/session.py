@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of a statistics table up to which it is sent whole to every task.
@@ -41,26 +41,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on ``keys``: a missing key meets a missing key."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def size_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise and count a table meant to be the small side of a join.
 
+    Up to ``rows`` rows it is marked for broadcast. Beyond that it stays as it
+    is: the join shuffles, and adaptive execution splits a hot key.
+    """
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
 
-def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left-join group statistics back to the rows, a missing key matching a missing key.
 
-    The statistics are materialised and counted: up to ``BROADCAST_ROWS`` groups
-    they are broadcast, so the rows are not shuffled; beyond that it is a
-    shuffle join in which adaptive execution splits a hot key.
-    """
-    stats = materialize(stats)
-    if stats.count() <= BROADCAST_ROWS:
-        stats = F.broadcast(stats)
-    renamed = stats.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, a missing key meeting a missing key; the left keys stay."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
-        cond = cond & df[k].eqNullSafe(renamed[f"__k_{k}"])
-    return df.join(renamed, cond, "left").drop(*[f"__k_{k}" for k in keys])
+        cond = cond & left[k].eqNullSafe(renamed[f"__r_{k}"])
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left-join group statistics back to the rows; few groups are broadcast, so the rows stay in place."""
+    return match_keys(df, size_checked(stats), keys, "left")
