@@ -76,10 +76,10 @@ def chart_data(df: DataFrame, x: str, y: str | None = None, kind: str = "bar", b
     if kind == "histogram":
         v = st.present(df, x).cast("double")
         low, high = F.col("__ends")["min_0"], F.col("__ends")["max_0"]
-        place = F.least(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * bins), F.lit(bins - 1).cast("bigint"))
+        place = F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1).cast("bigint"))
         return (
             st.attach(df.filter(v.isNotNull()), st.moments(df, [x]), "__ends")
-            .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("x"))
+            .groupBy(F.when(high > low, place).otherwise(0).cast("int").alias("x"))
             .agg(_height(df, y).alias("y"))
         )
     raise ValueError(f"unknown chart {kind!r}")

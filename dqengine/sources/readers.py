@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,11 +89,12 @@ def typed(df: DataFrame) -> DataFrame:
 
 def load_csv(spark: SparkSession, path: str, strategies: Sequence[Strategy] = DEFAULT) -> Loaded:
     """Try the strategies in order; the first that reads every row wins."""
+    failures = (PySparkException, Py4JError, ValueError)
     last: Exception | None = None
     for how in strategies:
         try:
             return Loaded(_read(spark, path, how), how.name)
-        except (PySparkException, ValueError) as error:
+        except failures as error:
             last = error
     raise ValueError(f"no strategy could read {path}") from last
 
