@@ -34,19 +34,18 @@ def normalize_whitespace(c: Column) -> Column:
 
 
 def clean_minimal(c: Column) -> Column:
-    return trim_text(normalize_whitespace(c))
+    # after the runs of whitespace became spaces, plain trim is enough
+    return F.trim(normalize_whitespace(c))
 
 
 def clean_moderate(c: Column) -> Column:
     """Keep letters, digits, spaces and plain punctuation."""
-    kept = F.regexp_replace(normalize_whitespace(c), rf"[^\p{{L}}\p{{N}} {KEPT_PUNCTUATION}]", "")
-    return clean_minimal(kept)
+    return clean_minimal(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}} \t\n\f\r{KEPT_PUNCTUATION}]+", ""))
 
 
 def clean_aggressive(c: Column) -> Column:
     """Lower case, no accents, only ``a-z``, digits and single spaces."""
-    plain = F.lower(remove_accents(normalize_whitespace(c)))
-    return clean_minimal(F.regexp_replace(plain, "[^a-z0-9 ]", ""))
+    return clean_minimal(F.regexp_replace(F.lower(remove_accents(c)), r"[^a-z0-9 \t\n\f\r]+", ""))
 
 
 def clean_custom(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -85,9 +84,10 @@ def fix_encoding(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Upper case at the start of every run of letters (``o'neil`` -> ``O'Neil``)."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, _capital), "")
+    """Upper case at the start of every run of letters (``o'neil a1b`` -> ``O'Neil A1B``)."""
+    # initcap only starts words at spaces: other breaks get a marked space for its time
+    broken = F.regexp_replace(F.lower(c), r"([^\p{L} ])(\p{L})", "$1\u0001 $2")
+    return F.replace(F.initcap(broken), F.lit("\u0001 "), F.lit(""))
 
 
 def _capital(word: Column) -> Column:

@@ -108,7 +108,9 @@ def fuzzy_duplicates(
     copies = (
         match_keys(base, heads, [*block, "t"]).filter("id != head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"))
     )
-    variants = heads.select(*block, "t", "head", F.explode(deletions(F.col("t"), max_distance)).alias("variant"))
+    # the hash of a variant is the join key: chance meetings fall to the distance test
+    shortened = F.transform(deletions(F.col("t"), max_distance), lambda v: F.xxhash64(v))
+    variants = heads.select(*block, "t", "head", F.explode(F.array_distinct(shortened)).alias("variant"))
     left = variants.withColumnsRenamed({"t": "t_a", "head": "id_a"})
     right = variants.withColumnsRenamed({"t": "t_b", "head": "id_b"})
     met = match_keys(left, right, [*block, "variant"]).filter("id_a < id_b")

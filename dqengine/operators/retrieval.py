@@ -10,10 +10,12 @@ order does not depend on how the sums were split over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from dqengine.functions import text as tx
-from dqengine.operators import stats as st
-from dqengine.session import size_checked
+from dqengine.session import materialize, size_checked
 
 # Retrieval settings.
 TOP_K = 10
@@ -110,114 +111,163 @@ def dense_search(
     if normalize:
         queries = queries.withColumn("vector", unit(F.col("vector")))
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
-    cells = size["n"] * (size["width"] or 1)
-    blocks = max(1, -(-2 * cells // QUERY_BLOCK_CELLS)) if cells > QUERY_BLOCK_CELLS else 1
     narrow = chunks.select("chunk_id", F.col(vector).alias("vector")).filter("vector is not null")
-    found = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        part = _search_block(block, narrow, top_k, normalize)
-        found = part if found is None else found.unionByName(part)
-    return _ranked(found, top_k).filter(F.col("score") >= min_score)
-
-
-def _search_block(queries: DataFrame, chunks: DataFrame, top_k: int, normalize: bool) -> DataFrame:
-    spark = chunks.sparkSession
-    rows = queries.collect()  # bounded: one block
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-    shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], matrix))
+    found = []
+    for block in _blocks(queries, size["n"] * (size["width"] or 1)):
+        rows = block.collect()  # bounded: one block
+        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
+
+        def score(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
+            vectors = np.asarray(batch.column("vector").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            if normalize:
+                length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+                vectors = np.divide(vectors, length, out=vectors.copy(), where=length != 0)
+            return vectors @ matrix.T
+
+        found.append(_best_per_task(narrow, queries, [r["query_id"] for r in rows], matrix, score, top_k, -np.inf))
+    return _ranked(_union(found), top_k).filter(F.col("score") >= min_score)
+
+
+def _blocks(queries: DataFrame, cells: int) -> list[DataFrame]:
+    """The queries, cut by a hash of their id so that a block's matrix stays small."""
+    if cells <= QUERY_BLOCK_CELLS:
+        return [queries]
+    n = -(-2 * cells // QUERY_BLOCK_CELLS)
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best_per_task(
+    chunks: DataFrame,
+    queries: DataFrame,
+    ids: list,
+    matrix: np.ndarray,
+    score: Callable[[pa.RecordBatch, np.ndarray], np.ndarray],
+    top_k: int,
+    least: float,
+) -> DataFrame:
+    """``(query_id, chunk_id, score)``: per task and query the best ``top_k`` chunks scoring ``least`` or more.
+
+    ``score`` gives the scores of a few chunks (rows) for all queries of the block (columns).
+    """
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
     schema = T.StructType(
         [queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("score", T.DoubleType())]
     )
     arrow = to_arrow_schema(schema)
+    step = max(1, SCORE_CELLS // max(1, len(ids), *matrix.shape))
 
-    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted = shared.value
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
         if not ids:
             return
-        keep = _Best(len(ids), top_k)
-        step = max(1, SCORE_CELLS // len(ids))
+        keep = _Best(len(ids), top_k, least)
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                vectors = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
-                if normalize:
-                    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-                    vectors = np.divide(vectors, length, out=vectors.copy(), where=length != 0)
-                names = part.column(0).to_numpy(zero_copy_only=False)
-                names = names.astype(str) if names.dtype == object else names
-                keep.add(names, np.round(vectors @ wanted.T, 9))
+                names = part.column("chunk_id").to_numpy(zero_copy_only=False)
+                keep.add(names.astype(str) if names.dtype == object else names, score(part, matrix))
         q, names, scores = keep.result()
         if len(q):
             columns = [[ids[i] for i in q], names.tolist(), scores]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return chunks.mapInArrow(best_of_task, schema)
+    return chunks.mapInArrow(best, schema)
 
 
 class _Best:
     """The best ``k`` (score, then id) per query among the chunks of a task."""
 
-    def __init__(self, n_queries: int, k: int) -> None:
+    def __init__(self, n_queries: int, k: int, least: float) -> None:
         self.k = k
+        self.least = least
         self.floor = np.full(n_queries, -np.inf)
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
     def add(self, names: np.ndarray, scores: np.ndarray) -> None:
-        row, query = np.nonzero(scores >= self.floor)
-        self.parts.append((query, names[row], scores[row, query]))
+        compared = np.round(scores, 9)
+        row, query = np.nonzero((compared >= self.floor) & (scores >= self.least))
+        self.parts.append((query, names[row], compared[row, query], scores[row, query]))
         self.held += len(query)
         if self.held > 4 * self.k * len(self.floor) + 100_000:
             self.cut()
 
     def cut(self) -> None:
-        query, names, scores = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.lexsort((names, -scores, query))
-        query, names, scores = query[order], names[order], scores[order]
+        query, names, compared, scores = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((names, -compared, query))
+        query, names, compared, scores = query[order], names[order], compared[order], scores[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
-        kept = place < self.k
-        full = place == self.k - 1
-        self.floor[query[full]] = scores[full]
-        self.parts = [(query[kept], names[kept], scores[kept])]
+        kept, full = place < self.k, place == self.k - 1
+        self.floor[query[full]] = compared[full]
+        self.parts = [(query[kept], names[kept], compared[kept], scores[kept])]
         self.held = int(kept.sum())
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             return np.array([], dtype=int), np.array([]), np.array([])
         self.cut()
-        return self.parts[0]
-
-
-def _ranked(scored: DataFrame, top_k: int | None, partition: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Rank per query by score and id, at most ``top_k``; cut per task before the shuffle."""
-    order = Window.partitionBy(*partition).orderBy(F.round("score", 9).desc(), "chunk_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
+        query, names, _, scores = self.parts[0]
+        return query, names, scores
 
 
 # words
 
 
 def _query_words(queries: DataFrame) -> DataFrame:
-    distinct = F.array_distinct(tx.words(F.col("text")))
-    return queries.select("query_id", F.size(distinct).alias("n_words"), F.explode(distinct).alias("word"))
+    return queries.select("query_id", F.array_distinct(tx.words(F.col("text"))).alias("words"))
+
+
+def _word_blocks(queries: DataFrame) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """Per block of queries: their ids, their words, and which query (column) has which word (row)."""
+    asked = _query_words(queries)
+    words = asked.select("query_id", F.explode("words").alias("word"))
+    size = words.agg(F.count_distinct("query_id").alias("n"), F.count_distinct("word").alias("v")).first()
+    for block in _blocks(asked, size["n"] * size["v"]):
+        rows = block.collect()  # bounded: one block
+        vocabulary = sorted({w for r in rows for w in r["words"]})
+        place = {w: i for i, w in enumerate(vocabulary)}
+        has = np.zeros((len(vocabulary), len(rows)))
+        for j, r in enumerate(rows):
+            has[[place[w] for w in r["words"]], j] = 1.0
+        yield [r["query_id"] for r in rows], vocabulary, has
+
+
+def word_counts(batch: pa.RecordBatch, vocabulary: pa.Array) -> np.ndarray:
+    """How often each chunk (row) holds each word of the vocabulary (column)."""
+    lists = batch.column("words")
+    at = pc.index_in(lists.flatten(), value_set=vocabulary)
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    cell = row[known] * len(vocabulary) + at.drop_null().to_numpy(zero_copy_only=False)
+    flat = np.bincount(cell, minlength=batch.num_rows * len(vocabulary))
+    return flat.reshape(batch.num_rows, len(vocabulary))
+
+
+# Scores above nothing: a chunk without any of the words does not appear.
+ABOVE_ZERO = float(np.nextafter(0.0, 1.0))
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """Share of the query's distinct words that the chunk has; chunks without any do not appear.
 
-    The words of the chunks meet those of the queries by an equi-join, in place
-    while the query words are few; counts are combined in the task that read
-    the chunk.
+    Words are split by Spark. A task counts the query words in its chunks and
+    multiplies them with the block of queries, so a word that every chunk and
+    every query has costs no joined row, and only each task's ``top_k`` leave it.
     """
-    wanted = size_checked(_query_words(queries))
-    held = chunks.select("chunk_id", F.explode(F.array_distinct(tx.words(F.col("content")))).alias("word"))
-    hits = held.join(wanted, "word").groupBy("query_id", "chunk_id").agg(
-        F.count("*").alias("hits"), F.max("n_words").alias("n_words")
-    )
-    scored = hits.select("query_id", "chunk_id", (F.col("hits") / F.col("n_words")).alias("score"))
-    return _ranked(scored, top_k)
+    lists = chunks.filter("content is not null").select("chunk_id", tx.words(F.col("content")).alias("words"))
+    found = []
+    for ids, vocabulary, has in _word_blocks(queries):
+        listed, asked = pa.array(vocabulary, pa.string()), np.maximum(has.sum(axis=0), 1)
+
+        def score(batch: pa.RecordBatch, has: np.ndarray, listed=listed, asked=asked) -> np.ndarray:
+            return ((word_counts(batch, listed) > 0) @ has) / asked
+
+        found.append(_best_per_task(lists, queries, ids, has, score, top_k, ABOVE_ZERO))
+    return _ranked(_union(found), top_k)
 
 
 def sparse_search(
@@ -227,30 +277,36 @@ def sparse_search(
     top_k: int = TOP_K,
     min_score: float = MIN_SPARSE,
 ) -> DataFrame:
-    """BM25 or TF-IDF over the query's distinct words; scores of at least ``min_score``."""
+    """BM25 or TF-IDF over the query's distinct words; the best ``top_k`` of at least ``min_score``.
+
+    A first pass counts the chunks of each query word, combined before the
+    shuffle; the second scores as ``keyword_search`` does.
+    """
     if method not in ("bm25", "tfidf"):
         raise ValueError(f"method is bm25 or tfidf, not {method!r}")
-    wanted = size_checked(_query_words(queries).select("query_id", "word"))
-    lists = chunks.select("chunk_id", tx.words(F.col("content")).alias("words"))
-    # first pass: chunks per query word and mean length, combined before the shuffle
-    found = lists.select(F.explode(F.array_distinct("words")).alias("word"))
-    frequent = found.join(wanted.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("df"))
-    totals = lists.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    n, freq = F.col("t.n"), F.col("df")
-    idf = F.log(1 + (n - freq + 0.5) / (freq + 0.5)) if method == "bm25" else F.log(n / freq)
-    weights = st.attach(wanted.join(frequent, "word"), totals, "t").select(
-        "query_id", "word", idf.alias("idf"), F.col("t.mean").alias("mean")
-    )
-    # second pass: one shuffle by chunk serves the counts per word and the sums per query
-    each = lists.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("word"))
-    held = each.join(wanted.select("word").distinct(), "word", "left_semi").repartition("chunk_id")
-    counts = held.groupBy("chunk_id", "word").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
-    tf, relative = F.col("tf"), F.col("length") / F.col("mean")
-    part = F.col("idf") * tf
-    if method == "bm25":
-        part = part * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * relative))
-    scored = counts.join(size_checked(weights), "word").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return _ranked(scored, top_k).filter(F.col("score") >= min_score)
+    lists = chunks.filter("content is not null").select("chunk_id", tx.words(F.col("content")).alias("words"))
+    totals = lists.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    asked = size_checked(_query_words(queries).select(F.explode("words").alias("word")).distinct())
+    held = lists.select(F.explode(F.array_distinct("words")).alias("word"))
+    frequent = materialize(held.join(asked, "word").groupBy("word").agg(F.count("*").alias("df")))
+    found = []
+    for ids, vocabulary, has in _word_blocks(queries):
+        # bounded: one row per word of the block
+        df = {r["word"]: r["df"] for r in frequent.filter(F.col("word").isin(vocabulary)).collect()}
+        freq, n = np.array([df.get(w, 0) for w in vocabulary]), totals["n"]
+        # a word that no chunk has meets no count, so its weight is free
+        idf = np.log1p((n - freq + 0.5) / (freq + 0.5)) if method == "bm25" else np.log(n / np.maximum(freq, 1))
+        listed = pa.array(vocabulary, pa.string())
+
+        def score(batch: pa.RecordBatch, weights: np.ndarray, listed=listed) -> np.ndarray:
+            tf = word_counts(batch, listed).astype(np.float64)
+            if method == "bm25":
+                length = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False)[:, None]
+                tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / totals["mean"]))
+            return tf @ weights
+
+        found.append(_best_per_task(lists, queries, ids, has * idf[:, None], score, top_k, ABOVE_ZERO))
+    return _ranked(_union(found), top_k).filter(F.col("score") >= min_score)
 
 
 # combining

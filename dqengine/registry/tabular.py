@@ -211,7 +211,7 @@ def _(t):
     """select 'event_id' as name, cast(min(event_id) as varchar) as min_value, cast(max(event_id) as varchar) as max_value from events
        union all select 'ts', cast(min(ts) as varchar), cast(max(ts) as varchar) from events
        union all select 'user_id', cast(min(user_id) as varchar), cast(max(user_id) as varchar) from events
-       union all select 'value', cast(min(value) as varchar), cast(max(value) as varchar) from events
+       union all select 'value', cast(min(value) + 0.0 as varchar), cast(max(value) as varchar) from events
        union all select 'event_type', null, null union all select 'props', null, null""",
 )
 def _(t):

@@ -64,7 +64,7 @@ def _read(spark: SparkSession, path: str, how: Strategy) -> DataFrame:
     if len(texts.columns) == 1 and how.sep and sniff_delimiter(spark, path) != how.sep:
         raise ValueError(f"{path} is not separated by {how.sep!r}")
     # a row of another width fails here, before the strategy is accepted
-    texts.select(F.count(F.hash(*[F.col(quoted(c)) for c in texts.columns]))).first()
+    texts.select(F.max(F.hash(*[F.col(quoted(c)) for c in texts.columns]))).first()
     clean = null_tokens(texts, how.tokens) if how.tokens else texts
     return typed(clean) if how.infer else clean
 
