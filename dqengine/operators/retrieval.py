@@ -214,6 +214,12 @@ class _Best:
         return query, names, scores
 
 
+def _ranked(scored: DataFrame, top_k: int) -> DataFrame:
+    """Rank per query by score and id, at most ``top_k``; cut per task before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+
+
 # words
 
 
