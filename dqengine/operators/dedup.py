@@ -104,7 +104,9 @@ def fuzzy_duplicates(
     text = clean_aggressive(text) if normalize else text
     base = df.select(*block, F.col(st.quoted(id_col)).alias("id"), text.alias("t")).filter("t is not null")
     heads = base.groupBy(*block, "t").agg(F.min("id").alias("head"))
-    heads = materialize(heads)
+    # a fixed number of parts: each head grows into many variants
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = materialize(heads.repartition(partitions, "t"))
     copies = (
         match_keys(base, heads, [*block, "t"]).filter("id != head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"))
     )

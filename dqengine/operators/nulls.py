@@ -20,7 +20,8 @@ SENTINELS = (999999,)
 STATISTICS = ("fill_mean", "fill_median", "fill_mode")
 CONSTANTS = ("fill_zero", "fill_custom")
 ORDERED = ("fill_forward", "fill_backward")
-ORDER_BLOCKS = 256
+# Least and most blocks an order is cut into; powers of two.
+LEAST_BLOCKS, MOST_BLOCKS = 256, 8192
 
 
 def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS, columns: Sequence[str] | None = None) -> DataFrame:
@@ -233,12 +234,21 @@ def order_number(df: DataFrame, column: str) -> Column:
 
 
 def _with_order_block(df: DataFrame, column: str) -> DataFrame:
-    """Add ``__block``, the number of cut points at or below the row's place in the order."""
+    """Add ``__block``, the number of cut points at or below the row's place in the order.
+
+    Twice as many blocks as shuffle partitions. The cut points come from
+    quantiles per slice of the input and then of those quantiles, so no single
+    task merges all sketches; they only need to be about even.
+    """
     x = order_number(df, column)
-    parts = [i / ORDER_BLOCKS for i in range(1, ORDER_BLOCKS)]
-    cuts = df.agg(F.percentile_approx(x, parts, 1_000)).scalar()
-    # 255 sorted cut points: a search by eight comparisons, not a scan of the list.
-    steps = F.array(*[F.lit(ORDER_BLOCKS >> i) for i in range(1, ORDER_BLOCKS.bit_length())])
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (2 * partitions - 1).bit_length()))
+    parts = [i / blocks for i in range(1, blocks)]
+    sliced = df.select(x.alias("x"), F.pmod(F.spark_partition_id(), F.lit(st.SKETCH_GROUPS)).alias("slice"))
+    per_slice = sliced.groupBy("slice").agg(F.percentile_approx("x", parts, 4 * blocks).alias("c"))
+    cuts = per_slice.select(F.explode("c").alias("c")).agg(F.percentile_approx("c", parts, 4 * blocks)).scalar()
+    # sorted cut points: a search by halving, not a scan of the list
+    steps = F.array(*[F.lit(blocks >> i) for i in range(1, blocks.bit_length())])
     place = F.aggregate(
         steps,
         F.lit(0),

@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from dqengine.functions import numbers as nm
 from dqengine.functions import text as tx
 from dqengine.operators import stats as st
+from dqengine.session import materialize
 
 DISTINCT_SHOWN_BELOW = 50
 TOP_SHOWN_BELOW = 20
+LONG_TEXT = 64
 
 # Terms whose presence in a text raises each flag.
 KEYWORD_GROUPS = {
@@ -47,31 +49,59 @@ def shown(df: DataFrame, name: str) -> Column:
     return st.present(df, name).cast("string")
 
 
+def _cells(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("column"), shown(df, c).alias("value")) for c in (columns or df.columns)]
+    return df.select(F.inline(F.array(*cells)))
+
+
 def value_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows ``(column, value, n)``: every distinct value as text, missing ones as NULL.
 
     One scan and one shuffle for all columns; counting starts before the shuffle.
     """
-    cells = [
-        F.struct(F.lit(c).alias("column"), shown(df, c).alias("value")) for c in (columns or df.columns)
-    ]
-    return df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(F.count("*").alias("n"))
+    return _cells(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def key_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows ``(column, key, is_long, n)``: the same, a long text counted under its digest.
+
+    The shuffle then moves at most 64 characters per value, however long the texts.
+    """
+    keyed = _cells(df, columns).select("column", *_key(F.col("value")))
+    return keyed.groupBy("column", "key", "is_long").agg(F.count("*").alias("n"))
+
+
+def _key(value: Column) -> tuple[Column, Column]:
+    is_long = F.coalesce(F.length(value) > LONG_TEXT, F.lit(False))
+    return F.when(is_long, F.sha2(value, 256)).otherwise(value).alias("key"), is_long.alias("is_long")
 
 
 def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
-    """The ``k`` most frequent values per column, missing ones shown as ``nan``."""
-    return _top(value_table(df, columns), k)
+    """The ``k`` most frequent values per column, missing ones shown as ``nan``.
+
+    Ties go by value, those of texts above 64 characters by their digest.
+    """
+    return _top(df, key_table(df, columns), k, columns)
 
 
-def _top(values: DataFrame, k: int) -> DataFrame:
-    named = values.withColumn("value", F.coalesce("value", F.lit("nan")))
+def _top(df: DataFrame, keys: DataFrame, k: int, columns: Sequence[str] | None = None) -> DataFrame:
+    named = keys.withColumn("key", F.coalesce("key", F.lit("nan")))
     # row_number <= k is cut per task before the shuffle, so a wide column is no hot group
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    return (
-        named.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("column", "value", F.col("n").alias("count"), "rank")
-    )
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "key")
+    ranked = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    texts = [c for c in (columns or df.columns) if st.is_text(df, c)]
+    if not texts:
+        return ranked.select("column", F.col("key").alias("value"), F.col("n").alias("count"), "rank")
+    few = materialize(ranked)  # k rows per column
+    short = few.filter("not is_long").select("column", F.col("key").alias("value"), F.col("n").alias("count"), "rank")
+    wanted = few.filter("is_long").drop("is_long")
+    if wanted.isEmpty():
+        return short
+    # read once more for the texts behind the few digests
+    cells = _cells(df, texts).select("column", "value", *_key(F.col("value"))).filter("is_long")
+    found = cells.join(F.broadcast(wanted), ["column", "key"])
+    long = found.groupBy("column", "key", "n", "rank").agg(F.any_value("value").alias("value"))
+    return short.unionByName(long.select("column", "value", F.col("n").alias("count"), "rank"))
 
 
 def observed(df: DataFrame) -> DataFrame:
@@ -113,13 +143,15 @@ def profile(df: DataFrame, k: int = 5, approx: bool = False) -> DataFrame:
         ]
         counted = df.agg(*guess).select(F.inline(F.array(*cells)))
         few = [r["column"] for r in counted.filter(F.col("distinct") < TOP_SHOWN_BELOW).collect()]
-        values = value_table(df, few or df.columns[:1])
+        few = few or df.columns[:1]
+        keys = key_table(df, few)
         distinct = counted
     else:
-        values = value_table(df)
-        distinct = values.groupBy("column").agg(F.count("value").alias("distinct"))
+        few = df.columns
+        keys = key_table(df)
+        distinct = keys.groupBy("column").agg(F.count("key").alias("distinct"))
     tops = (
-        _top(values, k)
+        _top(df, keys, k, few)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
         .select("column", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("tops"))

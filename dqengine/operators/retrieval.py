@@ -291,15 +291,20 @@ def sparse_search(
     if method not in ("bm25", "tfidf"):
         raise ValueError(f"method is bm25 or tfidf, not {method!r}")
     lists = chunks.filter("content is not null").select("chunk_id", tx.words(F.col("content")).alias("words"))
-    totals = lists.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    asked = size_checked(_query_words(queries).select(F.explode("words").alias("word")).distinct())
-    held = lists.select(F.explode(F.array_distinct("words")).alias("word"))
-    frequent = materialize(held.join(asked, "word").groupBy("word").agg(F.count("*").alias("df")))
+    asked = _query_words(queries).select(F.explode("words").alias("word"))
+    # words are never empty, so an empty one stands for the chunk itself: one pass counts both
+    asked = size_checked(asked.union(queries.sparkSession.createDataFrame([("",)], "word string")).distinct())
+    every = F.concat(F.array_distinct("words"), F.array(F.lit("")))
+    held = lists.select(F.size("words").alias("length"), F.explode(every).alias("word"))
+    counted = held.join(asked, "word").groupBy("word").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    frequent = materialize(counted)
+    total = frequent.filter("word = ''").first()
+    n, mean = (total["df"], total["length"] / total["df"]) if total else (0, 0.0)
     found = []
     for ids, vocabulary, has in _word_blocks(queries):
         # bounded: one row per word of the block
         df = {r["word"]: r["df"] for r in frequent.filter(F.col("word").isin(vocabulary)).collect()}
-        freq, n = np.array([df.get(w, 0) for w in vocabulary]), totals["n"]
+        freq = np.array([df.get(w, 0) for w in vocabulary])
         # a word that no chunk has meets no count, so its weight is free
         idf = np.log1p((n - freq + 0.5) / (freq + 0.5)) if method == "bm25" else np.log(n / np.maximum(freq, 1))
         listed = pa.array(vocabulary, pa.string())
@@ -308,7 +313,7 @@ def sparse_search(
             tf = word_counts(batch, listed).astype(np.float64)
             if method == "bm25":
                 length = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False)[:, None]
-                tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / totals["mean"]))
+                tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean))
             return tf @ weights
 
         found.append(_best_per_task(lists, queries, ids, has * idf[:, None], score, top_k, ABOVE_ZERO))

@@ -186,6 +186,15 @@ def test_profile_of_nan(spark):
     assert guess == {"v": 1, "s": 1}
 
 
+def test_top_values_of_long_texts(spark):
+    texts = ["a" * 100] * 3 + ["b" * 100] * 2 + ["c", None, None, None, None]
+    df = spark.createDataFrame([(t, 1) for t in texts], "s string, n int")
+    got = [(r["value"], r["count"]) for r in pf.top_values(df, 3, ["s"]).orderBy("rank").collect()]
+    assert got == [("nan", 4), ("a" * 100, 3), ("b" * 100, 2)]
+    rows = {r["name"]: r for r in pf.profile(df).collect()}
+    assert rows["s"]["unique_values"] == 3 and rows["s"]["top_values"][1]["value"] == "a" * 100
+
+
 # ------------------------------------------------------------ duplicates
 
 
