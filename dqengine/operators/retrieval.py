@@ -293,7 +293,7 @@ def sparse_search(
     lists = chunks.filter("content is not null").select("chunk_id", tx.words(F.col("content")).alias("words"))
     asked = _query_words(queries).select(F.explode("words").alias("word"))
     # words are never empty, so an empty one stands for the chunk itself: one pass counts both
-    asked = size_checked(asked.union(queries.sparkSession.createDataFrame([("",)], "word string")).distinct())
+    asked = size_checked(asked.union(queries.sparkSession.range(1).select(F.lit(""))).distinct())
     every = F.concat(F.array_distinct("words"), F.array(F.lit("")))
     held = lists.select(F.size("words").alias("length"), F.explode(every).alias("word"))
     counted = held.join(asked, "word").groupBy("word").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
