@@ -83,7 +83,8 @@ def fill_statistics(
     """Fill several columns by mean, median or mode, computed together.
 
     With ``by`` the statistic of the row's group is used, and the one of the
-    whole table where the group has none.
+    whole table where the group has none. Whole numbers filled with a mean or
+    median become doubles.
     """
     kinds = {k: [c for c, s in strategies.items() if s == k] for k in STATISTICS}
     if unknown := set(strategies.values()) - set(STATISTICS):

@@ -175,6 +175,13 @@ def _gaps(df: DataFrame, prefs: Preferences, order_by: Sequence[str], fill_value
     others = [c for c in df.columns if st.is_text(df, c)]
     chosen = {c: prefs.numeric_missing_strategy for c in numbers}
     chosen |= {c: prefs.categorical_missing_strategy for c in others}
+    active = {c: s for c, s in chosen.items() if s is not MissingStrategy.KEEP_AS_NULL}
+    if not active:
+        return df
+    # one small job: only columns with gaps are filled, complete ones keep their type
+    gaps = pf.missing_table(df.select(*map(st.quoted, active))).filter("n_missing > 0")
+    found = {r["column"] for r in gaps.collect()}
+    chosen = {c: s for c, s in active.items() if c in found}
     shared = {c: s.value for c, s in chosen.items() if s.value in nulls.STATISTICS}
     for c, s in shared.items():
         if c in others and s != "fill_mode":

@@ -428,7 +428,7 @@ def _(t):
     """with s as (select avg(acctbal) as m, stddev_pop(coalesce(acctbal, 0)) as d, avg(coalesce(acctbal, 0)) as z from dirty_customer),
        o as (select segment from dirty_customer where segment is not null group by segment order by count(*) desc, segment limit 1)
        select id as chave, round((coalesce(acctbal, 0) - z) / d, 6) as acctbal, upper(coalesce(segment, (select segment from o))) as segment,
-         length(nome)::int as nome_length from dirty_customer, s where id > 10""",
+         length(nome)::int as nome_length from dirty_customer, s where (coalesce(acctbal, 0) - z) / d > 0""",
 )
 def _(t):
     plan = pl.Plan(
@@ -441,7 +441,7 @@ def _(t):
             pl.Step("feature_engineering", "nome", {"kind": "text_length"}),
             pl.Step("change_datatype", "id", {"type": "bigint", "errors": "raise"}),
             pl.Step("data_visualization", "segment"),
-            pl.Step("filter_rows", None, {"condition": "chave > 10"}),
+            pl.Step("filter_rows", None, {"condition": "acctbal > 0"}),
         )
     )
     plan = pl.Plan.from_json(plan.to_json())
