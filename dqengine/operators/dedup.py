@@ -115,7 +115,8 @@ def fuzzy_duplicates(
     variants = heads.select(*block, "t", "head", F.explode(F.array_distinct(shortened)).alias("variant"))
     left = variants.withColumnsRenamed({"t": "t_a", "head": "id_a"})
     right = variants.withColumnsRenamed({"t": "t_b", "head": "id_b"})
-    met = match_keys(left, right, [*block, "variant"]).filter("id_a < id_b")
+    # size estimates do not see how far heads grow, so a broadcast is ruled out
+    met = match_keys(left, right.hint("merge"), [*block, "variant"]).filter("id_a < id_b")
     near = (
         met.withColumn("distance", F.levenshtein("t_a", "t_b", max_distance))
         .filter(F.col("distance") >= 0)
