@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from dqengine.functions import numbers as nm
 from dqengine.operators import stats as st
-from dqengine.session import join_stats
 
 
 def parse_or(df: DataFrame, column: str, parsed: Column, errors: str) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dqengine.functions import dates as dt
 from dqengine.functions import names as nn
 from dqengine.functions import text as tx
 from dqengine.operators import columns as cols

@@ -12,7 +12,6 @@ from dqengine.functions import numbers as nm
 from dqengine.operators import columns as cols
 from dqengine.operators import dates, nulls, numeric
 from dqengine.operators import profile as pf
-from dqengine.operators import stats as st
 from dqengine.registry.base import query
 from dqengine.session import scratch_path
 from dqengine.sources import readers, sinks
