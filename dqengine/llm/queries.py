@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_rules, token_files
+from . import decontaminate, line_dedup, mixing, quality_rules, simhash, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *names, "base_failed", "kept", "stratum", "rejected_by")
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select(
@@ -56,6 +61,7 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
+    "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
