@@ -156,7 +156,9 @@ def components(links: DataFrame, left: str = "id_a", right: str = "id_b", rounds
 
 def _star(edges: DataFrame, keep: Column | None) -> DataFrame:
     """Link the neighbours of each node (those kept, and the node itself) to its least neighbour."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    # written first: a join reading an aggregate directly is not split by adaptive execution when a hub is hot
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(least.select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
     joined = edges.join(least, F.col("u") == F.col("w"))
     linked = (joined.filter(keep) if keep is not None else joined).select(F.col("v").alias("a"), "m")
     if keep is None:
