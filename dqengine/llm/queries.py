@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_rules, simhash, token_files
+from . import decontaminate, langid, line_dedup, mixing, quality_rules, simhash, token_files
+from .tables import fold
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
+    model = langid.train(docs.filter(~F.col("held_out")))
+    guess = docs.select("doc_id", "held_out", langid.predict(model, F.col("text")).alias("guess"))
+    return guess.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encode_documents(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -59,6 +67,7 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,

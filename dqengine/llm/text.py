@@ -86,10 +86,10 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums from which the hash of any byte range follows (see ``range_hash``)."""
+    """Running sums from which the hash of any range of bytes or code points follows (see ``range_hash``)."""
     rows = (len(data) >> _STEP) + 1
     power = (_powers(int(_LOW[-1]) * _BASE % (1 << 64), rows)[:, None] * _LOW[None, :]).ravel()[: len(data)]
-    power *= _BYTE[data]
+    power *= _BYTE[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64)) | np.uint64(1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(power, out=out[1:])
     return out
@@ -118,8 +118,26 @@ def signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
-def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts and the offsets of each."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    joined = "".join(texts).encode("utf-32-le", "surrogatepass")
+def characters(texts: list[str], between: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each followed by ``between``, and the offsets of each."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + len(between)
+    joined = (between.join(texts) + between).encode("utf-32-le", "surrogatepass") if texts else b""
     return np.frombuffer(joined, np.uint32), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` code points from every place on (``n`` - 1 fewer than places)."""
+    if len(points) < n:
+        return np.zeros(0, np.uint64)
+    out = points[: len(points) - n + 1].astype(np.uint64)
+    for k in range(1, n):
+        out = out * np.uint64(_BASE) + points[k : len(points) - n + 1 + k]
+    return mix(out + np.uint64(n))
+
+
+def look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in the ascending ``keys``, -1 where absent."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
