@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, quality_rules, simhash, token_files
+from . import decontaminate, langid, line_dedup, mixing, quality_crf, quality_rules, simhash, token_files, toxicity
 from .tables import fold
 
 
@@ -23,6 +23,13 @@ def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
     return guess.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
+def op2_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = quality_crf.train(docs.filter(~F.col("held_out")), _table(spark, folder, "labels"))
+    scored = docs.select("doc_id", "held_out", quality_crf.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encode_documents(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -66,14 +73,23 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = toxicity.train(docs.filter(~F.col("held_out")), _table(spark, folder, "labels"))
+    scored = docs.select("doc_id", "held_out", toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_quality_crf": op2_quality_crf,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
