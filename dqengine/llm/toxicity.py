@@ -71,7 +71,8 @@ class ToxicityModel:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         rows, found = self.present([t or "" for t in texts])
-        return sigmoid(self.bias + np.bincount(rows, self.weights[found], len(texts)))
+        length = np.sqrt(np.maximum(np.bincount(rows, minlength=len(texts)), 1))
+        return sigmoid(self.bias + np.bincount(rows, self.weights[found], len(texts)) / length)
 
 
 def _present(model: ToxicityModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +96,9 @@ def train(
     """Learn from about ``per_class`` labelled texts of each class (drawn by a hash of the id).
 
     Presence of an n-gram is counted by class over the sample, in Spark. The ``most`` n-grams whose
-    log ratio stands furthest from zero in its standard errors become features, valued at that ratio;
-    a logistic regression on them with a quadratic penalty gives the coefficients. What the driver
+    log ratio stands furthest from zero in its standard errors become features, valued at that ratio and
+    divided by the root of the number of features in the text, so that length alone decides nothing. A
+    logistic regression on them, with a quadratic penalty that eases as the sample grows, gives the coefficients. What the driver
     holds is bounded: 2 * ``per_class`` sparse rows of at most ``most`` features. With one
     class only, or none, the score is the share of toxic labels (a half without labels).
     """
@@ -123,11 +125,12 @@ def train(
     feature = lists.flatten().to_numpy()
     # each class weighs half, so the sampling rates do not move the threshold of 0.5
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    value = ratios[feature]
+    value = ratios[feature] / np.sqrt(np.maximum(lists.value_lengths().to_numpy(), 1))[of]
+    penalty = 0.33 / len(y)
 
     def gradient(x: np.ndarray) -> np.ndarray:
         miss = weight * (sigmoid(x[-1] + np.bincount(of, value * x[feature], len(y))) - y)
-        return np.append(np.bincount(feature, value * miss[of], len(keys)) + 1e-5 * x[:-1], miss.sum())
+        return np.append(np.bincount(feature, value * miss[of], len(keys)) + penalty * x[:-1], miss.sum())
 
     x = adam(gradient, np.zeros(len(keys) + 1), 200, 0.05)
     return ToxicityModel(keys, ratios * x[:-1], float(x[-1]))
