@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, quality_crf, quality_rules, simhash, token_files, toxicity
+from . import decontaminate, langid, line_dedup, mixing, quality_crf, quality_rules, simhash, suffix_tree, token_files, toxicity
 from .tables import fold
 
 
@@ -73,6 +73,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score_texts(_table(spark, folder, "documents"), fold("doc_id", 7) == 2)
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
     model = toxicity.train(docs.filter(~F.col("held_out")), _table(spark, folder, "labels"))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_toxicity": op10_toxicity,
 }
 
