@@ -1,24 +1,57 @@
-"""From raw documents to token files: the stages of the training-data pipeline."""
+"""From raw documents to token files: the stages of the training-data pipeline.
+
+Every stage takes the documents that the one before kept and returns them with the same columns;
+the last returns one row per document of the token files. Empty tables pass through every stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dqengine.llm import mixing
+from dqengine.llm import decontaminate, mixing, quality_crf, simhash, token_files
 from dqengine.llm.tables import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier, trained on all labelled ones, scores at least 0.7."""
+    model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.keep_good(docs, model)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (3-word shingles, at most 3 of 64 bits apart)."""
+    return simhash.keep_one(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten words of a benchmark item, nor a whole shorter item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target asks for."""
     return mixing.mixed_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources)]
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the shared folder, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    return token_files.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_crf", keep_quality),
+    ("simhash", keep_distinct),
+    ("decontaminate", keep_clean),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
 
+# A trained classifier and a tokenizer are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
