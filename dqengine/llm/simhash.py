@@ -207,8 +207,11 @@ def print_links(prints: DataFrame, reach: int = MAX_BITS) -> DataFrame:
     """
     if not 0 <= reach <= MAX_BITS:
         raise ValueError(f"the code's tables reach {MAX_BITS} bits")
-    met = prints.select("print").mapInArrow(lambda it: _expand(reach, it), "anchor int, print long, home boolean")
-    nearest = prints.select("print").mapInArrow(lambda it: _expand(0, it), "anchor int, print long, home boolean")
+    # each print becomes a hundred rows: deal them out first, so that no task grows that much
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.select("print").repartition(tasks, "print")
+    met = prints.mapInArrow(lambda it: _expand(reach, it), "anchor int, print long, home boolean")
+    nearest = prints.mapInArrow(lambda it: _expand(0, it), "anchor int, print long, home boolean")
     # at most 32768 rows, as many as the code has anchors
     crowded = nearest.groupBy("anchor").count().filter(F.col("count") > HOMES)
     crowded = stored(crowded.select("anchor", F.ceil(F.col("count") / HOMES).cast("int").alias("parts")), "crowded")
