@@ -197,12 +197,12 @@ def _links(found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def print_links(prints: DataFrame, reach: int = MAX_BITS) -> DataFrame:
-    """Links (id_a, id_b) between distinct fingerprints that join all within ``reach`` bits of each other.
+    """Pairs (id_a, id_b) of distinct fingerprints whose components are those of all links within ``reach`` bits.
 
     ``prints``: distinct longs in a column ``print``. Every fingerprint is at home at its nearest
     anchor and visits all anchors in reach (about a hundred). At an anchor every visitor is
     compared with every home; what leaves the task is a spanning set of the links found
-    there, at most one a row, however dense a group of near copies is. An anchor with
+    there (each print with the least home it is connected to), at most one a row, however dense a group of near copies is. An anchor with
     very many homes is split into parts, and its visitors go to each.
     """
     if not 0 <= reach <= MAX_BITS:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import stored
-from .text import BLANKS, LOWER, look_up, mix, pieces, row_sums, signed, string_bytes, word_hashes, words
+from .text import BLANKS, LOWER, look_up, mix, pieces, signed, string_bytes, word_hashes, words
 
 DEPTH = 4  # words of the longest context
 LEAST = 1e-5  # share of all tokens below which a run of words is neither context nor prediction
@@ -27,7 +27,7 @@ BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the beginning and the end o
 SIEVE_BITS, SLICES = 20, 256  # counters that sift runs of words before they are counted
 # One row a piece of a partition (about four megabytes of whole texts): its distinct words once,
 # its texts as places in that list.
-PACKED = "piece long, doc_id array<long>, held_out array<boolean>, first array<int>, word array<string>, n array<long>, at array<int>"
+PACKED = "piece long, doc_id array<long>, held_out array<boolean>, first array<int>, words binary, n binary, at binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
@@ -42,49 +42,70 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, one, at = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
             learnt = np.repeat(~held, np.diff(first))
             n = np.bincount(at[learnt], minlength=len(one)).astype(np.int64)
-            size = (ends - starts)[one]
+            often = np.argsort(-np.bincount(at, minlength=len(one)), kind="stable")  # small places for common words
+            one, n = one[often], n[often]
+            size = (ends - starts)[one] + 1
             bounds = np.concatenate([[0], np.cumsum(size)])
-            spelt = data[np.repeat(starts[one] - bounds[:-1], size) + np.arange(bounds[-1])]
-            text = pa.StringArray.from_buffers(len(one), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(spelt))
-
-            def row(values, kind) -> pa.Array:
-                values = values if isinstance(values, pa.Array) else pa.array(values, kind)
-                return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    row(piece.column("doc_id"), pa.int64()),
-                    row(piece.column("held_out"), pa.bool_()),
-                    row(first, pa.int32()),
-                    row(text, pa.string()),
-                    row(n, pa.int64()),
-                    row(at, pa.int32()),
-                ],
-                names=[f.split()[0] for f in PACKED.split(", ")],
-            )
+            spelt = np.full(bounds[-1], 0x0A, np.uint8)
+            inner = np.repeat(starts[one] - bounds[:-1], size) + np.arange(bounds[-1])
+            inside = np.ones(len(spelt), bool)
+            inside[bounds[1:] - 1] = False
+            spelt[inside] = data[inner[inside]]
+            columns = [
+                pa.array([number], pa.int64()),
+                *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (piece.column("doc_id"), piece.column("held_out"), pa.array(first, pa.int32()))],
+                *[pa.array([_shrink(x)], pa.binary()) for x in (spelt, n.astype("<i4"), np.argsort(often).astype("<i4")[at])],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PACKED.split(", ")])
             number += 1
 
 
+def _shrink(values: np.ndarray) -> bytes:
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _grow(value: pa.Scalar, kind: type | str) -> np.ndarray:
+    raw = value.as_buffer()
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), "zstd"), kind)
+
+
 def _flat(batch: pa.RecordBatch | pa.Table, row: int, name: str) -> pa.Array:
     """The list that one packed row holds in a column."""
     return batch.column(name)[row].values
 
 
+def _spelt(batch: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a packed row's words, where each starts and ends."""
+    data = _grow(batch.column("words")[row], np.uint8)
+    ends = np.flatnonzero(data == 0x0A)
+    return data, np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends, ends
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (piece, place, word, n) for each distinct word of a piece."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            data, starts, ends = _spelt(batch, row)
+            bounds = np.append(starts, len(data)) - np.arange(len(starts) + 1)
+            text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data[data != 0x0A]))
+            piece = pa.array(np.full(len(starts), batch.column("piece")[row].as_py(), np.int64))
+            n = pa.array(_grow(batch.column("n")[row], "<i4"), pa.int64())
+            yield pa.RecordBatch.from_arrays([piece, pa.array(np.arange(len(starts), dtype=np.int32)), text, n], names=["piece", "place", "word", "n"])
+
+
 def _stream(batch: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all texts of a packed row, each from BEGIN to END; per symbol how many of its text
-    stand before it, its text, and its place in the piece's tokens (texts' ends count as tokens)."""
-    data, offsets = string_bytes(_flat(batch, row, "word"))
-    hashes = np.append(word_hashes(data, offsets[:-1], offsets[1:]), END)
+    stand before it, its text, and whether it is a word."""
+    hashes = word_hashes(*_spelt(batch, row))
     first = _flat(batch, row, "first").to_numpy().astype(np.int64)
-    at = _flat(batch, row, "at").to_numpy()
     texts = len(first) - 1
     sizes = np.diff(first) + 2
     begin = np.cumsum(sizes) - sizes
     symbols = np.empty(int(sizes.sum()), np.uint64)
     inner = np.ones(len(symbols), bool)
     inner[begin] = inner[begin + sizes - 1] = False
-    symbols[inner] = hashes[at]
+    symbols[inner] = hashes[_grow(batch.column("at")[row], "<i4")]
     symbols[begin], symbols[begin + sizes - 1] = BEGIN, END
     text = np.repeat(np.arange(texts), sizes)
     return symbols, np.arange(len(symbols)) - begin[text], text, inner
@@ -208,7 +229,7 @@ def grow(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, le
     shorter = (keys, tree.alone(n))  # chances of the predictions of the context one word shorter
     suffix = np.zeros(len(keys), np.uint64)
     found = []
-    texts = packed.select("held_out", "first", "word", "at")
+    texts = packed.select("held_out", "first", "words", "at")
     for length in range(2, depth + 2):
         if not ends:
             break
@@ -255,8 +276,8 @@ def grow(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, le
 def _texts_scored(tree: SuffixTree, types: int, packed: pa.Table, found: pa.Table) -> pa.Table:
     """Scores of the texts of one piece, given the counts of its distinct words."""
     first = _flat(packed, 0, "first").to_numpy().astype(np.int64)
-    place = _flat(packed, 0, "at").to_numpy()
-    count = np.zeros(len(_flat(packed, 0, "word")) + 1, np.int64)
+    place = _grow(packed.column("at")[0], "<i4")
+    count = np.zeros(found.num_rows, np.int64)
     count[found["place"].to_numpy()] = found["c"].to_numpy()
     symbols, before, text, inner = _stream(packed, 0)
     each = np.full(len(symbols), tree.ends, np.int64)
@@ -290,9 +311,9 @@ def score_texts(
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     packed = stored(rows.mapInArrow(_pack, PACKED), "packed")
-    listed = packed.select("piece", "n", F.posexplode("word").alias("place", "word"))
+    listed = packed.select("piece", "words", "n").mapInArrow(_listed, "piece long, place int, word string, n long")
     # written before the join, so that adaptive execution can split a word that is in every piece
-    counts = stored(listed.select("word", F.get(F.col("n"), F.col("place")).alias("n")).groupBy("word").agg(F.sum("n").alias("c")), "words")
+    counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = packed.select(F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("n")).first()["n"] or 0
     tree = grow(packed, counts, ends, depth, least)
     types = counts.filter(F.col("c") > 0).count() + int(ends > 0)
