@@ -87,12 +87,15 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running sums from which the hash of any range of bytes or code points follows (see ``range_hash``)."""
-    rows = (len(data) >> _STEP) + 1
-    power = (_powers(int(_LOW[-1]) * _BASE % (1 << 64), rows)[:, None] * _LOW[None, :]).ravel()[: len(data)]
-    power *= _BYTE[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64)) | np.uint64(1)
+    step = 1 << _STEP
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(power, out=out[1:])
-    return out
+    high = _powers(int(_LOW[-1]) * _BASE % (1 << 64), (len(data) >> _STEP) + 1)
+    # block by block, in place: the sums are the only array of the data's length
+    for at, power in zip(range(0, len(data), step), high):
+        part = data[at : at + step]
+        values = _BYTE[part] if part.dtype == np.uint8 else mix(part.astype(np.uint64)) | np.uint64(1)
+        out[at + 1 : at + 1 + len(part)] = values * _LOW[: len(part)] * power
+    return np.cumsum(out, out=out)
 
 
 def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
