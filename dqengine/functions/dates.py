@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,10 @@ FORMATS = {
     "us_format": (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "mdy"),
 }
 # What "auto" reads, day first where unclear, each with an optional time.
-CLOCK = r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?"
+CLOCK = r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?"
+COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
+# A zone after a clock, ``Z`` or an offset in hours and minutes.
+ZONE = r"(:[0-9]{2}(?:\.[0-9]{1,9})?) ?(?:Z|([+-][0-9]{2}):?([0-9]{2}))$"
 AUTO = (
     (rf"^[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\1[0-9]{{4}}{CLOCK}$", "dmy"),
     (rf"^[0-9]{{4}}([-/])[0-9]{{1,2}}\1[0-9]{{1,2}}{CLOCK}$", "ymd"),
@@ -31,18 +36,39 @@ def _made(c: Column, order: str) -> Column:
         return F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
 
     day, month, year = (number(order.index(unit)) for unit in "dmy")
-    return F.try_make_timestamp_ntz(year, month, day, number(3), number(4), number(5))
+    fraction = F.concat(F.lit("0."), F.get(parts, F.lit(6))).try_cast("decimal(16,6)")
+    second = number(5).cast("decimal(16,6)") + F.coalesce(fraction, F.lit(0))
+    return F.try_make_timestamp_ntz(year, month, day, number(3), number(4), second.cast("decimal(16,6)"))
+
+
+def _zoned(c: Column) -> Column:
+    """A time with a zone, brought to UTC; the text without it must fit one of the shapes."""
+    made = _shaped(F.regexp_replace(c, ZONE, "$1"), AUTO)
+    hours, minutes = (F.coalesce(F.regexp_extract(c, ZONE, i).try_cast("int"), F.lit(0)) for i in (2, 3))
+    sign = F.when(F.regexp_extract(c, ZONE, 2).startswith("-"), -1).otherwise(1)
+    return made - F.make_dt_interval(F.lit(0), hours, sign * minutes)
+
+
+def _shaped(c: Column, shapes: Sequence[tuple[str, str]]) -> Column:
+    out = F.lit(None).cast("timestamp_ntz")
+    for shape, order in reversed(shapes):
+        out = F.when(c.rlike(shape), _made(c, order)).otherwise(out)
+    return out
 
 
 def parse_date(c: Column, format: str = "auto") -> Column:
-    """Parse text to a timestamp; text that is no date gives NULL."""
+    """Parse text to a timestamp; text that is no date gives NULL.
+
+    ``auto`` also reads fractions of a second, eight digits as year, month and day, and times with
+    a zone, which become UTC.
+    """
     if format != "auto" and format not in FORMATS:
         raise ValueError(f"unknown date format {format!r}")
     c = trim_text(c)
-    out = F.lit(None).cast("timestamp_ntz")
-    for shape, order in reversed(AUTO if format == "auto" else (FORMATS[format],)):
-        out = F.when(c.rlike(shape), _made(c, order)).otherwise(out)
-    return out
+    if format != "auto":
+        return _shaped(c, (FORMATS[format],))
+    plain = F.when(c.rlike(COMPACT), _made(F.regexp_replace(c, COMPACT, "$1-$2-$3"), "ymd")).otherwise(_shaped(c, AUTO))
+    return F.when(c.rlike(ZONE), _zoned(c)).otherwise(plain)
 
 
 def format_date(c: Column, style: str = "iso") -> Column:

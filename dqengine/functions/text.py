@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the plain letters they stand for.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks and the plain letters below them, by their canonical decomposition."""
+    pairs = {chr(p): unicodedata.normalize("NFD", chr(p))[0] for p in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    pairs = {c: plain for c, plain in pairs.items() if plain != c and plain.isascii()}
+    pairs |= dict(zip("ŁłĐđØøĦħŦŧ", "LlDdOoHhTt"))  # strokes have no decomposition
+    return "".join(pairs), "".join(pairs.values())
 
-# Whitespace that Java's and RE2's ``\s`` agree on.
-SPACE = r"[ \t\n\f\r]"
+
+ACCENTED, PLAIN = _accents()
+MARKS = "".join(map(chr, range(0x300, 0x370)))  # combining marks, dropped where they stand alone
+
+# The blanks of Unicode, and their regular expression.
+BLANKS = r" \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = f"[{BLANKS}]"
 
 # Punctuation that the moderate cleaning level keeps.
 KEPT_PUNCTUATION = r".,;:!?'\"()\-/@%&"
 
 
 def remove_accents(c: Column) -> Column:
-    """Plain letters for accented Latin ones, case kept. Other alphabets stay."""
-    return F.translate(c, ACCENTED, PLAIN)
+    """Plain letters for accented Latin ones, composed or not, case kept. Other alphabets stay."""
+    return F.translate(c, ACCENTED + MARKS, PLAIN)
 
 
 def trim_text(c: Column) -> Column:
@@ -40,12 +49,12 @@ def clean_minimal(c: Column) -> Column:
 
 def clean_moderate(c: Column) -> Column:
     """Keep letters, digits, spaces and plain punctuation."""
-    return clean_minimal(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}} \t\n\f\r{KEPT_PUNCTUATION}]+", ""))
+    return clean_minimal(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{BLANKS}{KEPT_PUNCTUATION}]+", ""))
 
 
 def clean_aggressive(c: Column) -> Column:
     """Lower case, no accents, only ``a-z``, digits and single spaces."""
-    return clean_minimal(F.regexp_replace(F.lower(remove_accents(c)), r"[^a-z0-9 \t\n\f\r]+", ""))
+    return clean_minimal(F.regexp_replace(F.lower(remove_accents(c)), rf"[^a-z0-9{BLANKS}]+", ""))
 
 
 def clean_custom(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -86,8 +95,12 @@ def fix_encoding(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Upper case at the start of every run of letters (``o'neil a1b`` -> ``O'Neil A1B``)."""
     # initcap only starts words at spaces: other breaks get a marked space for its time
-    broken = F.regexp_replace(F.lower(c), r"([^\p{L} ])(\p{L})", "$1\u0001 $2")
-    return F.replace(F.initcap(broken), F.lit("\u0001 "), F.lit(""))
+    low = F.lower(c)
+    broken = F.regexp_replace(low, r"([^\p{L} ])(\p{L})", "$1\u0001 $2")
+    marked = F.replace(F.initcap(broken), F.lit("\u0001 "), F.lit(""))
+    # a text that holds the mark itself is cut where a letter follows something else
+    pieces = F.array_join(F.transform(F.split(low, r"(?<=[^\p{L}])(?=\p{L})"), _capital), "")
+    return F.when(F.contains(c, F.lit("\u0001")), pieces).otherwise(marked)
 
 
 def _capital(word: Column) -> Column:

@@ -128,13 +128,17 @@ def audit(
     scale: Scale | None = None,
     categories: Sequence[str] = (),
     min_priority: str = "medium",
+    checks: Sequence[str] = (),
 ) -> DataFrame:
     """Rows ``(check_id, category, priority, column, n_rows, n_violations, rate, detail)``.
 
-    Every check on single columns and rows is part of one aggregation over the
+    ``checks`` names the only checks to run, of those that categories and priority leave. Every check on single columns and rows is part of one aggregation over the
     table; only checks that must group (case, duplicates, relations, scale) add a job.
     """
     want = set(selected(categories, min_priority))
+    if unknown := set(checks) - set(CHECKS):
+        raise ValueError(f"unknown checks {sorted(unknown)}")
+    want = want & set(checks) if checks else want
     parts = [_single_pass(df, want, rules, relations)]
     if "naming_pattern" in want or "special_name_chars" in want:
         parts.append(_naming(df, want))
@@ -266,10 +270,10 @@ def _naming(df: DataFrame, want: set[str]) -> DataFrame:
 
 def _case(df: DataFrame, texts: Sequence[str]) -> DataFrame:
     """Values that differ from another only by case, from the table of distinct values."""
-    values = pf.value_table(df, texts)
-    folded = values.groupBy("column", F.lower("value").alias("low")).agg(
-        F.count("value").alias("k"), F.sum("n").alias("n")
-    )
+    # counted under digests: whole texts stay where they are
+    cells = [F.struct(F.lit(c).alias("column"), *[F.md5(v.cast("binary")).alias(n) for n, v in (("value", w), ("low", F.lower(w)))]) for c in texts for w in (st.present(df, c),)]
+    values = df.select(F.inline(F.array(*cells))).groupBy("column", "value", "low").agg(F.count("*").alias("n"))
+    folded = values.groupBy("column", "low").agg(F.count("value").alias("k"), F.sum("n").alias("n"))
     found = folded.groupBy("column").agg(
         F.sum("n").alias("rows"), F.sum(F.greatest(F.col("k") - 1, F.lit(0))).alias("bad")
     )

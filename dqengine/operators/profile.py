@@ -63,45 +63,48 @@ def value_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def key_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows ``(column, key, is_long, n)``: the same, a long text counted under its digest.
+    """Rows ``(column, key, head, is_long, n)``: the same, a long text counted under its digest.
 
-    The shuffle then moves at most 64 characters per value, however long the texts.
+    The shuffle then moves the digest and the first 64 characters of a value, however long the texts.
     """
     keyed = _cells(df, columns).select("column", *_key(F.col("value")))
-    return keyed.groupBy("column", "key", "is_long").agg(F.count("*").alias("n"))
+    return keyed.groupBy("column", "key", "head", "is_long").agg(F.count("*").alias("n"))
 
 
-def _key(value: Column) -> tuple[Column, Column]:
+def _key(value: Column) -> tuple[Column, Column, Column]:
     is_long = F.coalesce(F.length(value) > LONG_TEXT, F.lit(False))
-    return F.when(is_long, F.sha2(value, 256)).otherwise(value).alias("key"), is_long.alias("is_long")
+    key = F.when(is_long, F.sha2(value, 256)).otherwise(value)
+    return key.alias("key"), F.substring(value, 1, LONG_TEXT).alias("head"), is_long.alias("is_long")
 
 
 def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
     """The ``k`` most frequent values per column, missing ones shown as ``nan``.
 
-    Ties go by value, those of texts above 64 characters by their digest.
+    Ties go by value, however long: by the first 64 characters first, and where these are equal
+    too, the texts themselves are compared.
     """
     return _top(df, key_table(df, columns), k, columns)
 
 
 def _top(df: DataFrame, keys: DataFrame, k: int, columns: Sequence[str] | None = None) -> DataFrame:
-    named = keys.withColumn("key", F.coalesce("key", F.lit("nan")))
-    # row_number <= k is cut per task before the shuffle, so a wide column is no hot group
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "key")
-    ranked = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    named = keys.withColumns({c: F.coalesce(c, F.lit("nan")) for c in ("key", "head")})
+    # rank <= k is cut per task before the shuffle, so a wide column is no hot group
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "head")
+    ranked = named.withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= k)
     texts = [c for c in (columns or df.columns) if st.is_text(df, c)]
-    if not texts:
-        return ranked.select("column", F.col("key").alias("value"), F.col("n").alias("count"), "rank")
-    few = materialize(ranked)  # k rows per column
-    short = few.filter("not is_long").select("column", F.col("key").alias("value"), F.col("n").alias("count"), "rank")
-    wanted = few.filter("is_long").drop("is_long")
-    if wanted.isEmpty():
-        return short
-    # read once more for the texts behind the few digests
-    cells = _cells(df, texts).select("column", "value", *_key(F.col("value"))).filter("is_long")
-    found = cells.join(F.broadcast(wanted), ["column", "key"])
-    long = found.groupBy("column", "key", "n", "rank").agg(F.any_value("value").alias("value"))
-    return short.unionByName(long.select("column", "value", F.col("n").alias("count"), "rank"))
+    found = ranked.select("column", F.col("head").alias("value"), "n")
+    if texts:
+        few = materialize(ranked)  # k rows per column, and those that tie with the last on 64 characters
+        found = few.filter("not is_long").select("column", F.col("head").alias("value"), "n")
+        wanted = few.filter("is_long").select("column", "key", "n")
+        if not wanted.isEmpty():
+            # read once more for the texts behind the few digests
+            cells = _cells(df, texts).select("column", "value", *_key(F.col("value"))).filter("is_long")
+            long = cells.join(wanted, ["column", "key"]).groupBy("column", "key", "n").agg(F.any_value("value").alias("value"))
+            found = found.unionByName(long.select("column", "value", "n"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
+    placed = found.withColumn("rank", place).filter(F.col("rank") <= k)
+    return placed.select("column", "value", F.col("n").alias("count"), "rank")
 
 
 def observed(df: DataFrame) -> DataFrame:
@@ -142,8 +145,9 @@ def profile(df: DataFrame, k: int = 5, approx: bool = False) -> DataFrame:
             F.struct(F.lit(c).alias("column"), F.col(str(i)).alias("distinct")) for i, c in enumerate(df.columns)
         ]
         counted = df.agg(*guess).select(F.inline(F.array(*cells)))
-        few = [r["column"] for r in counted.filter(F.col("distinct") < TOP_SHOWN_BELOW).collect()]
-        few = few or df.columns[:1]
+        narrow = {r["column"] for r in counted.filter(F.col("distinct") < TOP_SHOWN_BELOW).collect()}
+        # texts show their top values however many they have
+        few = [c for c in df.columns if c in narrow or st.is_text(df, c)] or df.columns[:1]
         keys = key_table(df, few)
         distinct = counted
     else:

@@ -395,14 +395,14 @@ def pack_context(
 def search_many(
     queries: DataFrame,
     chunks: DataFrame,
-    max_queries: int = 8,
+    max_queries: int | None = None,
     max_length: int = 800,
     top_k: int = 8,
     min_score: float = 0.1,
     heading: str = "\n\nRelevant Documentation:\n",
 ) -> DataFrame:
-    """Rows ``(query_id, document)`` for the first queries that found anything."""
-    first = queries.orderBy("query_id").limit(max_queries)
+    """Rows ``(query_id, document)`` for all queries that found anything, or for the first ``max_queries``."""
+    first = queries if max_queries is None else queries.orderBy("query_id").limit(max_queries)
     results = hybrid_search(first, chunks, top_k, min_score=min_score)
     packed = pack_context(results, chunks, None, max_length)
     text = F.concat(F.lit("Query: "), F.col("text"), F.lit(heading), F.col("context"))
@@ -435,9 +435,11 @@ def fuse(
     return both.withColumn("hybrid_score", score)
 
 
-def dedup_results(results: DataFrame, key: str = "url", order_by: Sequence[str] = ("query_id", "rank")) -> DataFrame:
-    """The first result per url, by query and rank."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order_by))
+def dedup_results(
+    results: DataFrame, key: str = "url", order_by: Sequence[str] = ("query_id", "rank"), by: Sequence[str] = ("query_id",)
+) -> DataFrame:
+    """The first result per url within one request; ``by`` names the columns that tell requests apart."""
+    first = F.row_number().over(Window.partitionBy(*by, key).orderBy(*order_by))
     return results.withColumn("__first", first).filter("__first = 1").drop("__first")
 
 
@@ -447,14 +449,16 @@ def rerank(
     title_words: Sequence[str] = TITLE_WORDS,
     title_boost: float = TITLE_BOOST,
     max_results: int = MAX_RESULTS,
+    by: Sequence[str] = ("query_id",),
 ) -> DataFrame:
-    """Raise scores by the first domain that the url has and by words of the title; the best overall."""
+    """Raise scores by the first domain that the url has and by words of the title; the best of each request."""
     factor = F.lit(1.0)
     for domain, boost in reversed(list(domain_boosts)):
         factor = F.when(F.col("url").contains(domain), F.lit(boost)).otherwise(factor)
     lift = F.when(tx.contains_any(F.col("title"), title_words), F.lit(title_boost)).otherwise(F.lit(1.0))
     scored = results.withColumn("rerank_score", F.col("hybrid_score") * factor * lift)
-    return scored.orderBy(F.round("rerank_score", 9).desc(), "url").limit(max_results)
+    best = Window.partitionBy(*by).orderBy(F.round("rerank_score", 9).desc(), "url")
+    return scored.withColumn("__best", F.row_number().over(best)).filter(F.col("__best") <= max_results).drop("__best")
 
 
 # queries

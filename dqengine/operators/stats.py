@@ -77,8 +77,9 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _sketches(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     """Per group: a struct ``n_i, lo_i, hi_i`` bracketing each probability.
 
-    Sketches are made per slice of the input partitions, so neither a hot group
-    nor the whole table ends in one merge. The least lower and the greatest
+    Sketches are made per slice of the rows, dealt in turn within each partition, so neither
+    a hot group nor the whole table ends in one merge, and a slice of sorted data is
+    spread over all of it: the brackets stay narrow in any layout. The least lower and the greatest
     upper bound over the slices bracket the quantile of the union: were every
     slice's bound above it, every slice would hold too few smaller values.
     """
@@ -92,7 +93,7 @@ def _sketches(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
         for side, pick, offset in (("lo", F.min, 0), ("hi", F.max, len(probs))):
             bounds = [pick(F.col(f"ends_{i}")[offset + j]) for j in range(len(probs))]
             merged.append(F.array(*bounds).alias(f"{side}_{i}"))
-    sliced = df.withColumn("__slice", F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)))
+    sliced = df.withColumn("__slice", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(SKETCH_GROUPS)))
     return sliced.groupBy(*by, "__slice").agg(*parts).groupBy(*by).agg(F.struct(*merged).alias("__sk"))
 
 
@@ -113,29 +114,35 @@ def quantile_table(
         marked = join_stats(narrow, sketches, by)
     else:
         marked = narrow.withColumn("__sk", sketches.scalar())
-    cells = []
+    within, beyond = [], []
     for i, name in enumerate(cols):
         v = present(df, name).cast("double")
         for j, p in enumerate(probs):
-            lo, hi = F.col("__sk")[f"lo_{i}"][j], F.col("__sk")[f"hi_{i}"][j]
-            bucket = F.when(v < lo, 0).when(v > hi, 2).otherwise(1)
-            cells.append(
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.lit(float(p)).alias("prob"),
-                    bucket.alias("bucket"),
-                    F.when(bucket == 1, v).alias("inside"),
-                    v.alias("v"),
-                    F.col("__sk")[f"n_{i}"].alias("n"),
+            lo, hi, n = F.col("__sk")[f"lo_{i}"][j], F.col("__sk")[f"hi_{i}"][j], F.col("__sk")[f"n_{i}"]
+            which = (F.lit(name).alias("column"), F.lit(float(p)).alias("prob"))
+            within.append(F.when((v >= lo) & (v <= hi), F.struct(*which, v.alias("inside"), n.alias("n"))))
+            for bucket, out in ((0, v < lo), (2, v > hi)):
+                beyond.append(
+                    F.struct(
+                        *which,
+                        F.lit(bucket).alias("bucket"),
+                        F.count_if(out).alias("c"),
+                        F.min(F.when(out, v)).alias("least"),
+                        F.max(F.when(out, v)).alias("most"),
+                        F.max(n).alias("n"),
+                    )
                 )
-            )
-    # Below and above the bracket only a count and the nearest value are kept.
-    counted = (
-        marked.select(*by, F.inline(F.array(*cells)))
-        .filter("v is not null")
-        .groupBy(*by, "column", "prob", "bucket", "inside")
-        .agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.max("n").alias("n"))
+    # Below and above the bracket only a count and the nearest value are kept; only values inside become rows.
+    none = F.lit(None).cast("double")
+    outside = marked.groupBy(*by).agg(F.array(*beyond).alias("b")).select(*by, F.inline("b")).filter("c > 0")
+    inside = (
+        marked.select(*by, F.inline(F.array_compact(F.array(*within))))
+        .groupBy(*by, "column", "prob", "inside")
+        .agg(F.count("*").alias("c"), F.max("n").alias("n"))
     )
+    counted = inside.select(
+        *by, "column", "prob", F.lit(1).alias("bucket"), "inside", "c", none.alias("least"), none.alias("most"), "n"
+    ).unionByName(outside.withColumn("inside", none))
     keys = [*by, "column", "prob"]
     upto = Window.partitionBy(*keys).orderBy("bucket", "inside").rowsBetween(Window.unboundedPreceding, 0)
     position = F.col("prob") * (F.col("n") - 1)

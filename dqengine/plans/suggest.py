@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,73 +18,75 @@ from dqengine.operators import stats as st
 from dqengine.plans.plan import ALL, Operation, Plan, Step
 from dqengine.plans.prefs import DateFormat, MissingStrategy, NamingStyle, NumberFormat, Preferences, TextCase
 
-# Per rule its order, operation, cap and parameters.
-RENAME_CAP, FILL_CAP, DATE_CAP, NUMBER_CAP, STEP_CAP = 10, 8, 3, 3, 12
+# Parameters of the rules, and the caps of a plan meant to be read by a person.
+SHORT_PLAN = {1: 10, 2: 8, 3: 3, 4: 3}
+SHORT_STEPS = 12
 FILL_PARAMS = '{"strategy": "fill_custom", "value": "N/A"}'
 DATE_PARAMS = '{"format": "auto", "errors": "coerce"}'
 NUMBER_PARAMS = '{"decimal_separator": "comma", "remove_currency": true, "errors": "coerce"}'
 DUPLICATE_PARAMS = '{"keep": "first"}'
 
 
-def suggest_steps(profile: DataFrame) -> DataFrame:
+def suggest_steps(profile: DataFrame, caps: Mapping[int, int] | None = None, most: int | None = None) -> DataFrame:
     """Rows ``(step, operation_type, column_name, params)`` from a profile table.
 
     Irregular names, gaps in texts, texts named like dates or amounts, and
     duplicates when there are more than two columns; a generic pair when
-    nothing applies; 12 steps at most.
+    nothing applies. Every column that a rule hits gets its step, unless ``caps``
+    (rule number to steps) or ``most`` (steps in all) shorten the plan.
     """
     name, text = F.col("name"), F.col("dtype") == "string"
     low = F.lower(name)
     rules = [
-        (1, nn.needs_standardizing(name), Operation.STANDARDIZE_COLUMN_NAME, "{}", RENAME_CAP),
-        (2, text & F.col("is_nullable"), Operation.HANDLE_NULLS, FILL_PARAMS, FILL_CAP),
-        (3, text & tx.contains_any(low, cols.DATE_WORDS), Operation.CONVERT_TO_DATETIME, DATE_PARAMS, DATE_CAP),
-        (4, text & tx.contains_any(low, cols.MONEY_WORDS), Operation.CONVERT_TO_NUMERIC, NUMBER_PARAMS, NUMBER_CAP),
+        (1, nn.needs_standardizing(name), Operation.STANDARDIZE_COLUMN_NAME, "{}"),
+        (2, text & F.col("is_nullable"), Operation.HANDLE_NULLS, FILL_PARAMS),
+        (3, text & tx.contains_any(low, cols.DATE_WORDS), Operation.CONVERT_TO_DATETIME, DATE_PARAMS),
+        (4, text & tx.contains_any(low, cols.MONEY_WORDS), Operation.CONVERT_TO_NUMERIC, NUMBER_PARAMS),
     ]
     hits = [
-        F.when(applies, _step(rule, op, name, params, cap)) for rule, applies, op, params, cap in rules
+        F.when(applies, _step(rule, op, name, params)) for rule, applies, op, params in rules
     ]
-    found = profile.select("position", F.inline(F.array_compact(F.array(*hits))))
-    within = Window.partitionBy("rule").orderBy("position")
-    capped = found.withColumn("nth", F.row_number().over(within)).filter("nth <= cap").drop("nth")
+    capped = profile.select("position", F.inline(F.array_compact(F.array(*hits))))
+    if caps:
+        cap = F.coalesce(*[F.when(F.col("rule") == rule, n) for rule, n in caps.items()])
+        within = Window.partitionBy("rule").orderBy("position")
+        capped = capped.withColumn("nth", F.row_number().over(within)).filter(cap.isNull() | (F.col("nth") <= cap)).drop("nth")
     table = profile.agg(F.count("*").alias("n"), F.min_by("name", "position").alias("first"))
     everything = F.lit(ALL)
     duplicates = table.filter("n > 2").select(
-        F.lit(0).alias("position"), F.inline(F.array(_step(5, Operation.REMOVE_DUPLICATES, everything, DUPLICATE_PARAMS, 1)))
+        F.lit(0).alias("position"), F.inline(F.array(_step(5, Operation.REMOVE_DUPLICATES, everything, DUPLICATE_PARAMS)))
     )
     steps = capped.unionByName(duplicates)
     generic = table.select(
         F.posexplode(
             F.array(
-                _step(6, Operation.STANDARDIZE_COLUMN_NAME, everything, "{}", 1),
-                _step(7, Operation.HANDLE_NULLS, F.col("first"), FILL_PARAMS, 1),
+                _step(6, Operation.STANDARDIZE_COLUMN_NAME, everything, "{}"),
+                _step(7, Operation.HANDLE_NULLS, F.col("first"), FILL_PARAMS),
             )
         ).alias("position", "s")
     ).select("position", "s.*")
     none = steps.agg(F.count("*").alias("k")).scalar() == 0
     every = steps.unionByName(generic.filter(none))
-    # at most 25 rows by now
+    # a few rows a column
     order = Window.partitionBy(F.lit(1)).orderBy("rule", "position")
-    return (
-        every.withColumn("step", F.row_number().over(order))
-        .filter(F.col("step") <= STEP_CAP)
-        .select("step", "operation_type", "column_name", "params")
-    )
+    numbered = every.withColumn("step", F.row_number().over(order))
+    if most is not None:
+        numbered = numbered.filter(F.col("step") <= most)
+    return numbered.select("step", "operation_type", "column_name", "params")
 
 
-def _step(rule: int, op: Operation, name: Column, params: str, cap: int) -> Column:
+def _step(rule: int, op: Operation, name: Column, params: str) -> Column:
     return F.struct(
         F.lit(rule).alias("rule"),
         F.lit(op.value).alias("operation_type"),
         name.alias("column_name"),
         F.lit(params).alias("params"),
-        F.lit(cap).alias("cap"),
     )
 
 
-def suggest_plan(profile: DataFrame) -> Plan:
-    """The suggested steps as a plan; at most 12 rows come to the driver."""
-    rows = suggest_steps(profile).orderBy("step").collect()
+def suggest_plan(profile: DataFrame, caps: Mapping[int, int] | None = None, most: int | None = None) -> Plan:
+    """The suggested steps as a plan; a few rows a column come to the driver."""
+    rows = suggest_steps(profile, caps, most).orderBy("step").collect()
     steps = tuple(Step(r["operation_type"], r["column_name"], json.loads(r["params"])) for r in rows)
     return Plan(steps, overall_summary=f"Cleaning plan with {len(steps)} steps")
 

@@ -33,7 +33,7 @@ def _rows_sql(check: str, table: str, columns: dict[str, str], rows: str = "coun
 
 @query("audit_shape", "K1", _rows_sql("shape", "lineitem", {"": "0::bigint"}))
 def _(t):
-    return _only(au.audit(t.lineitem, categories=["structure"]), "shape")
+    return _only(au.audit(t.lineitem, categories=["structure"], checks=("shape",)), "shape")
 
 
 @query(
@@ -47,7 +47,7 @@ def _(t):
     ),
 )
 def _(t):
-    return _only(au.audit(t.dirty_customer, categories=["structure"]), "needless_columns")
+    return _only(au.audit(t.dirty_customer, categories=["structure"], checks=("needless_columns",)), "needless_columns")
 
 
 @query(
@@ -67,7 +67,7 @@ def _(t):
         F.col("data_txt").alias("preço"),
         "cents",
     )
-    return _only(au.audit(df, categories=["structure", "naming"]), "shape", "naming_pattern", "special_name_chars")
+    return _only(au.audit(df, categories=["structure", "naming"], checks=("shape", "naming_pattern", "special_name_chars",)), "shape", "naming_pattern", "special_name_chars")
 
 
 @query(
@@ -84,7 +84,7 @@ def _(t):
     ),
 )
 def _(t):
-    return _only(au.audit(t.dirty_orders, categories=["data_types"]), "right_types")
+    return _only(au.audit(t.dirty_orders, categories=["data_types"], checks=("right_types",)), "right_types")
 
 
 @query(
@@ -112,7 +112,7 @@ def _(t):
     ),
 )
 def _(t):
-    return _only(au.audit(t.dirty_customer, categories=["missing_values"]), "missing_numeric", "missing_text")
+    return _only(au.audit(t.dirty_customer, categories=["missing_values"], checks=("missing_numeric", "missing_text",)), "missing_numeric", "missing_text")
 
 
 @query(
@@ -129,7 +129,7 @@ def _(t):
     ),
 )
 def _(t):
-    return _only(au.audit(t.dirty_customer, categories=["missing_values"]), "implicit_nulls")
+    return _only(au.audit(t.dirty_customer, categories=["missing_values"], checks=("implicit_nulls",)), "implicit_nulls")
 
 
 @query(
@@ -143,7 +143,7 @@ def _(t):
     df = t.customer.selectExpr(
         "c_custkey", "case when c_custkey % 2 = 0 then upper(c_mktsegment) else lower(c_mktsegment) end as name"
     )
-    return _only(au.audit(df, categories=["text_formatting"]), "case")
+    return _only(au.audit(df, categories=["text_formatting"], checks=("case",)), "case")
 
 
 @query(
@@ -156,7 +156,7 @@ def _(t):
     ),
 )
 def _(t):
-    return _only(au.audit(t.dirty_customer, categories=["text_formatting"]), "outer_spaces")
+    return _only(au.audit(t.dirty_customer, categories=["text_formatting"], checks=("outer_spaces",)), "outer_spaces")
 
 
 @query(
@@ -169,7 +169,7 @@ def _(t):
 )
 def _(t):
     df = t.documents.select("text")
-    return _only(au.audit(df, categories=["text_formatting"], min_priority="low"), "encoding")
+    return _only(au.audit(df, categories=["text_formatting"], min_priority="low", checks=("encoding",)), "encoding")
 
 
 @query(
@@ -183,7 +183,7 @@ def _(t):
 )
 def _(t):
     df = t.lineitem.select("l_extendedprice", "l_tax")
-    return _only(au.audit(df, categories=["numeric_values"]), "outliers")
+    return _only(au.audit(df, categories=["numeric_values"], checks=("outliers",)), "outliers")
 
 
 @query(
@@ -199,7 +199,7 @@ def _(t):
         "case when id % 5 = 0 then 'cents' else 'whole' end as kind",
         "case when id % 5 = 0 then cast(cents as double) else cents / 100D end as amount",
     )
-    return _only(au.audit(df, scale=au.Scale("amount", ("kind",)), categories=["numeric_values"]), "scale")
+    return _only(au.audit(df, scale=au.Scale("amount", ("kind",)), categories=["numeric_values"], checks=("scale",)), "scale")
 
 
 @query(
@@ -213,7 +213,7 @@ def _(t):
     df = t.dirty_orders.selectExpr(
         "id", "case when id % 4 = 0 then replace(replace(valor_txt, '.', ''), ',', '.') else valor_txt end as amount"
     )
-    return _only(au.audit(df, categories=["numeric_values"]), "separators")
+    return _only(au.audit(df, categories=["numeric_values"], checks=("separators",)), "separators")
 
 
 @query(
@@ -223,7 +223,7 @@ def _(t):
        count(*) - (select count(*) from (select distinct * from dup_events)) as n_violations from dup_events""",
 )
 def _(t):
-    return _only(au.audit(t.dup_events, categories=["duplicates"]), "exact_duplicates")
+    return _only(au.audit(t.dup_events, categories=["duplicates"], checks=("exact_duplicates",)), "exact_duplicates")
 
 
 @query(
@@ -263,7 +263,7 @@ ORDER_RULES = (
     ),
 )
 def _(t):
-    return _only(au.audit(t.orders, rules=ORDER_RULES, categories=["business_rules"]), "row_rules")
+    return _only(au.audit(t.orders, rules=ORDER_RULES, categories=["business_rules"], checks=("row_rules",)), "row_rules")
 
 
 @query(
@@ -281,7 +281,7 @@ def _(t):
         au.Determines("l_orderkey", "l_returnflag"),
         au.Exists("l_suppkey", t.supplier.filter("s_acctbal > 0"), "s_suppkey"),
     )
-    return _only(au.audit(t.lineitem, relations=relations, categories=["business_rules"]), "relations")
+    return _only(au.audit(t.lineitem, relations=relations, categories=["business_rules"], checks=("relations",)), "relations")
 
 
 # ---------------------------------------------------------------- around the checks

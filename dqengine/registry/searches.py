@@ -199,7 +199,7 @@ def _(t):
   top as (select * from hr where rank <= 8)"""
     + PACKED.format(ranked="top", limit=800)
     + """ select query_id, 'Query: ' || text || chr(10) || chr(10) || 'Relevant Documentation:' || chr(10) || context as document
-         from packed join (select item_id, text from benchmark order by item_id limit 8) b on item_id = query_id""",
+         from packed join benchmark on item_id = query_id""",
 )
 def _(t):
     return rt.search_many(_questions(t), _chunks(t))
@@ -266,7 +266,7 @@ def _(t):
 
 
 FIRST = """, o as (select *, row_number() over (partition by query_id order by source_type desc, round(hybrid_score, 9) desc, url) as rank from f),
-  first as (select * from o qualify row_number() over (partition by url order by query_id, rank) = 1)"""
+  first as (select * from o qualify row_number() over (partition by query_id, url order by rank) = 1)"""
 
 
 def _first_results(t) -> DataFrame:
@@ -287,13 +287,14 @@ def _(t):
 @query(
     "rerank",
     "R13",
-    FUSED + FIRST + """, b as (select url, hybrid_score * case when contains(url, 'blog.') then 1.3 when contains(url, 'example.org') then 1.2 else 1.0 end
+    FUSED + FIRST + """, b as (select query_id, url, hybrid_score * case when contains(url, 'blog.') then 1.3 when contains(url, 'example.org') then 1.2 else 1.0 end
       * case when regexp_matches(lower(title), 'the|und|que') then 1.1 else 1.0 end as rerank_score from first)
-  select url, round(rerank_score, 6) as rerank_score from b order by round(b.rerank_score, 9) desc, url limit 15""",
+  select query_id, url, round(rerank_score, 6) as rerank_score from b
+  qualify row_number() over (partition by query_id order by round(b.rerank_score, 9) desc, url) <= 5""",
 )
 def _(t):
-    out = rt.rerank(_first_results(t), (("blog.", 1.3), ("example.org", 1.2)), ("the", "und", "que"), max_results=15)
-    return out.select("url", F.round("rerank_score", 6).alias("rerank_score"))
+    out = rt.rerank(_first_results(t), (("blog.", 1.3), ("example.org", 1.2)), ("the", "und", "que"), max_results=5)
+    return out.select("query_id", "url", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 # ---------------------------------------------------------------- queries as data

@@ -41,13 +41,21 @@ def _(t):
 @query(
     "read_csv_null_tokens",
     "S2",
-    """select id, acctbal, case when segment = 'N/A' then null else segment end as segment,
-         regexp_replace(nome, '^\\s+|\\s+$', '', 'g') as nome from dirty_customer""",
+    """select id, acctbal, case when segment = 'N/A' then null else segment end as segment, nome, vazio
+         from dirty_customer""",
 )
 def _(t):
-    # Spark's CSV writer trims outer spaces of unquoted texts, so they are compared trimmed
-    df = readers.read_csv(t.spark, _written_csv(t, t.dirty_customer.drop("vazio")))
-    return df.withColumn("nome", F.trim("nome"))
+    return readers.read_csv(t.spark, _written_csv(t, t.dirty_customer, ";"))
+
+
+@query(
+    "read_csv_documents",
+    "S1",
+    "select doc_id, case when text in ('', 'NA', 'N/A', 'null') then null else text end as text, lang, source, n_chars from documents",
+)
+def _(t):
+    # texts with commas, quotes and line breaks come back as they were
+    return readers.read_csv(t.spark, _written_csv(t, t.documents))
 
 
 @query(

@@ -19,25 +19,28 @@ from dqengine.sources.sinks import save_corpus
 
 # Delimiters the sniffing strategy chooses from.
 DELIMITERS = (",", ";", "\t", "|")
-SNIFFED_LINES = 100
 
 
 @dataclass(frozen=True)
 class Strategy:
-    """One way to read a CSV: ``sep=None`` sniffs; ``infer=False`` keeps texts."""
+    """One way to read a CSV: ``sep=None`` sniffs; ``infer=False`` keeps texts.
+
+    ``multiline`` lets a quoted text run over several lines; then a file is one task's.
+    """
 
     name: str
     sep: str | None = ","
     tokens: tuple[str, ...] = ()
     infer: bool = True
+    multiline: bool = False
 
 
 # The order in which ways to read are tried.
 DEFAULT = (
     Strategy("default", ",", NULL_TOKENS),
-    Strategy("sep=','", ",", NULL_TOKENS),
-    Strategy("auto-detect", None),
-    Strategy("dtype=str", ",", (), False),
+    Strategy("sep=','", ",", NULL_TOKENS, multiline=True),
+    Strategy("auto-detect", None, NULL_TOKENS, multiline=True),
+    Strategy("dtype=str", ",", NULL_TOKENS, False),
 )
 
 
@@ -49,25 +52,37 @@ class Loaded:
     method: str
 
 
+def _texts(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
+    options = {"header": True, "sep": sep, "escape": '"', "mode": "FAILFAST", "multiLine": multiline, "enforceSchema": False}
+    return spark.read.options(**options).csv(path)
+
+
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter most frequent in the first lines."""
-    lines = spark.read.text(path).limit(SNIFFED_LINES)
-    counts = lines.agg(
-        *[F.sum(F.regexp_count("value", F.lit("\\" + d if d == "|" else d))).alias(str(i)) for i, d in enumerate(DELIMITERS)]
-    ).first()
-    return max(zip(DELIMITERS, counts), key=lambda pair: pair[1] or 0)[0]
+    """The delimiter that cuts the header into most fields; every row is held to that width when it is read."""
+    return max(DELIMITERS, key=lambda d: len(_texts(spark, path, d, False).columns))
+
+
+def _unbalanced(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes: a quoted text runs over its end."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
 def _read(spark: SparkSession, path: str, how: Strategy) -> DataFrame:
-    sep = how.sep or sniff_delimiter(spark, path)
-    options = {"header": True, "sep": sep, "mode": "FAILFAST", "multiLine": False, "enforceSchema": False}
-    texts = spark.read.options(**options).csv(path)
-    if len(texts.columns) == 1 and how.sep and sniff_delimiter(spark, path) != how.sep:
-        raise ValueError(f"{path} is not separated by {how.sep!r}")
-    # a row of another width fails here, before the strategy is accepted
-    texts.select(F.max(F.hash(*[F.col(quoted(c)) for c in texts.columns]))).first()
+    best = sniff_delimiter(spark, path)
+    sep = how.sep or best
+    running = _unbalanced(spark, path)
+    if running and not how.multiline:
+        raise ValueError(f"{path} has quoted line breaks")
+    texts = _texts(spark, path, sep, running)
+    if len(texts.columns) == 1 and best != sep:
+        raise ValueError(f"{path} is not separated by {sep!r}")
     clean = null_tokens(texts, how.tokens) if how.tokens else texts
-    return typed(clean) if how.infer else clean
+    if how.infer:
+        return typed(clean)
+    # a row of another width fails here, before the strategy is accepted; choosing types reads every row too
+    texts.select(F.max(F.hash(*[F.col(quoted(c)) for c in texts.columns]))).first()
+    return clean
 
 
 def typed(df: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> None:
-    df.write.mode(mode).options(header=True, sep=sep).csv(path)
+    """Texts keep their outer blanks; a quote within a text is doubled."""
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    df.write.mode(mode).options(header=True, sep=sep, **whole).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -117,8 +117,8 @@ def test_log_with_statistics(spark):
 # ------------------------------------------------------------ suggestions
 
 
-def steps_of(df):
-    return [(r["operation_type"], r["column_name"]) for r in sg.suggest_steps(pf.profile(df)).orderBy("step").collect()]
+def steps_of(df, **caps):
+    return [(r["operation_type"], r["column_name"]) for r in sg.suggest_steps(pf.profile(df), **caps).orderBy("step").collect()]
 
 
 def test_suggestions(sample):
@@ -130,9 +130,13 @@ def test_suggestions(sample):
 
 def test_suggestion_caps(spark):
     wide = spark.range(1).select(*[F.lit("x").alias(f"date {i}") for i in range(14)])
-    got = steps_of(wide)
+    got = steps_of(wide, caps=sg.SHORT_PLAN, most=sg.SHORT_STEPS)
     assert len(got) == 12
     assert [o for o, _ in got].count("standardize_column_name") == 10
+    # without caps every column gets its steps, and duplicate removal is never cut off
+    whole = steps_of(wide)
+    assert [o for o, _ in whole].count("standardize_column_name") == [o for o, _ in whole].count("convert_to_datetime") == 14
+    assert whole[-1] == ("remove_duplicates", "all_columns")
 
 
 def test_generic_suggestion(spark):

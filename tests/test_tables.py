@@ -403,3 +403,41 @@ def test_chunks_cover_the_text(spark):
     one = [r["content"] for r in rows if r["id"] == 1]
     assert one[0] + "".join(c[200:] for c in one[1:]) == text
     assert [r["content"] for r in rows if r["id"] == 2] == ["short"]
+
+
+def test_quantile_brackets_stay_narrow_on_sorted_input(spark):
+    df = spark.range(0, 200_000, 1, 16).selectExpr("cast(id as double) as v")
+    row = st._sketches(df, ["v"], [0.5], []).first()["__sk"]
+    assert row["lo_0"][0] <= 99_999.5 <= row["hi_0"][0]
+    assert row["hi_0"][0] - row["lo_0"][0] < 2_000
+    assert st.quantile_table(df, ["v"], [0.25, 0.5]).orderBy("prob").collect()[1]["value"] == 99_999.5
+
+
+def test_long_texts_tie_by_value(spark):
+    long = ["x" * 70 + c for c in "cab"] + ["x" * 64, "short"]
+    df = spark.createDataFrame([(t,) for t in long for _ in range(2)], "t string")
+    got = [r["value"] for r in pf.top_values(df, 3).orderBy("rank").collect()]
+    assert got == sorted(long)[:3]
+    tops = pf.profile(df, k=5, approx=True).first().asDict()
+    assert any(v for k, v in tops.items() if "top" in k)
+
+
+def test_csv_round_trip(spark, tmp_path):
+    from dqengine.sources import readers, sinks
+
+    rows = [(1, '  say "hi, you" ', "a\nb;c,d,e,f"), (2, None, "N/A"), (3, "", "x")]
+    df = spark.createDataFrame(rows, "id long, t string, u string").coalesce(1)
+    for sep in (",", ";", "|"):
+        path = str(tmp_path / f"csv{ord(sep)}")
+        sinks.write_csv(df, path, sep=sep)
+        got = sorted(map(tuple, readers.read_csv(spark, path).collect()))
+        assert got == [(1, '  say "hi, you" ', "a\nb;c,d,e,f"), (2, None, None), (3, None, "x")]
+
+
+def test_results_are_kept_per_request(spark):
+    rows = [(q, f"u{i % 60}", "t", float(100 - i), i) for q in range(10) for i in range(100)]
+    df = spark.createDataFrame(rows, "query_id int, url string, title string, hybrid_score double, rank int")
+    first = rt.dedup_results(df)
+    assert first.count() == 600
+    assert rt.rerank(first, max_results=7).groupBy("query_id").count().filter("count = 7").count() == 10
+    assert rt.dedup_results(df, by=()).count() == 60

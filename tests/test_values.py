@@ -100,3 +100,24 @@ def test_cleaning_twice_is_cleaning_once(spark, values):
     for fn in (tx.trim_text, tx.clean_minimal, tx.clean_moderate, tx.clean_aggressive, tx.remove_control_chars):
         once = apply(spark, values, fn)
         assert apply(spark, once, fn) == once
+
+
+def test_dates_with_fraction_zone_and_compact(spark):
+    texts = ["2024-01-31T10:00:00.123", "2024-01-31T10:00:00Z", "2024-01-31 10:00:00.5 -03:00", "20240131", "31/01/2024 10:00+0530", "20241331", "31-01-2024"]
+    wanted = [
+        datetime.datetime(2024, 1, 31, 10, 0, 0, 123000),
+        datetime.datetime(2024, 1, 31, 10),
+        datetime.datetime(2024, 1, 31, 13, 0, 0, 500000),
+        datetime.datetime(2024, 1, 31),
+        datetime.datetime(2024, 1, 31, 4, 30),
+        None,
+        datetime.datetime(2024, 1, 31),
+    ]
+    assert apply(spark, texts, dt.parse_date) == wanted
+
+
+def test_unicode_blanks_accents_and_marks(spark):
+    assert apply(spark, ["\u00a0 a\u2003b\x0b", "\u3000"], tx.trim_text) == ["a\u2003b", ""]
+    assert apply(spark, ["a\u2003\u00a0b\x1cc"], tx.normalize_whitespace) == ["a b c"]
+    assert apply(spark, ["Škoda Łódź Őr Việt", "e\u0301te\u0301", "ßæ日"], tx.remove_accents) == ["Skoda Lodz Or Viet", "ete", "ßæ日"]
+    assert apply(spark, ["a\x01 b", "o'neil\x01 x1ß"], tx.title_case) == ["A\x01 B", "O'Neil\x01 X1Ss"]
