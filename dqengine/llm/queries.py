@@ -37,7 +37,7 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select("doc_id", *names, "base_failed", "kept", "stratum", "rejected_by")
+    return judged.select("doc_id", *names, "base_failed", "kept")
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +99,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_STEPS = " union all ".join(
+    f"select doc_id, stratum, '{r.name}' as rule, {i} as step, {float(c)!r}::double as cutoff, ({r.sql.replace('0D', '0.0::double').replace('1D', '1.0::double')}) > {float(c)!r}::double as over from judged"
+    for r in quality_rules.RULES
+    for i, c in enumerate(r.cutoffs)
+)
+
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": rf"""
+with split as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents),
+windows as (
+  select doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: {{'i': i, 'g': w[i:i + 7]}}), recursive := true) from split where len(w) >= 8),
+twice as (select doc_id, i from windows qualify count(*) over (partition by doc_id, g) > 1),
+covered as (select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 8)) as k from twice) group by doc_id),
+measured as (
+  select s.doc_id, len(w) as n_words, len(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, len(lines) as n_lines, coalesce(c.n, 0) as n_repeat_words,
+    len(text) - len(regexp_replace(text, '\p{{Lu}}+', '', 'g')) as n_upper, len(list_distinct(w)) as n_distinct
+  from split s left join covered c on s.doc_id = c.doc_id),
+judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    case when n_words < 100 then 'short' when n_words < 1000 then 'middle' else 'long' end as stratum from measured),
+steps as ({_STEPS}),
+good as (
+  select doc_id from judged where not base_failed and doc_id in (select doc_id from labels group by doc_id having min(quality) = 1)),
+counted as (
+  select stratum, rule, step, any_value(cutoff) as cutoff, count(*) as n, count(*) filter (where over) as k
+  from steps where doc_id in (select doc_id from good) group by stratum, rule, step),
+tested as (
+  select *, k < n * 0.02 and list_sum(list_transform(range(0, k + 1), lambda j:
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98))))
+    <= 0.05 / (select count(distinct stratum) * {len(quality_rules.RULES)} from counted) as safe from counted),
+-- along the grid the first failure ends a sequence of tests
+chosen as (
+  select stratum, rule, max(step) as step from (
+    select *, bool_and(safe) over (partition by stratum, rule order by step) as open from tested) where open group by stratum, rule),
+rejected as (select distinct s.doc_id from steps s join chosen c on s.stratum = c.stratum and s.rule = c.rule and s.step = c.step where s.over)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and doc_id not in (select doc_id from rejected) as kept from judged""",
+    "op6_decontaminate": rf"""
+with docs as (select doc_id, {_TERMS} as w from documents),
+items as (select cast(item_id as varchar) as item, {_TERMS} as w from benchmark),
+asked as (
+  select distinct item, g from (select item, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: w[i:i + 9])) as g from items where len(w) > 0)),
+sizes as (select distinct len(g) as n from asked),
+places as (
+  select doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'g': w[i:i + n - 1]}}), recursive := true) from docs, sizes where len(w) >= n),
+hits as (select p.doc_id, p.i, p.n, a.item from places p join asked a on p.g = a.g),
+words_hit as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hits) group by doc_id),
+found as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as listed from hits group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join words_hit h on d.doc_id = h.doc_id left join found f on d.doc_id = f.doc_id""",
     "op7_line_dedup": f"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
