@@ -11,7 +11,6 @@ order does not depend on how the sums were split over tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,10 @@ MAX_RESULTS = 10
 QUERY_BLOCK_CELLS = 4_000_000
 # Scores computed at once inside a task.
 SCORE_CELLS = 4_000_000
+# Chunks of a slice, where the queries are more than one block.
+SLICE_ROWS = 20_000
+# Bytes of query words sent to every task.
+WORDS_SENT = 4_000_000
 
 
 def corpus(
@@ -89,93 +92,69 @@ def l2_normalize(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, unit(F.col(column)))
 
 
-# vectors
-
-
-def dense_search(
-    queries: DataFrame,
-    chunks: DataFrame,
-    top_k: int = TOP_K,
-    min_score: float = MIN_SIMILARITY,
-    vector: str = "vector",
-    normalize: bool = True,
-) -> DataFrame:
-    """Exact inner product; the best ``top_k`` per query, then those of at least ``min_score``.
-
-    A block of query vectors of bounded size goes to every task, which
-    multiplies it with its own chunks and keeps ``top_k`` candidates per query:
-    no pair leaves the task that did not win there. More queries than fit one
-    block are searched block by block.
-    """
-    queries = queries.select("query_id", F.col(vector).alias("vector")).filter("vector is not null")
-    if normalize:
-        queries = queries.withColumn("vector", unit(F.col("vector")))
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
-    narrow = chunks.select("chunk_id", F.col(vector).alias("vector")).filter("vector is not null")
-    found = []
-    for block in _blocks(queries, size["n"] * (size["width"] or 1)):
-        rows = block.collect()  # bounded: one block
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-
-        def score(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
-            vectors = np.asarray(batch.column("vector").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            if normalize:
-                length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-                vectors = np.divide(vectors, length, out=vectors.copy(), where=length != 0)
-            return vectors @ matrix.T
-
-        found.append(_best_per_task(narrow, queries, [r["query_id"] for r in rows], matrix, score, top_k, -np.inf))
-    return _ranked(_union(found), top_k).filter(F.col("score") >= min_score)
-
-
-def _blocks(queries: DataFrame, cells: int) -> list[DataFrame]:
-    """The queries, cut by a hash of their id so that a block's matrix stays small."""
-    if cells <= QUERY_BLOCK_CELLS:
-        return [queries]
-    n = -(-2 * cells // QUERY_BLOCK_CELLS)
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
-
+# searching
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
 
-
-def _best_per_task(
+def _search(
     chunks: DataFrame,
     queries: DataFrame,
-    ids: list,
-    matrix: np.ndarray,
-    score: Callable[[pa.RecordBatch, np.ndarray], np.ndarray],
+    cells: int,
+    prepare: Callable[[pa.Table], tuple],
+    score: Callable[[pa.RecordBatch, tuple], np.ndarray],
     top_k: int,
     least: float,
 ) -> DataFrame:
     """``(query_id, chunk_id, score)``: per task and query the best ``top_k`` chunks scoring ``least`` or more.
 
-    ``score`` gives the scores of a few chunks (rows) for all queries of the block (columns).
+    ``prepare`` makes of some queries what ``score`` needs; ``score`` gives the scores of a few
+    chunks (rows) for those queries (columns). Queries of at most QUERY_BLOCK_CELLS numbers are
+    sent to all tasks, which read their chunks in place. More are dealt into blocks of that
+    size, and every block meets every slice of the chunks in a task of its own: one
+    job however many queries there are, and none of them passes the driver.
     """
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
     schema = T.StructType(
         [queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("score", T.DoubleType())]
     )
     arrow = to_arrow_schema(schema)
-    step = max(1, SCORE_CELLS // max(1, len(ids), *matrix.shape))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        if not ids:
-            return
+    def best(asked: pa.Table, batches: Iterator[pa.RecordBatch]) -> pa.Table:
+        ready = prepare(asked)
+        ids = asked.column("query_id").to_pylist()
         keep = _Best(len(ids), top_k, least)
-        for batch in batches:
+        step = max(1, SCORE_CELLS // max(1, len(ids), *ready[-1].shape))
+        for batch in batches if ids else ():
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 names = part.column("chunk_id").to_numpy(zero_copy_only=False)
-                keep.add(names.astype(str) if names.dtype == object else names, score(part, matrix))
+                keep.add(names.astype(str) if names.dtype == object else names, score(part, ready))
         q, names, scores = keep.result()
-        if len(q):
-            columns = [[ids[i] for i in q], names.tolist(), scores]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        columns = [[ids[i] for i in q], names.tolist(), scores]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    if cells <= QUERY_BLOCK_CELLS:
+        shared = chunks.sparkSession.sparkContext.broadcast(queries.toArrow())  # bounded: one block
+
+        def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from best(shared.value, batches).to_batches()
+
+        return chunks.mapInArrow(in_place, schema)
+
+    blocks = -(-2 * cells // QUERY_BLOCK_CELLS)
+    slices = -(-chunks.count() // SLICE_ROWS)
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    return chunks.mapInArrow(best, schema)
+    def hashed(c: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    left = chunks.select("*", hashed("chunk_id", slices).alias("slice"), every(blocks).alias("block"))
+    right = queries.select("*", hashed("query_id", blocks).alias("block"), every(slices).alias("slice"))
+
+    def together(some: pa.Table, asked: pa.Table) -> pa.Table:
+        return best(asked, some.to_batches())
+
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(together, schema)
 
 
 class _Best:
@@ -220,6 +199,43 @@ def _ranked(scored: DataFrame, top_k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
+# vectors
+
+
+def dense_search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    top_k: int = TOP_K,
+    min_score: float = MIN_SIMILARITY,
+    vector: str = "vector",
+    normalize: bool = True,
+) -> DataFrame:
+    """Exact inner product; the best ``top_k`` per query of at least ``min_score``.
+
+    Every task multiplies a bounded block of queries with its own chunks; no pair leaves it
+    that did not win there or falls short of ``min_score``.
+    """
+    queries = queries.select("query_id", F.col(vector).cast("array<double>").alias("vector")).filter("vector is not null")
+    if normalize:
+        queries = queries.withColumn("vector", unit(F.col("vector")))
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    narrow = chunks.select("chunk_id", F.col(vector).alias("vector")).filter("vector is not null")
+
+    def prepare(asked: pa.Table) -> tuple:
+        flat = np.concatenate([np.zeros(0), *[np.asarray(c.flatten(), np.float64) for c in asked.column("vector").chunks]])
+        return (flat.reshape(max(asked.num_rows, 1), -1),)
+
+    def score(batch: pa.RecordBatch, ready: tuple) -> np.ndarray:
+        vectors = np.asarray(batch.column("vector").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+        if normalize:
+            length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            vectors = np.divide(vectors, length, out=vectors.copy(), where=length != 0)
+        return vectors @ ready[0].T
+
+    found = _search(narrow, queries, size["n"] * (size["width"] or 1), prepare, score, top_k, min_score)
+    return _ranked(found, top_k)
+
+
 # words
 
 
@@ -227,19 +243,23 @@ def _query_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.array_distinct(tx.words(F.col("text"))).alias("words"))
 
 
-def _word_blocks(queries: DataFrame) -> Iterator[tuple[list, list[str], np.ndarray]]:
-    """Per block of queries: their ids, their words, and which query (column) has which word (row)."""
-    asked = _query_words(queries)
+def _word_cells(asked: DataFrame) -> int:
+    """Queries times distinct words: the numbers of the matrix that one block would have."""
     words = asked.select("query_id", F.explode("words").alias("word"))
     size = words.agg(F.count_distinct("query_id").alias("n"), F.count_distinct("word").alias("v")).first()
-    for block in _blocks(asked, size["n"] * size["v"]):
-        rows = block.collect()  # bounded: one block
-        vocabulary = sorted({w for r in rows for w in r["words"]})
-        place = {w: i for i, w in enumerate(vocabulary)}
-        has = np.zeros((len(vocabulary), len(rows)))
-        for j, r in enumerate(rows):
-            has[[place[w] for w in r["words"]], j] = 1.0
-        yield [r["query_id"] for r in rows], vocabulary, has
+    return size["n"] * size["v"]
+
+
+def _word_matrix(asked: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The words of some queries, and the weight of each word (row) in each query (column)."""
+    words = asked.column("words").to_pylist()
+    weights = asked.column("weights").to_pylist()
+    vocabulary = sorted({w for ws in words for w in ws})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    matrix = np.zeros((len(vocabulary), len(words)))
+    for j, (ws, xs) in enumerate(zip(words, weights)):
+        matrix[[place[w] for w in ws], j] = xs
+    return pa.array(vocabulary, pa.string()), matrix
 
 
 def word_counts(batch: pa.RecordBatch, vocabulary: pa.Array) -> np.ndarray:
@@ -265,15 +285,15 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, top_k: int = TOP_K) ->
     every query has costs no joined row, and only each task's ``top_k`` leave it.
     """
     lists = chunks.filter("content is not null").select("chunk_id", tx.words(F.col("content")).alias("words"))
-    found = []
-    for ids, vocabulary, has in _word_blocks(queries):
-        listed, asked = pa.array(vocabulary, pa.string()), np.maximum(has.sum(axis=0), 1)
+    asked = _query_words(queries).filter(F.size("words") > 0)
+    each = F.transform("words", lambda w: F.lit(1.0)).alias("weights")
 
-        def score(batch: pa.RecordBatch, has: np.ndarray, listed=listed, asked=asked) -> np.ndarray:
-            return ((word_counts(batch, listed) > 0) @ has) / asked
+    def score(batch: pa.RecordBatch, ready: tuple) -> np.ndarray:
+        listed, has = ready
+        return ((word_counts(batch, listed) > 0) @ has) / np.maximum(has.sum(axis=0), 1)
 
-        found.append(_best_per_task(lists, queries, ids, has, score, top_k, ABOVE_ZERO))
-    return _ranked(_union(found), top_k)
+    found = _search(lists, asked.select("*", each), _word_cells(asked), _word_matrix, score, top_k, ABOVE_ZERO)
+    return _ranked(found, top_k)
 
 
 def sparse_search(
@@ -285,39 +305,42 @@ def sparse_search(
 ) -> DataFrame:
     """BM25 or TF-IDF over the query's distinct words; the best ``top_k`` of at least ``min_score``.
 
-    A first pass counts the chunks of each query word, combined before the
-    shuffle; the second scores as ``keyword_search`` does.
+    A first pass counts the chunks of each word, combined before the shuffle; the second scores as
+    ``keyword_search`` does.
     """
     if method not in ("bm25", "tfidf"):
         raise ValueError(f"method is bm25 or tfidf, not {method!r}")
     lists = chunks.filter("content is not null").select("chunk_id", tx.words(F.col("content")).alias("words"))
-    asked = _query_words(queries).select(F.explode("words").alias("word"))
+    asked = _query_words(queries).filter(F.size("words") > 0)
+    each = asked.select("query_id", F.explode("words").alias("word"))
     # words are never empty, so an empty one stands for the chunk itself: one pass counts both
-    asked = size_checked(asked.union(queries.sparkSession.range(1).select(F.lit(""))).distinct())
     every = F.concat(F.array_distinct("words"), F.array(F.lit("")))
     held = lists.select(F.size("words").alias("length"), F.explode(every).alias("word"))
-    counted = held.join(asked, "word").groupBy("word").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
-    frequent = materialize(counted)
+    wanted = materialize(each.select("word").union(queries.sparkSession.range(1).select(F.lit(""))).distinct())
+    if wanted.agg(F.sum(F.octet_length("word") + 16)).first()[0] <= WORDS_SENT:
+        held = held.join(F.broadcast(wanted), "word")
+    # beyond that words are counted first: the join then meets one row a word, however common it is
+    counted = held.groupBy("word").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    frequent = materialize(counted.join(wanted, "word"))
     total = frequent.filter("word = ''").first()
     n, mean = (total["df"], total["length"] / total["df"]) if total else (0, 0.0)
-    found = []
-    for ids, vocabulary, has in _word_blocks(queries):
-        # bounded: one row per word of the block
-        df = {r["word"]: r["df"] for r in frequent.filter(F.col("word").isin(vocabulary)).collect()}
-        freq = np.array([df.get(w, 0) for w in vocabulary])
-        # a word that no chunk has meets no count, so its weight is free
-        idf = np.log1p((n - freq + 0.5) / (freq + 0.5)) if method == "bm25" else np.log(n / np.maximum(freq, 1))
-        listed = pa.array(vocabulary, pa.string())
-
-        def score(batch: pa.RecordBatch, weights: np.ndarray, listed=listed) -> np.ndarray:
-            tf = word_counts(batch, listed).astype(np.float64)
-            if method == "bm25":
-                length = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False)[:, None]
-                tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean))
-            return tf @ weights
-
-        found.append(_best_per_task(lists, queries, ids, has * idf[:, None], score, top_k, ABOVE_ZERO))
-    return _ranked(_union(found), top_k).filter(F.col("score") >= min_score)
+    df = F.coalesce("df", F.lit(0))
+    # a word that no chunk has meets no count, so its weight is free
+    idf = F.log1p((n - df + 0.5) / (df + 0.5)) if method == "bm25" else F.log(F.lit(float(max(n, 1))) / F.greatest(df, F.lit(1)))
+    weighted = each.join(frequent.select("word", "df"), "word", "left").select("query_id", F.struct("word", idf.alias("weight")).alias("w"))
+    weighted = weighted.groupBy("query_id").agg(F.collect_list("w").alias("w"))  # the words of one query
+    weighted = materialize(weighted.select("query_id", F.col("w.word").alias("words"), F.col("w.weight").alias("weights")))
+
+    def score(batch: pa.RecordBatch, ready: tuple) -> np.ndarray:
+        listed, weights = ready
+        tf = word_counts(batch, listed).astype(np.float64)
+        if method == "bm25":
+            length = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False)[:, None]
+            tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean))
+        return tf @ weights
+
+    found = _search(lists, weighted, _word_cells(asked), _word_matrix, score, top_k, max(min_score, ABOVE_ZERO))
+    return _ranked(found, top_k)
 
 
 # combining
@@ -347,11 +370,12 @@ def hybrid_search(
 
     Without vectors on both sides the keyword search stands in for the vector search.
     """
-    keyword = keyword_search(queries, chunks, top_k)
     if "vector" in queries.columns and "vector" in chunks.columns:
+        keyword = keyword_search(queries, chunks, top_k)
         dense = dense_search(queries, chunks, 2 * top_k, min_score)
     else:
-        dense = keyword_search(queries, chunks, 2 * top_k)
+        dense = materialize(keyword_search(queries, chunks, 2 * top_k))
+        keyword = dense.filter(F.col("rank") <= top_k)
     return combine(dense, keyword, top_k, w_dense, w_kw)
 
 

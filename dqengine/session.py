@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -9,9 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a statistics table up to which it is sent whole to every task.
-BROADCAST_ROWS = 200_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
@@ -19,15 +18,18 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder; on a
     cluster a folder of one machine would be lost with it, so that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if named is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            named = tempfile.mkdtemp(prefix="dqengine-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named or current
+    if current is not None:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        # a local session's own folder goes with its process
+        named = tempfile.mkdtemp(prefix="dqengine-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,14 +43,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def size_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise and count a table meant to be the small side of a join.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: no lineage, and its bytes are known to the planner."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def size_checked(df: DataFrame) -> DataFrame:
+    """A table meant to be the small side of a join, written so that its bytes decide.
 
-    Up to ``rows`` rows it is marked for broadcast. Beyond that it stays as it
-    is: the join shuffles, and adaptive execution splits a hot key.
+    Below ``spark.sql.autoBroadcastJoinThreshold`` the planner sends it to every task. Beyond
+    that the join shuffles, and adaptive execution splits a hot key.
     """
-    kept = materialize(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    return written(df, "side")
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -232,9 +232,15 @@ def test_parquet_partitions(spark, tmp_path):
 
 def test_size_checked_broadcast(spark):
     small = spark.range(5)
-    hint = session.size_checked(small)._jdf.queryExecution().analyzed().toString()
-    none = session.size_checked(small, rows=2)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in hint and "ResolvedHint" not in none
+    plan = lambda: big.join(session.size_checked(small), "id")._jdf.queryExecution().executedPlan().toString()
+    big = spark.range(100)
+    assert "BroadcastHashJoin" in plan()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100b")  # fewer bytes than the file has
+        assert "SortMergeJoin" in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_join_beyond_the_bound_is_whole(spark, monkeypatch):

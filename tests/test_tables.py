@@ -441,3 +441,23 @@ def test_results_are_kept_per_request(spark):
     assert first.count() == 600
     assert rt.rerank(first, max_results=7).groupBy("query_id").count().filter("count = 7").count() == 10
     assert rt.dedup_results(df, by=()).count() == 60
+
+
+def test_queries_beyond_one_block_give_the_same_rows(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(1, 9)) + " the" for i in range(60)]
+    chunks = spark.createDataFrame([(i, t, [float(i % 7), float(i % 5), 1.0]) for i, t in enumerate(texts)], "chunk_id long, content string, vector array<float>")
+    queries = spark.createDataFrame([(i, f"the w{i} w{i + 1}", [float(i % 3), 1.0, float(i % 4)]) for i in range(30)] + [(99, " ", None)], "query_id long, text string, vector array<float>")
+
+    def rows():
+        found = [rt.dense_search(queries, chunks, 5, 0.5), rt.keyword_search(queries, chunks, 5)]
+        found += [rt.sparse_search(queries, chunks, m, 5, 0.1) for m in ("bm25", "tfidf")]
+        return [sorted((r["query_id"], r["chunk_id"], round(r["score"], 9), r["rank"]) for r in f.collect()) for f in found]
+
+    whole = rows()
+    assert all(whole) and {q for q, *_ in whole[1]} == set(range(30))
+    monkeypatch.setattr(rt, "QUERY_BLOCK_CELLS", 40)
+    monkeypatch.setattr(rt, "SLICE_ROWS", 7)
+    monkeypatch.setattr(rt, "WORDS_SENT", 0)
+    assert rows() == whole
+    plan = rt.keyword_search(queries, chunks, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1  # one job over the chunks, however many blocks
