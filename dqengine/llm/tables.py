@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqengine.session import scratch_path
+from dqengine.session import written as stored
+
+__all__ = ["stored", "fold", "ascii_lower", "ranked", "WORD", "BLANK_CHARS"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word of the contracts
 BLANK_CHARS = " \t\n\x0b\f\r"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    Lineage ends at files that every executor reaches, so a lost executor costs no
-    recomputation of what lies before.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(id_col: str | Column, buckets: int) -> Column:
     """crc32 of the id as text modulo ``buckets``; a missing id falls in no bucket (-1)."""
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), "utf-8")), F.lit(buckets)), F.lit(-1)).cast("int")
