@@ -93,7 +93,7 @@ def clean_name(c: Column, spaces: bool = True, accents: bool = True, specials: b
 def clean_plain_name(name: str, spaces: bool, accents: bool, specials: bool) -> str:
     """The same for one name of a schema."""
     if accents:
-        name = name.translate(str.maketrans(tx.ACCENTED, tx.PLAIN))
+        name = name.translate(str.maketrans(tx.ACCENTED, tx.PLAIN, tx.MARKS))
     if spaces:
         name = re.sub(r"\s+", "", name)
     if specials:

@@ -141,7 +141,7 @@ def audit(
     want = want & set(checks) if checks else want
     parts = [_single_pass(df, want, rules, relations)]
     if "naming_pattern" in want or "special_name_chars" in want:
-        parts.append(_naming(df, want))
+        parts.append(_naming(cols.names_table(df), want))
     texts = [c for c in df.columns if st.is_text(df, c)]
     if "case" in want and texts:
         parts.append(_case(df, texts))
@@ -252,8 +252,13 @@ def _minority(counts: Column) -> tuple[Column, Column, Column]:
     return rest, (rest > 0).cast("int"), F.array_join(counts.cast("array<string>"), "/")
 
 
-def _naming(df: DataFrame, want: set[str]) -> DataFrame:
-    names = cols.names_table(df).withColumn("style", nn.name_style(F.col("name")))
+def audit_names(names: DataFrame, checks: Sequence[str] = ("naming_pattern", "special_name_chars"), column: str = "name") -> DataFrame:
+    """The naming checks over names held as data (one row a name and check), as ``audit`` makes them of a schema."""
+    return _naming(names.select(F.col(st.quoted(column)).alias("name")).filter("name is not null"), set(checks))
+
+
+def _naming(names: DataFrame, want: set[str]) -> DataFrame:
+    names = names.withColumn("style", nn.name_style(F.col("name")))
     styles = names.groupBy("style").agg(F.count("*").alias("n"))
     # a known style before names that follow none, then the commonest
     rank = F.struct((F.col("style") == "other").alias("last"), (-F.col("n")).alias("n"), "style")

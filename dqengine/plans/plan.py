@@ -7,8 +7,9 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dqengine.functions.names import style_name
 from dqengine.operators import aggregate as ag
@@ -246,39 +247,47 @@ def _apply_group(df: DataFrame, group: Sequence[Step], names: Names) -> DataFram
 def apply_logged(df: DataFrame, plan: Plan) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """The same, and the log: rows and missing cells of the step's column before and after each step.
 
-    The figures ride along with the job that computes the result; call the
-    second value after an action on the first. One row per step comes to the driver.
+    The log is a DataFrame of one row a step, made by one aggregation over the table between
+    two steps, so it does not depend on retried tasks or on an action on the result.
     """
-    spark = df.sparkSession
     names = Names(df.columns)
-    seen: list[tuple[Step, Observation, Observation]] = []
-    for step in plan.transformation_steps:
-        before, after = Observation(), Observation()
-        df = _observed(df, names(step.column_name or ALL), before)
-        df = _observed(_apply_step(df, step, names), names(step.column_name or ALL), after)
-        seen.append((step, before, after))
+    steps = plan.transformation_steps
+    between: list[tuple[DataFrame, list[str]]] = [(df, [])]
+    for step in steps:
+        between[-1][1].append(names(step.column_name or ALL))
+        df = _apply_step(df, step, names)
+        between.append((df, [names(step.column_name or ALL)]))
 
     def log() -> DataFrame:
-        rows = [
-            (
-                i,
-                s.operation_type.value,
-                s.column_name,
-                b.get["rows"],
-                a.get["rows"],
-                b.get["rows"] - a.get["rows"],
-                b.get["missing"] - a.get["missing"],
-            )
-            for i, (s, b, a) in enumerate(seen, 1)
-        ]
-        return spark.createDataFrame(
-            rows,
-            "step int, operation string, column string, rows_before bigint, rows_after bigint, rows_removed bigint, cells_filled bigint",
+        counts = None
+        for i, (table, columns) in enumerate(between):
+            # the column of the step before, and that of the step after, wherever there is one
+            own = [columns[0] if i else None, columns[-1] if i < len(steps) else None]
+            one = table.agg(F.lit(i).alias("at"), F.count(F.lit(1)).alias("rows"), *[_missing(table, c).alias(n) for c, n in zip(own, ("gone", "there"))])
+            counts = one if counts is None else counts.unionByName(one)
+        labels = F.array(
+            *[
+                F.struct(F.lit(s.operation_type.value).alias("operation"), F.lit(s.column_name).cast("string").alias("column"))
+                for s in steps
+            ]
+        )
+        order = Window.orderBy("at")  # one row a step
+        ahead = {c: F.lead(c).over(order) for c in ("rows", "gone")}
+        rows = counts.select("at", "rows", "there", ahead["rows"].alias("rows_after"), ahead["gone"].alias("gone")).filter(F.col("at") < len(steps))
+        return rows.withColumn("s", F.get(labels, F.col("at"))).select(
+            (F.col("at") + 1).alias("step"),
+            "s.operation",
+            "s.column",
+            F.col("rows").alias("rows_before"),
+            "rows_after",
+            (F.col("rows") - F.col("rows_after")).alias("rows_removed"),
+            (F.col("there") - F.col("gone")).alias("cells_filled"),
         )
 
     return df, log
 
 
-def _observed(df: DataFrame, column: str, observation: Observation) -> DataFrame:
-    gaps = F.count_if(st.present(df, column).isNull()) if column in df.columns else F.lit(0).cast("bigint")
-    return df.observe(observation, F.count(F.lit(1)).alias("rows"), F.coalesce(gaps, F.lit(0)).alias("missing"))
+def _missing(df: DataFrame, column: str | None) -> Column:
+    if column is None or column not in df.columns:
+        return F.lit(0).cast("bigint")
+    return F.coalesce(F.count_if(st.present(df, column).isNull()), F.lit(0))
