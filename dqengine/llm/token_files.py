@@ -18,14 +18,27 @@ from pyspark.sql import types as T
 from dqengine.session import scratch_path
 
 from .elias_fano import EliasFano
-from .text import pieces
+from .text import pieces, string_bytes
 
 SHARD_IDS = 1 << 20  # ids of a shard; a longer document is a shard of its own
-CACHE_MOST, CACHE_CORE = 400_000, 200_000  # encoded words a worker keeps
+CACHE_MOST, CACHE_CORE = 450_000, 280_000  # encoded words a worker keeps
 
 # A blank before a space, or a space at the start: there a text is not cut at spaces.
 _UNEVEN = re.compile(r"(?:^|\s) ")
 
+# Bytes of a plain text: printable ASCII, line feeds, and the letters of Latin-1 (lead 0xC3; its
+# only two signs, multiplication and division, end in 0x97 and 0xB7).
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3]] = True
+_PLAIN[[0x97, 0xB7]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b",.")] = True
+_GAP = np.zeros(256, bool)
+_GAP[list(b" \n")] = True
+_BARE, _COMMA, _POINT, _LINE = "\x01", "\x02", "\x03", "\x04"  # marks of cut pieces; no plain text holds them
+
 # One row is one shard. Rows in the order of (part, shard) hold documents in ascending id order.
 SCHEMA = T.StructType(
     [
@@ -49,44 +62,66 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts can also be cut at commas, points and line ends that follow a letter.
+
+    Only Latin letters, no blank beside a blank, and no such mark after anything but a letter.
+    """
+    bad = ~_PLAIN[data]
+    gap = _GAP[data]
+    bad[1:] |= gap[1:] & gap[:-1]
+    bad[1:-1] |= _STOP[data[1:-1]] & gap[2:] & ~_LETTER[data[:-2]]
+    total = np.concatenate([[0], np.cumsum(bad)])
+    first = np.zeros(len(offsets) - 1, bool)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    at = offsets[some]
+    first[some] = gap[at] | _STOP[data[at]]
+    return (total[offsets[1:]] == total[offsets[:-1]]) & ~first
+
+
 class Encoder:
     """Encodes texts with a tokenizers file whose pieces never run past a blank.
 
-    Byte-level BPE splits a text before every blank that follows another character, so
-    the stretches between are encoded once and kept: the frequent ones for good, the
-    rest until the cache is full.
+    Byte-level BPE splits a text before every blank that follows another character, and
+    between a letter and a comma or point. So the stretches between are encoded once and
+    kept: the frequent ones for good, the rest until the cache is full. Texts where
+    a cut could move a border of a piece are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = dict(zip((_COMMA, _POINT, _LINE), self._bytes([",", ".", ".\n"])))
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, column: pa.Array) -> list[bytes]:
         cache = self.cache
         if len(cache) > CACHE_MOST:
             cache = self.cache = dict(islice(cache.items(), CACHE_CORE))
         cut: list[list[str] | None] = []
+        whole: list[str] = []
         missing: set[str] = set()
-        for text in texts:
-            if _UNEVEN.search(text):
+        texts = column.fill_null("").to_pylist()
+        for text, fine in zip(texts, plain(*string_bytes(column)).tolist()):
+            if fine:
+                text = text.replace(".\n", f" {_LINE} {_BARE}").replace(", ", f" {_COMMA} ").replace(". ", f" {_POINT} ")
+            elif _UNEVEN.search(text) or _BARE in text or _COMMA in text or _POINT in text or _LINE in text:
                 cut.append(None)
+                whole.append(text)
                 continue
-            parts = text.split(" ")
-            parts[0] = " " + parts[0]  # no part holds a space: this marks the one without a space before it
+            parts = (_BARE + text).split(" ")
             missing.update([p for p in parts if p not in cache])
             cut.append(parts)
         if missing:
             wanted = list(missing)
-            # a marked first part is encoded bare, every other one with the space it lost
-            cache.update(zip(wanted, self._bytes([p[1:] if p[:1] == " " else " " + p for p in wanted])))
-        whole = iter(self._bytes([t for t, parts in zip(texts, cut) if parts is None]))
+            # a bare piece had no space before it, every other one had
+            cache.update(zip(wanted, self._bytes([p[1:] if p[:1] == _BARE else " " + p for p in wanted])))
+        encoded = iter(self._bytes(whole))
         get = cache.__getitem__
-        return [next(whole) if parts is None else b"".join(map(get, parts)) for parts in cut]
+        return [next(encoded) if parts is None else b"".join(map(get, parts)) for parts in cut]
 
 
 @lru_cache(maxsize=2)
@@ -118,9 +153,8 @@ def _write(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterato
     keys: list[int | None] = []
     size = shard = 0
     for batch in batches:
-        for piece in pieces(batch, "text"):
-            texts = encoder.encode(piece.column("text").fill_null("").to_pylist())
-            for key, text in zip(piece.column("doc_id").to_pylist(), texts):
+        for piece in pieces(batch, "text", 1 << 20):
+            for key, text in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text"))):
                 ids.append(text + end)
                 keys.append(key)
                 size += len(ids[-1])
