@@ -147,9 +147,10 @@ def select_cutoffs(
 ) -> DataFrame:
     """Cutoffs (stratum, rule, cutoff) whose false rejections are bounded.
 
-    ``labelled``: measures of good documents with a ``stratum``. A cutoff is safe when
-    the exact binomial test P(X <= k | n, risk) lies at or below the level, which is the same as
-    the Clopper-Pearson upper bound of its rejection rate staying at or below ``risk``.
+    ``labelled``: measures of good documents with a ``stratum``. The rules of a stratum share ``risk``
+    equally, so that together they reject at most that part of its good documents. A cutoff is safe when
+    the exact binomial test P(X <= k | n, share) lies at or below the level, which is the same as
+    the Clopper-Pearson upper bound of its rejection rate staying at or below the rule's share.
     ``1 - confidence`` is shared equally (Bonferroni) by all pairs of stratum and rule.
     Along the grid of one pair cutoffs are tested from the mildest on, each at the
     pair's level, up to the first failure (fixed-sequence testing), which keeps the
@@ -170,9 +171,9 @@ def select_cutoffs(
     )
     counted = stored(counted.select("stratum", "n", F.explode(steps).alias("s")).select("stratum", "n", "s.*"), "rejections")
     pairs = counted.select("stratum").distinct().count() * len(rules)
-    level = (1 - confidence) / max(pairs, 1)
+    level, share = (1 - confidence) / max(pairs, 1), risk / len(rules)
     k, n = F.col("k"), F.col("n")
-    safe = F.when(k < n * risk, binomial_cdf(k, n, risk) <= level).otherwise(False)
+    safe = F.when(k < n * share, binomial_cdf(k, n, share) <= level).otherwise(False)
     tested = counted.withColumn("safe", safe)
     # the first failure ends the sequence of a pair; the step before it is the choice
     fail = tested.groupBy("stratum", "rule").agg(
@@ -196,7 +197,7 @@ def quality_rules(
     """Return doc_id, the measures, base_failed, stratum, kept and the rules that rejected.
 
     All labelled good documents that pass the base are the holdout. With probability
-    ``confidence`` no rule rejects more than ``risk`` of the good documents of any
+    ``confidence`` all rules together reject at most ``risk`` of the good documents of every
     stratum. Null text has no words and fails the base. Null labels are ignored; without labels, or
     in an empty table, no cutoff is chosen and ``kept`` is the base's verdict. Repeated
     rows are judged alike; a label repeated for one id counts once. Extra columns are ignored.

@@ -101,6 +101,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 _ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RISK = 0.02 / len(quality_rules.RULES)
 _STEPS = " union all ".join(
     f"select doc_id, stratum, '{r.name}' as rule, {i} as step, {float(c)!r}::double as cutoff, ({r.sql.replace('0D', '0.0::double').replace('1D', '1.0::double')}) > {float(c)!r}::double as over from judged"
     for r in quality_rules.RULES
@@ -132,8 +133,8 @@ counted as (
   select stratum, rule, step, any_value(cutoff) as cutoff, count(*) as n, count(*) filter (where over) as k
   from steps where doc_id in (select doc_id from good) group by stratum, rule, step),
 tested as (
-  select *, k < n * 0.02 and list_sum(list_transform(range(0, k + 1), lambda j:
-      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98))))
+  select *, k < n * {_RISK!r}::double and list_sum(list_transform(range(0, k + 1), lambda j:
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RISK!r}::double) + (n - j) * ln(1 - {_RISK!r}::double))))
     <= 0.05 / (select count(distinct stratum) * {len(quality_rules.RULES)} from counted) as safe from counted),
 -- along the grid the first failure ends a sequence of tests
 chosen as (
