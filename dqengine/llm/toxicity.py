@@ -121,16 +121,26 @@ def train(
     y = rows["label"].to_numpy().astype(float)
     lists = rows["features"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    of = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+    size = lists.value_lengths().to_numpy()
+    bounds = np.concatenate([[0], np.cumsum(size)])
     feature = lists.flatten().to_numpy()
     # each class weighs half, so the sampling rates do not move the threshold of 0.5
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    value = ratios[feature] / np.sqrt(np.maximum(lists.value_lengths().to_numpy(), 1))[of]
+    ratios_ = ratios.astype(np.float32)
+    scale = 1 / np.sqrt(np.maximum(size, 1))
     penalty = 0.33 / len(y)
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        miss = weight * (sigmoid(x[-1] + np.bincount(of, value * x[feature], len(y))) - y)
-        return np.append(np.bincount(feature, value * miss[of], len(keys)) + penalty * x[:-1], miss.sum())
+        out = np.append(penalty * x[:-1], 0.0)
+        for a in range(0, len(y), 500):  # some texts at a time, so that only the features themselves are held
+            b = min(a + 500, len(y))
+            own = feature[bounds[a] : bounds[b]]
+            of = np.repeat(np.arange(b - a), size[a:b])
+            value = ratios_[own] * scale[a:b][of]
+            miss = weight[a:b] * (sigmoid(x[-1] + np.bincount(of, value * x[own], b - a)) - y[a:b])
+            out[:-1] += np.bincount(own, value * miss[of], len(keys))
+            out[-1] += miss.sum()
+        return out
 
     x = adam(gradient, np.zeros(len(keys) + 1), 200, 0.05)
     return ToxicityModel(keys, ratios * x[:-1], float(x[-1]))
