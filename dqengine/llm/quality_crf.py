@@ -139,7 +139,7 @@ class QualityModel:
     turn: np.ndarray
 
     def _emit(self, x: np.ndarray) -> np.ndarray:
-        good = x @ self.weights
+        good = (x @ self.weights.astype(np.float32)).astype(float)
         return np.stack([-good, good], 1) / 2
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -200,7 +200,8 @@ def train(
         model = QualityModel(p[:-4], p[-4:].reshape(2, 2))
         marginal, pair, _ = forward_backward(model._emit(x), model.turn, first, per_text)
         miss = (marginal - truth) * np.repeat(per_text, np.diff(first))[:, None]
-        return np.concatenate([(miss[:, 1] - miss[:, 0]) / 2 @ x + 1e-4 * p[:-4], (pair - turns).ravel() + 1e-2 * p[-4:]])
+        slope = ((miss[:, 1] - miss[:, 0]) / 2).astype(np.float32) @ x  # in the features' own precision: no copy of them
+        return np.concatenate([slope + 1e-4 * p[:-4], (pair - turns).ravel() + 1e-2 * p[-4:]])
 
     p = adam(gradient, np.zeros(x.shape[1] + 4), 150, 0.1)
     return QualityModel(p[:-4], p[-4:].reshape(2, 2))
