@@ -43,8 +43,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranked = terms[order]
             cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(terms) else np.zeros(0, np.int64)
             bounds = np.append(cuts, len(terms))
+            gaps = np.diff(places[order], prepend=np.uint32(0))  # small numbers: they pack well
+            gaps[cuts] = places[order][cuts]
             raw = pa.BinaryArray.from_buffers(
-                pa.binary(), len(cuts), [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(places[order])]
+                pa.binary(), len(cuts), [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(gaps.astype("<u4"))]
             )
             k = len(cuts)
             per_row = [piece.column("doc_id").to_pylist(), piece.column("row").to_pylist(), np.diff(first).tolist()]
@@ -65,8 +67,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Positional inverted index of all documents, written to the shared folder.
 
-    One row a term and segment; places count words within the segment. Nothing is
-    shuffled: each task indexes its own rows, piece by piece.
+    One row a term and segment; places count words within the segment and are kept as the
+    gaps between them. Nothing is shuffled: each task indexes its own rows, piece by piece.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
     return stored(rows.mapInArrow(_index, INDEX), "positions")
@@ -111,7 +113,9 @@ def _match(slack: int, left: pa.Table, right: pa.Table) -> pa.Table:
         terms = left["term"].to_numpy()
         counts = left["n"].to_numpy()
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        places = np.frombuffer(b"".join(left["postings"].to_pylist()), "<u4").astype(np.int64)
+        gaps = np.frombuffer(b"".join(left["postings"].to_pylist()), "<u4").astype(np.int64)
+        upto = np.cumsum(gaps)
+        places = upto - np.repeat(upto[bounds[:-1]] - gaps[bounds[:-1]], counts)
         room = int(places.max()) + 2
         keys = np.repeat(np.arange(len(terms)), counts) * room + places  # ascending: by term, then place
         lists = right["terms"].combine_chunks()
