@@ -2,7 +2,7 @@
 
 Symbols are the words, the end of a text, and one symbol for every unknown word; contexts are
 the words before, back to the beginning of the text. The shortest context, the empty one, has
-exact counts of all words, which reach the texts by a join. Longer contexts make a tree of
+counts of all words, which reach the texts by a join. Longer contexts make a tree of
 bounded size that is sent to every task.
 """
 
@@ -24,7 +24,7 @@ DEPTH = 4  # words of the longest context
 LEAST = 1e-5  # share of all tokens below which a run of words is neither context nor prediction
 DISCOUNT = 0.5
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the beginning and the end of a text among the word hashes
-SIEVE_BITS, SLICES = 20, 256  # counters that sift runs of words before they are counted
+SIEVE_BITS, SLICES = 18, 256  # counters that sift runs of words before they are counted
 # One row a piece of a partition (about four megabytes of whole texts): its distinct words once,
 # its texts as places in that list.
 PACKED = "piece long, doc_id array<long>, held_out array<boolean>, first array<int>, words binary, n binary, at binary"
@@ -83,15 +83,13 @@ def _spelt(batch: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.n
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (piece, place, word, n) for each distinct word of a piece."""
+    """One row (piece, place, word, n) for each distinct word of a piece, the word as its hash."""
     for batch in batches:
         for row in range(batch.num_rows):
-            data, starts, ends = _spelt(batch, row)
-            bounds = np.append(starts, len(data)) - np.arange(len(starts) + 1)
-            text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data[data != 0x0A]))
-            piece = pa.array(np.full(len(starts), batch.column("piece")[row].as_py(), np.int64))
+            word = signed(word_hashes(*_spelt(batch, row)))
+            columns = [np.full(len(word), batch.column("piece")[row].as_py(), np.int64), np.arange(len(word), dtype=np.int32), word]
             n = pa.array(_grow(batch.column("n")[row], "<i4"), pa.int64())
-            yield pa.RecordBatch.from_arrays([piece, pa.array(np.arange(len(starts), dtype=np.int32)), text, n], names=["piece", "place", "word", "n"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), n], names=["piece", "place", "word", "n"])
 
 
 def _stream(batch: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,6 +135,8 @@ def _sieve(length: int, known: np.ndarray, batches: Iterator[pa.RecordBatch]) ->
     counts = np.zeros(1 << SIEVE_BITS, np.int64)
     for run, _, _ in _runs(length, known, batches):
         counts += np.bincount((run >> np.uint64(64 - SIEVE_BITS)).astype(np.int64), minlength=len(counts))
+    if counts.max() < 1 << 31:
+        counts = counts.astype("<i4")  # half the bytes to move; a slice's length tells which
     parts = [x.tobytes() for x in np.split(counts, SLICES)]
     yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
@@ -145,7 +145,8 @@ def _add(floor: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     total, number = np.zeros((1 << SIEVE_BITS) // SLICES, np.int64), 0
     for batch in batches:
         for x in batch.column("counts"):
-            total = total + np.frombuffer(x.as_buffer(), np.int64)
+            raw = x.as_buffer()
+            total = total + np.frombuffer(raw, "<i4" if raw.size == 4 * len(total) else "<i8")
         number = batch.column("slice")[0].as_py() if batch.num_rows else number
     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(total >= floor).tobytes()], pa.binary())], names=["slice", "heavy"])
 
@@ -221,8 +222,7 @@ def grow(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, le
     tree = SuffixTree(tokens, ends, discount, types * discount / tokens if tokens else 1.0, [], [])
     floor = max(least * tokens, 2)
     common = known.filter(F.col("c") >= floor).select("word", "c").toArrow()
-    data, offsets = string_bytes(common["word"].combine_chunks()) if common.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    keys = np.append(word_hashes(data, offsets[:-1], offsets[1:]), [BEGIN, END])
+    keys = np.append(common["word"].to_numpy().view(np.uint64), [BEGIN, END])
     n = np.append(common["c"].to_numpy().astype(float), [ends, ends])
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
@@ -304,14 +304,15 @@ def score_texts(
     """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     The tree and the counts are learnt from the rows that are not ``held_out``; every row is scored
-    whole. Words are counted exactly over all training texts by an aggregation on the word;
-    the words of a piece meet their counts by a join. Null text is an empty one: its end only. Without
+    whole. Words are counted over all training texts by an aggregation on their 64-bit hashes (of a
+    billion distinct words two share one with a chance of 3 %); the words of a piece meet their counts
+    by a join. Null text is an empty one: its end only. Without
     training rows nothing is known and every token is the unknown symbol. Rows are scored
     one by one, so repeated rows and ids are fine; extra columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     packed = stored(rows.mapInArrow(_pack, PACKED), "packed")
-    listed = packed.select("piece", "words", "n").mapInArrow(_listed, "piece long, place int, word string, n long")
+    listed = packed.select("piece", "words", "n").mapInArrow(_listed, "piece long, place int, word long, n long")
     # written before the join, so that adaptive execution can split a word that is in every piece
     counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = packed.select(F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("n")).first()["n"] or 0

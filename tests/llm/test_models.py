@@ -129,13 +129,16 @@ def test_suffix_tree_is_a_distribution(spark):
     rows = [(i, "the cat sat on the mat . the dog sat on the log " + ("zebra " if i % 3 else "") + f"w{i}") for i in range(40)]
     docs = table(spark, rows).select("doc_id", F.lit(False).alias("held_out"), "text")
     packed = docs.mapInArrow(suffix_tree._pack, suffix_tree.PACKED).persist()
-    listed = packed.select("piece", "words", "n").mapInArrow(suffix_tree._listed, "piece long, place int, word string, n long")
+    listed = packed.select("piece", "words", "n").mapInArrow(suffix_tree._listed, "piece long, place int, word long, n long")
     counts = listed.groupBy("word").agg(F.sum("n").alias("c"))
     tree = suffix_tree.grow(packed, counts, 40, least=0.01)
     assert len(tree.contexts[0][0]) > 3 and len(tree.contexts[1][0])
-    known = {r["word"]: r["c"] for r in counts.collect()}
-    data, offsets = suffix_tree.string_bytes(pa.array(list(known)))
-    hashes = dict(zip(known, suffix_tree.word_hashes(data, offsets[:-1], offsets[1:])))
+    spelt = sorted({w for _, t in rows for w in t.split()})
+    data, offsets = suffix_tree.string_bytes(pa.array(spelt))
+    hashes = dict(zip(spelt, suffix_tree.word_hashes(data, offsets[:-1], offsets[1:])))
+    count = {r["word"]: r["c"] for r in counts.collect()}
+    known = {w: count[int(h.astype(np.int64))] for w, h in hashes.items()}
+    assert len(count) == len(known)
     vocabulary = [*hashes.values(), suffix_tree.END, np.uint64(99)]
     times = np.array([*known.values(), 40, 0])
     for before in ([], ["the"], ["on", "the"], ["sat", "on", "the"], ["zebra"], ["w1"]):
