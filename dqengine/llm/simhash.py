@@ -225,12 +225,14 @@ def print_links(prints: DataFrame, reach: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = MAX_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Return (doc_id, row, print, component_id), one row per input row; ``row`` is a hash of the text.
+    """Return (doc_id, row, print, root, component_id), one row per input row; ``row`` is a hash of the text.
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``reach``
     differing bits. Copies share a fingerprint and are compared once. Null and blank texts have
     fingerprint zero and link as any other. Repeated rows are in one component.
-    A missing doc_id is never the smallest, unless no row of the component has one. Extra
+    A missing doc_id is never the smallest, unless no row of the component has one. Components
+    without ids, and those that share an id, have the same ``component_id``; ``root``, the least
+    fingerprint of the component, tells them apart. Extra
     columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), fingerprint(F.col(text), shingle).alias("print"))
@@ -241,19 +243,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = MAX_BI
     rooted = heads.join(groups, "print", "left").select("print", "head", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
     # written first, so that adaptive execution can split a fingerprint that very many rows share
-    named = stored(rooted.join(least, "root").select("print", "component_id"), "components")
-    return rows.join(named, "print").select("doc_id", "row", "print", "component_id")
+    named = stored(rooted.join(least, "root").select("print", "root", "component_id"), "components")
+    return rows.join(named, "print").select("doc_id", "row", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each component with all its columns: the one with the smallest id.
 
-    Among rows that share this id, the one with the smallest hash of the text stays, and
-    one of equal rows. Ids are joined, texts are moved once.
+    Among a component's rows that share this id (or have none, if no row has one), the one with the
+    smallest hash of the text stays, and one of equal rows. Ids are joined, texts are moved once.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     first = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "row"))
-    kept = found.groupBy("component_id").agg(F.min(first).alias("k")).select("k.*")
+    kept = found.groupBy("root").agg(F.min(first).alias("k")).select("k.*")
     kept = stored(kept.select(_key("doc_id"), F.col("row").alias("__row")), "kept")
     keyed = docs.select("*", _key(doc_id), F.xxhash64(text).alias("__row"))
     alike = Window.partitionBy("__id", "__row").orderBy("__row")

@@ -164,6 +164,16 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(table(spark, [(None, "a b c"), (None, "a b c")])).first()["component_id"] is None
 
 
+def test_keep_one_keeps_every_component(spark):
+    texts = ["the first text has these words", "another one is about something else", "nothing here looks like the others"]
+    for ids in ([None, None, None], [7, 7, 7], [7, None, 7]):
+        rows = list(zip(ids, texts)) * 2
+        kept = simhash.keep_one(table(spark, rows)).select("doc_id", "text").collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted(zip(ids, texts), key=repr)
+    found = simhash.near_duplicates(table(spark, [(None, t) for t in texts])).collect()
+    assert len({r["root"] for r in found}) == 3 and {r["component_id"] for r in found} == {None}
+
+
 def python_hits(rows, items, window=10):
     words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
     wanted = {}
