@@ -167,7 +167,8 @@ def _match(slack: int, left: pa.Table, right: pa.Table) -> pa.Table:
             names = right["item"].to_pylist()
             seen = np.unique(np.stack([doc, at, last, phrase], 1), axis=0)
             for d, a, b, p in seen.tolist():
-                items[d].add(names[p])
+                if names[p] is not None:
+                    items[d].add(names[p])
                 spans[d].append({"item": names[p], "first": a, "last": b})
     schema = pa.schema(
         [
@@ -204,6 +205,7 @@ def find_items(
     their rarest term, then each segment intersects its own postings. Null or empty
     texts have no words; items without words match nothing; equal windows of several
     items, repeated items and repeated documents are each reported; empty tables give no hits.
+    An item without an id counts in ``n_hit`` and has spans (with a null item), but is not in ``items``.
     Extra columns are ignored.
     """
     index = build_index(docs, doc_id, text)

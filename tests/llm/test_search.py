@@ -206,6 +206,15 @@ def test_find_items(spark):
     assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((r[0] for r in python_hits(rows, items) if not r[2]), key=str)
 
 
+def test_items_without_an_id(spark):
+    asked = spark.createDataFrame([(None, "alpha beta"), (None, "gamma delta"), (3, "alpha beta")], "item_id long, text string")
+    docs = table(spark, [(1, "x alpha beta y"), (2, "gamma delta"), (3, "gamma beta")])
+    got = {r["doc_id"]: r for r in decontaminate.find_items(docs, asked).collect()}
+    assert {i: (r["n_hit"], r["items"]) for i, r in got.items()} == {1: (2, ["3"]), 2: (2, []), 3: (0, [])}
+    assert sorted(map(tuple, got[1]["spans"]), key=repr) == [("3", 1, 2), (None, 1, 2)] and [tuple(s) for s in got[2]["spans"]] == [(None, 0, 1)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, asked).collect()] == [3]
+
+
 def test_proximity_and_spans(spark):
     item = "alpha beta gamma delta epsilon"
     asked = spark.createDataFrame([(1, item)], "item_id long, text string")
