@@ -2,17 +2,19 @@
 
 Symbols are the words, the end of a text, and one symbol for every unknown word; contexts are
 the words before, back to the beginning of the text. The shortest context, the empty one, has
-counts of all words, which reach the texts by a join. Longer contexts make a tree of
-bounded size that is sent to every task.
+counts of all words. Longer contexts and their predictions are tables that grow with the corpus.
+Both reach the texts by joins on hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +23,10 @@ from .tables import stored
 from .text import BLANKS, LOWER, look_up, mix, pieces, signed, string_bytes, word_hashes, words
 
 DEPTH = 4  # words of the longest context
-LEAST = 1e-5  # share of all tokens below which a run of words is neither context nor prediction
+LEAST = 2  # times a run of words must occur to be a context or a prediction
 DISCOUNT = 0.5
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the beginning and the end of a text among the word hashes
-SIEVE_BITS, SLICES = 18, 256  # counters that sift runs of words before they are counted
+MARK_BITS, SLICES = 26, 256  # places of the largest set of marks, and the rows it is gathered in
 # One row a piece of a partition (about four megabytes of whole texts): its distinct words once,
 # its texts as places in that list.
 PACKED = "piece long, doc_id array<long>, held_out array<boolean>, first array<int>, words binary, n binary, at binary"
@@ -116,8 +118,42 @@ def _longer(heads: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(length: int, known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(run, head, tail) at every training place where a run of ``length`` has both shorter parts ``known``."""
+def _mark(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = np.zeros(1 << bits, bool)
+    for batch in batches:
+        marks[batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+    parts = [x.tobytes() for x in np.split(np.packbits(marks), SLICES)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "marks"])
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number, out = 0, None
+    for batch in batches:
+        for x in batch.column("marks"):
+            part = np.frombuffer(x.as_buffer(), np.uint8)
+            out = part.copy() if out is None else np.bitwise_or(out, part, out=out)
+        number = batch.column("slice")[0].as_py() if batch.num_rows else number
+    if out is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slice", "marks"])
+
+
+def _marks(keys: DataFrame, bits: int) -> np.ndarray:
+    """One bit for the hashes that share their first ``bits`` bits: what is not marked is not among the
+    keys. Marks only spare work; what they let through is told apart by joins."""
+    found = keys.select("key").mapInArrow(lambda it: _mark(bits, it), "slice int, marks binary")
+    slices = found.groupBy("slice").applyInArrow(_unite, "slice int, marks binary").toArrow().sort_by("slice")
+    if not slices.num_rows:
+        return np.zeros(1 << bits - 3, np.uint8)
+    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for c in slices["marks"].chunks for x in c])
+
+
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - (len(marks) * 8).bit_length() + 1)
+    return (marks[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 0x80 > 0
+
+
+def _count(length: int, known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, head, tail, n) of the runs of ``length`` in each piece's training texts, where both shorter parts are marked."""
     for batch in batches:
         for row in range(batch.num_rows):
             symbols, before, text, _ = _stream(batch, row)
@@ -126,37 +162,29 @@ def _runs(length: int, known: np.ndarray, batches: Iterator[pa.RecordBatch]) ->
             shorter = symbols
             for _ in range(length - 2):
                 shorter = _longer(shorter, symbols)
-            at = at[look_up(known, shorter[at]) >= 0]
-            at = at[look_up(known, shorter[at - 1]) >= 0]
-            yield _longer(shorter, symbols)[at], shorter[at - 1], shorter[at]
-
-
-def _sieve(length: int, known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SIEVE_BITS, np.int64)
-    for run, _, _ in _runs(length, known, batches):
-        counts += np.bincount((run >> np.uint64(64 - SIEVE_BITS)).astype(np.int64), minlength=len(counts))
-    if counts.max() < 1 << 31:
-        counts = counts.astype("<i4")  # half the bytes to move; a slice's length tells which
-    parts = [x.tobytes() for x in np.split(counts, SLICES)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+            at = at[_marked(known, shorter[at])]
+            at = at[_marked(known, shorter[at - 1])]
+            keys, one, n = np.unique(_longer(shorter, symbols)[at], return_index=True, return_counts=True)
+            columns = [signed(keys), signed(shorter[at - 1][one]), signed(shorter[at][one]), n]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "head", "tail", "n"])
 
 
-def _add(floor: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, number = np.zeros((1 << SIEVE_BITS) // SLICES, np.int64), 0
+def _wanted(depth: int, contexts: np.ndarray, symbols: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, key) of the contexts and predictions that the texts of each piece may need."""
     for batch in batches:
-        for x in batch.column("counts"):
-            raw = x.as_buffer()
-            total = total + np.frombuffer(raw, "<i4" if raw.size == 4 * len(total) else "<i8")
-        number = batch.column("slice")[0].as_py() if batch.num_rows else number
-    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(total >= floor).tobytes()], pa.binary())], names=["slice", "heavy"])
-
-
-def _count(length: int, known: np.ndarray, heavy: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run, head, tail in _runs(length, known, batches):
-        ok = heavy[(run >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)]
-        keys, one, n = np.unique(run[ok], return_index=True, return_counts=True)
-        columns = [signed(keys), signed(head[ok][one]), signed(tail[ok][one]), n]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "head", "tail", "n"])
+        for row in range(batch.num_rows):
+            stream, before, _, _ = _stream(batch, row)
+            rising, context, keys = np.flatnonzero(before > 0), stream, [np.zeros(0, np.uint64)]
+            for d in range(1, depth + 1):
+                if d > 1:
+                    context = _longer(context, stream)
+                rising = rising[before[rising] >= d]
+                rising = rising[_marked(contexts, context[rising - 1])]
+                own = _longer(context, stream)[rising]
+                keys += [np.unique(context[rising - 1]), np.unique(own[_marked(symbols, own)])]
+            key = signed(np.unique(np.concatenate(keys)))
+            piece = np.full(len(key), batch.column("piece")[row].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(key)], names=["piece", "key"])
 
 
 @dataclass(frozen=True)
@@ -199,18 +227,30 @@ class SuffixTree:
         return p
 
 
-def grow(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, least: float = LEAST) -> SuffixTree:
-    """Learn the tree from packed training texts and their (word, c).
+@dataclass(frozen=True)
+class Learnt:
+    """The empty context (a tree without contexts), and by depth the tables of contexts (key, left) and predictions (key, share)."""
+
+    root: SuffixTree
+    bits: int
+    contexts: list[DataFrame]
+    symbols: list[DataFrame]
+
 
-    Runs of words are counted length by length. A run is tried only if both its parts one word
-    shorter hold at least the share ``least`` of all tokens, and only if its counter in a
-    table of fixed size reaches that share too; both tests never drop a run that holds it.
-    So at most 1 / ``least`` runs of each length reach the driver, whatever the input.
+def learn(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, least: float = LEAST) -> Learnt:
+    """Learn contexts and predictions from packed training texts and their (word, c).
+
+    Runs of words are counted length by length; those that occur ``least`` times (at least twice) are
+    tried, whatever the size of the corpus. A run occurs at most as often as both its parts one word shorter, so
+    only runs of marked parts are counted.
 
     A context stays if its divergence from the context one word shorter, as log likelihood over the whole corpus,
     pays for its predictions at ln(tokens) nats each (minimum description length); its suffixes stay
     with it. Its symbols are discounted, and what is left is shared as the shorter context shares
     it, down to the empty one, whose discount by Ney's estimate is the chance of an unknown word.
+
+    Runs, contexts and predictions are tables in the shared folder; the driver has sums and marks.
+    Two different runs are one if their 64-bit hashes are equal.
     """
     known = counts.filter(F.col("c") > 0)
     sums = known.agg(
@@ -219,62 +259,69 @@ def grow(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, le
     tokens = (sums["n"] or 0) + ends
     types = sums["v"] + int(ends > 0)
     discount = (sums["n1"] + 1) / (sums["n1"] + 2 * sums["n2"] + 2)
-    tree = SuffixTree(tokens, ends, discount, types * discount / tokens if tokens else 1.0, [], [])
-    floor = max(least * tokens, 2)
-    common = known.filter(F.col("c") >= floor).select("word", "c").toArrow()
-    keys = np.append(common["word"].to_numpy().view(np.uint64), [BEGIN, END])
-    n = np.append(common["c"].to_numpy().astype(float), [ends, ends])
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    shorter = (keys, tree.alone(n))  # chances of the predictions of the context one word shorter
-    suffix = np.zeros(len(keys), np.uint64)
-    found = []
+    root = SuffixTree(tokens, ends, discount, types * discount / tokens if tokens else 1.0, [], [])
+    bits = min(max((4 * tokens).bit_length(), 12), MARK_BITS)
+    floor = max(least, 2)
+    marks = packed.sparkSession.createDataFrame([(int(x), ends) for x in (BEGIN, END)], "key long, n long")
+    common = known.filter(F.col("c") >= floor).select(F.col("word").alias("key"), F.col("c").alias("n")).unionByName(marks)
+    # runs one word shorter: how often they occur, and their chance as predictions
+    shorter = common.select("key", "n", ((F.col("n") - F.lit(discount)) / F.lit(max(tokens, 1))).alias("p"))
     texts = packed.select("held_out", "first", "words", "at")
-    for length in range(2, depth + 2):
-        if not ends:
+    judged, tried = [], []
+    for length in range(2, depth + 2) if ends else ():
+        part = texts.mapInArrow(lambda it, k=length, f=_marks(shorter, bits): _count(k, f, it), "key long, head long, tail long, n long")
+        merged = part.groupBy("key").agg(F.sum("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+        # written before the joins, so that adaptive execution can split a word that very many runs share
+        runs = stored(merged.filter(F.col("n") >= floor), "runs")
+        if runs.isEmpty():
             break
-        sieved = texts.mapInArrow(lambda it, k=length, f=keys: _sieve(k, f, it), "slice int, counts binary")
+        context = runs.groupBy("head").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("k"))
+        context = context.join(shorter.select(F.col("key").alias("head"), F.col("n").alias("total"), *(["tail"] if tried else [])), "head")
+        left = F.least(F.greatest(1 - (F.col("seen") - DISCOUNT * F.col("k")) / F.col("total"), F.lit(1e-9)), F.lit(1.0))
+        context = stored(context.withColumn("left", left), "contexts")
+        share = (F.col("n") - DISCOUNT) / F.col("total")
+        run = runs.join(context.select("head", "total", "left"), "head").withColumn("share", share)
+        run = run.join(shorter.select(F.col("key").alias("tail"), F.col("p").alias("below")), "tail")
+        run = run.withColumn("p", F.col("left") * F.col("below") + F.col("share"))
+        run = stored(run.select("key", "head", "tail", "n", "share", "p", (F.col("n") * F.ln(F.col("p") / F.col("below"))).alias("gain")), "predictions")
+        value = F.col("gain") + (F.col("total") - F.col("seen")) * F.ln("left")
+        context = context.join(run.groupBy("head").agg(F.sum("gain").alias("gain")), "head")
+        suffix = F.col("tail") if tried else F.lit(None).cast("long")
+        keep = value >= F.col("k") * F.lit(float(np.log(tokens)))
+        judged.append(stored(context.select(F.col("head").alias("key"), "left", suffix.alias("suffix"), keep.alias("keep")), "judged"))
+        tried.append(run)
+        shorter = run.select("key", "n", "p", "tail")
+    kept, needed = [], None
+    for context in reversed(judged):
+        if needed is None:
+            context = context.filter("keep")
+        else:
+            context = context.join(needed.withColumn("needed", F.lit(True)), "key", "left").filter("keep or needed")
+        kept.insert(0, stored(context.select("key", "left", "suffix"), "kept"))
+        needed = kept[0].select(F.col("suffix").alias("key")).distinct()
+    symbols = [r.join(c.select(F.col("key").alias("head")), "head", "left_semi").select("key", "share") for r, c in zip(tried, kept)]
+    return Learnt(root, bits, [c.select("key", "left") for c in kept], symbols)
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _add(floor, batches)
 
-        slices = sieved.groupBy("slice").applyInArrow(add, "slice int, heavy binary").toArrow().sort_by("slice")
-        heavy = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)) for c in slices["heavy"].chunks for x in c]).astype(bool)
-        part = texts.mapInArrow(lambda it, k=length, f=keys, h=heavy: _count(k, f, h, it), "key long, head long, tail long, n long")
-        merged = part.groupBy("key").agg(F.sum("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
-        rows = merged.filter(F.col("n") >= floor).toArrow().sort_by("key")
-        if not rows.num_rows:
-            break
-        run, head, tail = (rows[c].to_numpy().view(np.uint64) for c in ("key", "head", "tail"))
-        times = rows["n"].to_numpy().astype(float)
-        context, owner = np.unique(head, return_inverse=True)
-        total = n[look_up(keys, context)]
-        share = (times - DISCOUNT) / total[owner]
-        seen = np.bincount(owner, times)
-        left = np.clip(1 - np.bincount(owner, share), 1e-9, 1)
-        below = shorter[1][look_up(shorter[0], tail)]
-        p = left[owner] * below + share
-        value = np.bincount(owner, times * np.log(p / below)) + (total - seen) * np.log(left)
-        found.append(
-            {"context": context, "left": left, "owner": owner, "run": run, "share": share}
-            | {"suffix": suffix[look_up(keys, context)], "keep": value >= np.bincount(owner) * np.log(tokens)}
-        )
-        order = np.argsort(run)
-        keys, n, suffix, shorter = run[order], times[order], tail[order], (run[order], p[order])
-    needed = np.zeros(0, np.uint64)
-    for f in reversed(found):
-        f["keep"] |= look_up(np.unique(needed), f["context"]) >= 0
-        needed = f["suffix"][f["keep"]]
-    for f in found:
-        own = f["keep"][f["owner"]]
-        order = np.argsort(f["run"][own])
-        tree.contexts.append((f["context"][f["keep"]], f["left"][f["keep"]]))
-        tree.symbols.append((f["run"][own][order], f["share"][own][order]))
-    return tree
-
-
-def _texts_scored(tree: SuffixTree, types: int, packed: pa.Table, found: pa.Table) -> pa.Table:
-    """Scores of the texts of one piece, given the counts of its distinct words."""
+def grow(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, least: float = LEAST) -> SuffixTree:
+    """The whole tree in one place, to look at what a small corpus teaches (see ``learn``)."""
+    learnt = learn(packed, counts, ends, depth, least)
+    both = [[_ascending(t.toArrow(), t.columns[1]) for t in tables] for tables in (learnt.contexts, learnt.symbols)]
+    return replace(learnt.root, contexts=both[0], symbols=both[1])
+
+
+def _ascending(rows: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of the rows that have the value, and the value."""
+    rows = rows.filter(pc.is_valid(rows[value]))
+    keys = rows["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows[value].to_numpy()[order]
+
+
+def _texts_scored(root: SuffixTree, types: int, depth: int, packed: pa.Table, found: pa.Table) -> pa.Table:
+    """Scores of the texts of one piece, given the counts of its distinct words and what was learnt of its runs."""
+    runs, found = found.filter(pc.is_valid(found["key"])), found.filter(pc.is_null(found["key"]))
+    tree = replace(root, contexts=[_ascending(runs, "left")] * depth, symbols=[_ascending(runs, "share")] * depth)
     first = _flat(packed, 0, "first").to_numpy().astype(np.int64)
     place = _grow(packed.column("at")[0], "<i4")
     count = np.zeros(found.num_rows, np.int64)
@@ -303,10 +350,10 @@ def score_texts(
 ) -> DataFrame:
     """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
-    The tree and the counts are learnt from the rows that are not ``held_out``; every row is scored
+    Contexts and counts are learnt from the rows that are not ``held_out``; every row is scored
     whole. Words are counted over all training texts by an aggregation on their 64-bit hashes (of a
-    billion distinct words two share one with a chance of 3 %); the words of a piece meet their counts
-    by a join. Null text is an empty one: its end only. Without
+    billion distinct words two share one with a chance of 3 %); the words and runs of a piece
+    meet their counts and shares by joins. Null text is an empty one: its end only. Without
     training rows nothing is known and every token is the unknown symbol. Rows are scored
     one by one, so repeated rows and ids are fine; extra columns are ignored.
     """
@@ -316,9 +363,19 @@ def score_texts(
     # written before the join, so that adaptive execution can split a word that is in every piece
     counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = packed.select(F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("n")).first()["n"] or 0
-    tree = grow(packed, counts, ends, depth, least)
+    learnt = learn(packed, counts, ends, depth, least)
+    root = learnt.root
     types = counts.filter(F.col("c") > 0).count() + int(ends > 0)
-    met = listed.select("piece", "place", "word").join(counts, "word").select(F.col("piece").alias("of"), "place", "c")
-    found = packed.drop("n").groupBy("piece").cogroup(met.groupBy("of")).applyInArrow(lambda a, b: _texts_scored(tree, types, a, b), SCORES)
-    total = F.lit(tree.tokens).cast("long").alias("train_tokens")
+    no = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("place", "int"), ("c", "long"), ("key", "long"), ("left", "double"), ("share", "double"))}
+    met = listed.select("piece", "place", "word").join(counts, "word")
+    met = met.select(F.col("piece").alias("of"), "place", "c", no["key"], no["left"], no["share"])
+    if learnt.contexts:
+        rows = [t.select("key", "left", no["share"]) for t in learnt.contexts] + [t.select("key", no["left"], "share") for t in learnt.symbols]
+        # a run is a context, a prediction or both
+        nodes = stored(reduce(DataFrame.unionByName, rows).groupBy("key").agg(F.max("left").alias("left"), F.max("share").alias("share")), "nodes")
+        marks = [_marks(nodes.filter(F.col(name).isNotNull()), learnt.bits) for name in ("left", "share")]
+        wanted = packed.drop("doc_id", "n").mapInArrow(lambda it: _wanted(depth, *marks, it), "piece long, key long")
+        met = met.unionByName(wanted.join(nodes, "key").select(F.col("piece").alias("of"), no["place"], no["c"], "key", "left", "share"))
+    found = packed.drop("n").groupBy("piece").cogroup(met.groupBy("of")).applyInArrow(lambda a, b: _texts_scored(root, types, depth, a, b), SCORES)
+    total = F.lit(root.tokens).cast("long").alias("train_tokens")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", total, F.col("base").alias("base_score"), "score")

@@ -158,3 +158,13 @@ def test_suffix_tree_edges(spark):
     none = suffix_tree.score_texts(docs, F.lit(True)).collect()
     assert {r["n_known"] for r in none} == {0} and {r["base_score"] for r in none} == {0.0}
     assert suffix_tree.score_texts(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_suffix_tree_rare_runs_stay_in_a_large_corpus(spark):
+    """A passage seen three times is learnt beside some 400,000 other tokens as beside none."""
+    passage = " ".join(f"rare{i}" for i in range(12))
+    rng = np.random.default_rng(3)
+    filler = [(i + 10, " ".join(f"w{k}" for k in rng.integers(0, 500, 10_000))) for i in range(40)]
+    docs = table(spark, [(i, passage) for i in range(4)] + filler)
+    got = suffix_tree.score_texts(docs, F.col("doc_id") == 3).filter("held_out").collect()
+    assert len(got) == 1 and got[0]["n_known"] == 13 and got[0]["score"] > got[0]["base_score"] / 2
