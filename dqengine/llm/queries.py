@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, quality_crf, quality_rules, simhash, suffix_tree, token_files, toxicity
+from . import decontaminate, langid, lexical, line_dedup, mixing, quality_crf, quality_rules, simhash, suffix_tree, token_files, toxicity
 from .tables import fold
 
 
@@ -84,6 +84,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(lexical.build_index(_table(spark, folder, "documents")), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality_crf": op2_quality_crf,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical": op11_lexical,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -199,4 +204,17 @@ rated as (
 select doc_id, size::bigint as size, source_size, target,
   (size * (floor(rate) + (case when u < rate - floor(rate) then 1 else 0 end)))::bigint as taken
 from rated""",
+    "op11_lexical": rf"""
+with docs as (select row_number() over () as r, doc_id, {_TERMS} as w from documents),
+totals as (select count(*) as n_docs, sum(len(w))::bigint as n_terms from docs where len(w) > 0),
+counted as (select r, t, count(*) as tf from (select r, unnest(w) as t from docs) group by r, t),
+weighted as (
+  select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from counted, totals group by t, n_docs),
+normed as (select r, doc_id, 100 - 90 + ((90 * len(w) * n_docs) // n_terms) as m from docs, totals where len(w) > 0),
+asked as (select distinct item_id, unnest({_TERMS}) as t from benchmark),
+scored as (
+  select a.item_id, d.r, d.doc_id, sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * d.m)))::bigint as score
+  from asked a join weighted w on a.t = w.t join counted c on a.t = c.t join normed d on c.r = d.r group by all),
+placed as (select *, row_number() over (partition by item_id order by score desc, doc_id, r) as place from scored where score > 0)
+select item_id, place::int as rank, doc_id, score from placed where place <= 10""",
 }
