@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lexical, line_dedup, mixing, quality_crf, quality_rules, simhash, suffix_tree, token_files, toxicity
+from . import decontaminate, hard_negatives, html_text, langid, lexical, line_dedup, mixing, quality_crf, quality_rules, simhash, suffix_tree, token_files, toxicity
 from .tables import fold
 
 
@@ -88,6 +88,18 @@ def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(lexical.build_index(_table(spark, folder, "documents")), _table(spark, folder, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    texts = html_text.extract(pages, html_text.train(pages))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality_crf": op2_quality_crf,
@@ -100,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_tree": op9_suffix_tree,
     "op10_toxicity": op10_toxicity,
     "op11_lexical": op11_lexical,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_html_text": op13_html_text,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -217,4 +231,22 @@ scored as (
   from asked a join weighted w on a.t = w.t join counted c on a.t = c.t join normed d on c.r = d.r group by all),
 placed as (select *, row_number() over (partition by item_id order by score desc, doc_id, r) as place from scored where score > 0)
 select item_id, place::int as rank, doc_id, score from placed where place <= 10""",
+    "op12_hard_negatives": """
+with rows_of as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from rows_of a join rows_of b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+positives as (
+  select * from pairs where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+negatives as (
+  select p.anchor_id, p.other as positive_id, n.other as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.other order by n.score desc, n.other)::int as rank
+  from positives p join pairs n on p.anchor_id = n.anchor_id
+  where not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select * from negatives where rank <= 3""",
 }
