@@ -81,6 +81,58 @@ def _one_deleted(s: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+# Longer texts meet on segments, not on deletion variants.
+LONG_TEXT = 64
+
+
+def _segment(length: Column, count: int, i: int) -> tuple[Column, Column]:
+    """Start (from 0) and size of piece ``i`` of ``count`` even pieces; the last ones take what is left over."""
+    base, rest = F.floor(length / count).cast("int"), F.pmod(length, F.lit(count))
+    return base * i + F.greatest(rest - (count - i), F.lit(0)), base + (F.lit(i) >= count - rest).cast("int")
+
+
+def segment_keys(text: Column, times: int) -> Column:
+    """Keys of the ``times`` + 1 segments of a text, one of which ``times`` edits leave whole."""
+    length = F.length(text)
+    parts = [(i, *_segment(length, times + 1, i)) for i in range(times + 1)]
+    return F.array(*[F.xxhash64(length, F.lit(i), F.substring(text, start + 1, size)) for i, start, size in parts])
+
+
+def probe_keys(text: Column, times: int) -> Column:
+    """Keys of all segments that a text of at most this length within ``times`` edits can share with this one."""
+    length = F.length(text)
+    found = []
+    for shorter in range(times + 1):
+        for i in range(times + 1):
+            start, size = _segment(length - shorter, times + 1, i)
+            for shift in range(-times, times + 1):
+                at = start + shift
+                key = F.xxhash64(length - shorter, F.lit(i), F.substring(text, at + 1, size))
+                found.append(F.when((at >= 0) & (at + size <= length), key))
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def _long_pairs(heads: DataFrame, block: list[str], times: int) -> DataFrame:
+    """``(id_a, id_b, distance)`` of distinct long texts within ``times`` edits.
+
+    One of ``times`` + 1 segments of the shorter text stands unchanged in the longer one, at most ``times``
+    places away: a few keys a text whatever its length, and no pair is missed. Keys travel without the texts.
+    """
+    own = heads.withColumn("mark", F.xxhash64("t"))
+    keyed = own.select(*block, "head", "mark", F.explode(segment_keys(F.col("t"), times)).alias("key"))
+    probes = own.select(*block, "head", "mark", F.explode(probe_keys(F.col("t"), times)).alias("key"))
+    met = match_keys(
+        probes.withColumnsRenamed({"head": "id_a", "mark": "mark_a"}), keyed.withColumnsRenamed({"head": "id_b", "mark": "mark_b"}).hint("merge"), [*block, "key"]
+    ).filter("id_a != id_b")
+    swap = F.col("id_a") > F.col("id_b")
+    sides = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("id_b", "id_a"), ("mark_b", "mark_a"), ("id_a", "id_b"), ("mark_a", "mark_b"))]
+    pairs = materialize(met.select(*sides).distinct())
+    texts = own.select("head", "mark", "t").distinct()
+    for side in "ab":
+        pairs = pairs.join(texts.withColumnsRenamed({"head": f"id_{side}", "mark": f"mark_{side}", "t": f"t_{side}"}).hint("merge"), [f"id_{side}", f"mark_{side}"])
+    return pairs
+
+
 def fuzzy_duplicates(
     df: DataFrame,
     id_col: str,
@@ -112,11 +164,14 @@ def fuzzy_duplicates(
     )
     # the hash of a variant is the join key: chance meetings fall to the distance test
     shortened = F.transform(deletions(F.col("t"), max_distance), lambda v: F.xxhash64(v))
-    variants = heads.select(*block, "t", "head", F.explode(F.array_distinct(shortened)).alias("variant"))
+    variants = heads.filter(F.length("t") <= LONG_TEXT).select(*block, "t", "head", F.explode(F.array_distinct(shortened)).alias("variant"))
     left = variants.withColumnsRenamed({"t": "t_a", "head": "id_a"})
     right = variants.withColumnsRenamed({"t": "t_b", "head": "id_b"})
     # size estimates do not see how far heads grow, so a broadcast is ruled out
     met = match_keys(left, right.hint("merge"), [*block, "variant"]).filter("id_a < id_b")
+    # a pair may lie on both sides of the limit
+    long = _long_pairs(heads.filter(F.length("t") > LONG_TEXT - max_distance), block, max_distance)
+    met = met.select("id_a", "id_b", "t_a", "t_b").unionByName(long.select("id_a", "id_b", "t_a", "t_b"))
     near = (
         met.withColumn("distance", F.levenshtein("t_a", "t_b", max_distance))
         .filter(F.col("distance") >= 0)
