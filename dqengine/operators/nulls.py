@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from dqengine.functions.text import trim_text
 from dqengine.operators import stats as st
-from dqengine.session import join_stats, match_keys
+from dqengine.session import join_stats, match_keys, materialize
 
 # Texts and numbers that stand for a missing value.
 NULL_TOKENS = ("", "NULL", "null", "NaN", "nan", "N/A", "#N/A")
@@ -20,8 +20,6 @@ SENTINELS = (999999,)
 STATISTICS = ("fill_mean", "fill_median", "fill_mode")
 CONSTANTS = ("fill_zero", "fill_custom")
 ORDERED = ("fill_forward", "fill_backward")
-# Least and most blocks an order is cut into; powers of two.
-LEAST_BLOCKS, MOST_BLOCKS = 256, 8192
 
 
 def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS, columns: Sequence[str] | None = None) -> DataFrame:
@@ -172,87 +170,34 @@ def fill_ordered(
 ) -> DataFrame:
     """Carry the last (or next) present value over the gaps, at most ``limit`` rows far.
 
-    The order is cut into blocks of about equal size, so that neither one hot
-    key nor a table without keys is one task: values travel inside a block by a
-    window, and from block to block through one small row per key and block.
-    The first order column is a number, a date or a time.
+    Rows are dealt by ranges of the whole order (keys, all order columns, and the place in the input, which settles ties),
+    so neither one hot key, nor one hot day, nor a table without keys is one task. Values travel
+    inside a range by a window, and from range to range by a scan over one row per key and range.
+    Order columns are of any type that sorts.
     """
     if not order_by:
         raise ValueError(f"{strategy} needs order_by: rows of a DataFrame have no order")
     back = strategy == "fill_backward"
-    keys = list(partition_by)
-    marked = _with_order_block(df, order_by[0])
-    if back:
-        marked = marked.withColumn("__block", -F.col("__block"))
-    order = [F.col(st.quoted(c)).desc() if back else F.col(st.quoted(c)).asc() for c in order_by]
-    inside = Window.partitionBy(*keys, "__block").orderBy(*order)
-    before = inside.rowsBetween(Window.unboundedPreceding, 0)
+    keys = [st.quoted(c) for c in partition_by]
+    order = [*[st.quoted(c) for c in order_by], "__at"]
     v = st.present(df, column)
-    row = F.row_number().over(inside)
-    here = marked.withColumn("__row", row)
+    placed = df.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(*keys, *order)
+    # written once: the ranges must be the same for the rows and for the scan over them
+    marked = materialize(placed.withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy("__range", *keys).orderBy(*[F.desc(c) if back else F.asc(c) for c in order])
     seen = F.last(F.when(v.isNotNull(), F.struct(v.alias("v"), F.col("__row").alias("r"))), True)
-    here = here.withColumn("__seen", seen.over(before))
-    found = F.when(v.isNotNull(), F.struct(F.struct(*[F.col(st.quoted(c)) for c in order_by]).alias("o"), v.alias("v")))
-    ends = marked.select(*keys, "__block", found.alias("f")).groupBy(*keys, "__block").agg(
-        F.count("*").alias("__n"), (F.min("f") if back else F.max("f"))["v"].alias("__v")
-    )
-    if limit is not None:
-        # distance needs the place of the block's last present value
-        last = here.groupBy(*keys, "__block").agg(F.max(F.col("__seen")["r"]).alias("__at"))
-        ends = match_keys(ends, last, [*keys, "__block"], "left")
-    else:
-        ends = ends.withColumn("__at", F.lit(0).cast("int"))
-    blocks = Window.partitionBy(*keys).orderBy("__block")
-    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    here = marked.withColumn("__row", F.row_number().over(inside))
+    here = here.withColumn("__seen", seen.over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = here.groupBy("__range", *keys).agg(F.count(F.lit(1)).alias("__n"), F.max_by("__seen", "__row").alias("__last"))
+    ranges = Window.partitionBy(*keys).orderBy(F.desc("__range") if back else F.asc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__n").over(ranges), F.lit(0))
     carried = ends.withColumn("__start", start)
-    carry = F.when(
-        F.col("__v").isNotNull(),
-        F.struct(F.col("__v").alias("v"), (F.col("__start") + F.col("__at")).alias("at")),
-    )
-    carried = carried.withColumn("__carry", F.last(carry, True).over(earlier)).select(
-        *keys, "__block", "__start", "__carry"
-    )
-    joined = match_keys(here, carried, [*keys, "__block"], "left")
-    own = F.col("__seen")["v"]
-    value = F.coalesce(own, F.col("__carry")["v"])
+    carry = F.when(F.col("__last").isNotNull(), F.struct(F.col("__last.v").alias("v"), (F.col("__start") + F.col("__last.r")).alias("at")))
+    carried = carried.select(*keys, "__range", "__start", F.last(carry, True).over(ranges).alias("__carry"))
+    joined = match_keys(here, carried, [*partition_by, "__range"], "left")
+    own = F.col("__seen.v")
+    value = F.coalesce(own, F.col("__carry.v"))
     if limit is not None:
-        far = F.when(own.isNotNull(), F.col("__row") - F.col("__seen")["r"]).otherwise(
-            F.col("__start") + F.col("__row") - F.col("__carry")["at"]
-        )
+        far = F.when(own.isNotNull(), F.col("__row") - F.col("__seen.r")).otherwise(F.col("__start") + F.col("__row") - F.col("__carry.at"))
         value = F.when(far <= limit, value)
-    return joined.withColumn(column, value).select(*df.columns)
-
-
-def order_number(df: DataFrame, column: str) -> Column:
-    """A double that never falls where the order column rises."""
-    c = F.col(st.quoted(column))
-    if st.is_number(df, column):
-        return c.cast("double")
-    if st.is_time(df, column):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    raise ValueError(f"order must begin with a number, a date or a time, not {column}")
-
-
-def _with_order_block(df: DataFrame, column: str) -> DataFrame:
-    """Add ``__block``, the number of cut points at or below the row's place in the order.
-
-    Twice as many blocks as shuffle partitions. The cut points come from
-    quantiles per slice of the input and then of those quantiles, so no single
-    task merges all sketches; they only need to be about even.
-    """
-    x = order_number(df, column)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (2 * partitions - 1).bit_length()))
-    parts = [i / blocks for i in range(1, blocks)]
-    sliced = df.select(x.alias("x"), F.pmod(F.spark_partition_id(), F.lit(st.SKETCH_GROUPS)).alias("slice"))
-    per_slice = sliced.groupBy("slice").agg(F.percentile_approx("x", parts, 4 * blocks).alias("c"))
-    cuts = per_slice.select(F.explode("c").alias("c")).agg(F.percentile_approx("c", parts, 4 * blocks)).scalar()
-    # sorted cut points: a search by halving, not a scan of the list
-    steps = F.array(*[F.lit(blocks >> i) for i in range(1, blocks.bit_length())])
-    place = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(x >= F.get(F.col("__cuts"), at + step - 1), at + step).otherwise(at),
-    )
-    return df.withColumn("__cuts", cuts).withColumn("__block", place).drop("__cuts")
+    return joined.withColumn(column, value).select(*[st.quoted(c) for c in df.columns])

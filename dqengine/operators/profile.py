@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dqengine.functions import numbers as nm
@@ -16,6 +17,10 @@ from dqengine.session import materialize
 DISTINCT_SHOWN_BELOW = 50
 TOP_SHOWN_BELOW = 20
 LONG_TEXT = 64
+# Values whose text is short; others may be of any length.
+SHORT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+# Items a sketch follows for one column.
+TRACKED = 10_000
 
 # Terms whose presence in a text raises each flag.
 KEYWORD_GROUPS = {
@@ -91,15 +96,16 @@ def _top(df: DataFrame, keys: DataFrame, k: int, columns: Sequence[str] | None =
     # rank <= k is cut per task before the shuffle, so a wide column is no hot group
     order = Window.partitionBy("column").orderBy(F.desc("n"), "head")
     ranked = named.withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= k)
-    texts = [c for c in (columns or df.columns) if st.is_text(df, c)]
+    # only texts and nested values can be longer than what is shown of them
+    wide = [c for c in (columns or df.columns) if not isinstance(df.schema[c].dataType, SHORT)]
     found = ranked.select("column", F.col("head").alias("value"), "n")
-    if texts:
+    if wide:
         few = materialize(ranked)  # k rows per column, and those that tie with the last on 64 characters
         found = few.filter("not is_long").select("column", F.col("head").alias("value"), "n")
         wanted = few.filter("is_long").select("column", "key", "n")
         if not wanted.isEmpty():
-            # read once more for the texts behind the few digests
-            cells = _cells(df, texts).select("column", "value", *_key(F.col("value"))).filter("is_long")
+            # read once more for the values behind the few digests
+            cells = _cells(df, wide).select("column", "value", *_key(F.col("value"))).filter("is_long")
             long = cells.join(wanted, ["column", "key"]).groupBy("column", "key", "n").agg(F.any_value("value").alias("value"))
             found = found.unionByName(long.select("column", "value", "n"))
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
@@ -107,6 +113,22 @@ def _top(df: DataFrame, keys: DataFrame, k: int, columns: Sequence[str] | None =
     return placed.select("column", "value", F.col("n").alias("count"), "rank")
 
 
+def sketched_keys(df: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
+    """``key_table`` of the likely most frequent values only, counted exactly.
+
+    Frequent-item sketches, merged across tasks, name the candidates: every value that more than about
+    1 / TRACKED of the rows hold is among them. A second scan counts these; no other value is shuffled.
+    """
+    named = [F.struct(*_key(shown(df, c))).getField("key").alias(f"k{i}") for i, c in enumerate(columns)]
+    aggs = [F.expr(f"approx_top_k(k{i}, {max(4 * k, 100)}, {TRACKED})").alias(f"t{i}") for i in range(len(columns))]
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"t{i}.item").alias("keys")) for i, c in enumerate(columns)]
+    likely = df.select(*named).agg(*aggs).select(F.inline(F.array(*cells))).select("column", F.explode("keys").alias("key"))
+    likely = materialize(likely.filter("key is not null"))  # some hundred rows per column
+    keyed = _cells(df, columns).select("column", *_key(F.col("value")))
+    found = keyed.filter("key is null").unionByName(keyed.join(likely, ["column", "key"], "left_semi").select(*keyed.columns))
+    return found.groupBy("column", "key", "head", "is_long").agg(F.count("*").alias("n"))
+
+
 def observed(df: DataFrame) -> DataFrame:
     """Rows ``(column, position, dtype, is_text, n_missing, min_value, max_value)``; one aggregation."""
     aggs, cells = [], []
@@ -136,7 +158,7 @@ def profile(df: DataFrame, k: int = 5, approx: bool = False) -> DataFrame:
 
     Distinct values and top values show for texts, and for other columns with
     fewer than 50 and 20 distinct values. ``approx`` estimates the distinct
-    counts and counts values only of columns that may show them.
+    counts and finds top values by sketches, so no distinct value is shuffled; the counts shown stay exact.
     """
     base = observed(df)
     if approx:
@@ -148,7 +170,7 @@ def profile(df: DataFrame, k: int = 5, approx: bool = False) -> DataFrame:
         narrow = {r["column"] for r in counted.filter(F.col("distinct") < TOP_SHOWN_BELOW).collect()}
         # texts show their top values however many they have
         few = [c for c in df.columns if c in narrow or st.is_text(df, c)] or df.columns[:1]
-        keys = key_table(df, few)
+        keys = sketched_keys(df, k, few)
         distinct = counted
     else:
         few = df.columns
@@ -186,17 +208,22 @@ def value_kind(c: Column) -> Column:
 def mixed_types(df: DataFrame) -> DataFrame:
     """Text columns whose values look like more than one type, with 3 samples."""
     texts = [c for c in df.columns if st.is_text(df, c)]
-    values = value_table(df, texts).filter("value is not null").withColumn("kind", value_kind(F.col("value")))
-    kinds = values.groupBy("column", "kind").agg(F.sum("n").alias("n"))
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, types string, sample_values string")
+    cells = _cells(df, texts).filter("value is not null")
+    kinds = cells.select("column", value_kind(F.col("value")).alias("kind")).distinct()
     by_column = kinds.groupBy("column").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("types"), F.count("*").alias("k"))
-    first = Window.partitionBy("column").orderBy("value")
-    samples = (
-        values.withColumn("r", F.row_number().over(first))
-        .filter("r <= 3")
-        .groupBy("column")
-        .agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("sample_values"))
-    )
-    return by_column.filter("k > 1").join(samples, "column").select("column", "types", "sample_values")
+    mixed = materialize(by_column.filter("k > 1"))  # at most a row per column
+    # the least values begin with the least heads: only values with one of these are compared whole
+    cells = cells.join(mixed.select("column"), "column", "left_semi").withColumn("head", F.substring("value", 1, LONG_TEXT))
+    heads = cells.select("column", "head").distinct()
+    place = F.row_number().over(Window.partitionBy("column").orderBy("head"))
+    heads = materialize(heads.withColumn("r", place).filter("r <= 3").drop("r"))
+    whole = cells.join(heads, ["column", "head"], "left_semi").groupBy("column", F.sha2("value", 256)).agg(F.any_value("value").alias("value"))
+    first = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    samples = whole.withColumn("r", first).filter("r <= 3").groupBy("column")
+    samples = samples.agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("sample_values"))
+    return mixed.join(samples, "column").select("column", "types", "sample_values")
 
 
 def missing_table(df: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from dqengine.functions import text as tx
+from dqengine.operators import clusters, inverted
 from dqengine.session import materialize, size_checked
 
 # Retrieval settings.
@@ -232,7 +233,11 @@ def dense_search(
             vectors = np.divide(vectors, length, out=vectors.copy(), where=length != 0)
         return vectors @ ready[0].T
 
-    found = _search(narrow, queries, size["n"] * (size["width"] or 1), prepare, score, top_k, min_score)
+    cells = size["n"] * (size["width"] or 1)
+    if cells > QUERY_BLOCK_CELLS:
+        vectors = narrow.select("chunk_id", unit(F.col("vector")).alias("vector") if normalize else F.col("vector").cast("array<double>"))
+        return _ranked(clusters.inner_products(vectors, queries, size["width"], top_k, min_score), top_k)
+    found = _search(narrow, queries, cells, prepare, score, top_k, min_score)
     return _ranked(found, top_k)
 
 
@@ -287,12 +292,17 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, top_k: int = TOP_K) ->
     lists = chunks.filter("content is not null").select("chunk_id", tx.words(F.col("content")).alias("words"))
     asked = _query_words(queries).filter(F.size("words") > 0)
     each = F.transform("words", lambda w: F.lit(1.0)).alias("weights")
+    cells = _word_cells(asked)
+    if cells > QUERY_BLOCK_CELLS:
+        weights = asked.select("query_id", F.explode("words").alias("word"), F.lit(1.0).alias("weight"), F.size("words").cast("double").alias("norm"))
+        held = lists.select("chunk_id", F.explode(F.array_distinct("words")).alias("word")).withColumn("value", F.lit(1.0))
+        return _ranked(inverted.top_pairs(held, weights, top_k, ABOVE_ZERO, _search), top_k)
 
     def score(batch: pa.RecordBatch, ready: tuple) -> np.ndarray:
         listed, has = ready
         return ((word_counts(batch, listed) > 0) @ has) / np.maximum(has.sum(axis=0), 1)
 
-    found = _search(lists, asked.select("*", each), _word_cells(asked), _word_matrix, score, top_k, ABOVE_ZERO)
+    found = _search(lists, asked.select("*", each), cells, _word_matrix, score, top_k, ABOVE_ZERO)
     return _ranked(found, top_k)
 
 
@@ -327,7 +337,16 @@ def sparse_search(
     df = F.coalesce("df", F.lit(0))
     # a word that no chunk has meets no count, so its weight is free
     idf = F.log1p((n - df + 0.5) / (df + 0.5)) if method == "bm25" else F.log(F.lit(float(max(n, 1))) / F.greatest(df, F.lit(1)))
-    weighted = each.join(frequent.select("word", "df"), "word", "left").select("query_id", F.struct("word", idf.alias("weight")).alias("w"))
+    weighted = each.join(frequent.select("word", "df"), "word", "left").select("query_id", "word", idf.alias("weight"))
+    cells = _word_cells(asked)
+    if cells > QUERY_BLOCK_CELLS:
+        counts = lists.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("word"))
+        counts = counts.groupBy("word", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("length").alias("length"))
+        whole = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(float(mean) or 1.0)))
+        held = counts.select("word", "chunk_id", (whole if method == "bm25" else F.col("tf")).alias("value"))
+        weights = weighted.filter("weight > 0").withColumn("norm", F.lit(1.0))
+        return _ranked(inverted.top_pairs(held, weights, top_k, max(min_score, ABOVE_ZERO), _search), top_k)
+    weighted = weighted.select("query_id", F.struct("word", "weight").alias("w"))
     weighted = weighted.groupBy("query_id").agg(F.collect_list("w").alias("w"))  # the words of one query
     weighted = materialize(weighted.select("query_id", F.col("w.word").alias("words"), F.col("w.weight").alias("weights")))
 
@@ -339,7 +358,7 @@ def sparse_search(
             tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean))
         return tf @ weights
 
-    found = _search(lists, weighted, _word_cells(asked), _word_matrix, score, top_k, max(min_score, ABOVE_ZERO))
+    found = _search(lists, weighted, cells, _word_matrix, score, top_k, max(min_score, ABOVE_ZERO))
     return _ranked(found, top_k)
 
 

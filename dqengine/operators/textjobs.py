@@ -85,8 +85,49 @@ def keyword_sentences(
     return df.select(id_col, F.posexplode(F.slice(kept, 1, limit)).alias("position", "sentence"))
 
 
+# Escaped characters, quotes, braces, and what lies between them.
+_JSON_TOKENS = r'(?s)\\.|["{}]|[^"{}\\]+|\\'
+
+
+def balanced_objects(text: Column) -> Column:
+    """``array<struct<first, last>>``: places (from 1) of all ``{`` ... ``}`` with balanced braces, in the order they end.
+
+    A fold over the text's tokens. Quotes shift between inside and outside of a string; as prose before an object may
+    hold any number of quotes, braces seen after an even and after an odd number each have their own stack.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKENS), F.lit(0))
+    none = F.array().cast("array<int>")
+    spans = F.array().cast("array<struct<first:int,last:int>>")
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("odd"), none.alias("s0"), none.alias("s1"), spans.alias("spans"))
+
+    def step(state: Column, token: Column) -> Column:
+        opens, closes = token == "{", token == "}"
+        mine = F.when(state["odd"] == 0, state["s0"]).otherwise(state["s1"])
+        deep = F.size(mine)
+        moved = F.when(opens, F.array_append(mine, state["at"])).when(closes & (deep > 0), F.slice(mine, 1, deep - 1)).otherwise(mine)
+        found = F.when(
+            closes & (deep > 0), F.array_append(state["spans"], F.struct(F.element_at(mine, -1).alias("first"), state["at"].alias("last")))
+        ).otherwise(state["spans"])
+        return F.struct(
+            (state["at"] + F.length(token)).alias("at"),
+            F.when(token == '"', 1 - state["odd"]).otherwise(state["odd"]).alias("odd"),
+            F.when(state["odd"] == 0, moved).otherwise(state["s0"]).alias("s0"),
+            F.when(state["odd"] == 1, moved).otherwise(state["s1"]).alias("s1"),
+            found.alias("spans"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda state: state["spans"])
+
+
+def first_object(text: Column) -> Column:
+    """The first balanced object in a text that is valid JSON; one that holds others comes before them."""
+    spans = F.array_sort(balanced_objects(text), lambda a, b: F.coalesce(F.nullif(a["first"] - b["first"], F.lit(0)), b["last"] - a["last"]))
+    texts = F.transform(spans, lambda s: F.substring(text, s["first"], s["last"] - s["first"] + 1))
+    return F.get(F.filter(texts, lambda t: F.try_parse_json(t).isNotNull()), F.lit(0))
+
+
 def extract_json(df: DataFrame, text_col: str, schema: str, into: str = "parsed") -> DataFrame:
-    """The JSON object in a text: the whole text, else a fenced block, else first ``{`` to last ``}``.
+    """The JSON object in a text: the whole text, else a fenced block, else first ``{`` to last ``}``, else the first balanced object.
 
     Adds ``into`` (a struct, NULL when there is none) and ``json_method``.
     """
@@ -95,6 +136,8 @@ def extract_json(df: DataFrame, text_col: str, schema: str, into: str = "parsed"
         "whole": tx.trim_text(text),
         "fenced": F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1),
         "braces": F.regexp_extract(text, r"(?s)(\{.*\})", 1),
+        # only where there is more than one way to pair braces
+        "balanced": F.when(text.rlike(r"(?s)\{.*\{.*\}|\{.*\}.*\}"), first_object(text)),
     }
     method, found = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, c in reversed(candidates.items()):
