@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -9,13 +10,15 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqengine.functions.numbers import PLAIN_NUMBER
 from dqengine.functions.text import trim_text
 from dqengine.operators.nulls import NULL_TOKENS, null_tokens
 from dqengine.operators.profile import mixed_types
 from dqengine.operators.stats import quoted
-from dqengine.sources.sinks import save_corpus
+from dqengine.sources.records import read_json_array, read_quoted_csv
+from dqengine.sources.sinks import fingerprint, save_corpus
 
 # Delimiters the sniffing strategy chooses from.
 DELIMITERS = (",", ";", "\t", "|")
@@ -25,7 +28,7 @@ DELIMITERS = (",", ";", "\t", "|")
 class Strategy:
     """One way to read a CSV: ``sep=None`` sniffs; ``infer=False`` keeps texts.
 
-    ``multiline`` lets a quoted text run over several lines; then a file is one task's.
+    ``multiline`` lets a quoted text run over several lines.
     """
 
     name: str
@@ -53,8 +56,9 @@ class Loaded:
 
 
 def _texts(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
-    options = {"header": True, "sep": sep, "escape": '"', "mode": "FAILFAST", "multiLine": multiline, "enforceSchema": False}
-    return spark.read.options(**options).csv(path)
+    options = {"header": True, "sep": sep, "escape": '"', "mode": "FAILFAST", "enforceSchema": False}
+    lines = spark.read.options(**options).csv(path)
+    return read_quoted_csv(spark, path, lines.columns, sep) if multiline else lines
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -122,9 +126,13 @@ def read_csv(spark: SparkSession, path: str, strategies: Sequence[Strategy] = DE
 def read_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A JSON array of objects in one file, or with ``multiline=False`` one object per line.
 
-    One file of one array is read by one task; at size, write one object per line.
+    An array is cut into its objects by many tasks. Files of another kind (one object over several lines) are one
+    task each.
     """
     try:
+        rows = read_json_array(spark, path) if multiline else None
+        if rows is not None:
+            return rows
         return spark.read.option("multiLine", multiline).option("mode", "FAILFAST").json(path)
     except PySparkException as error:
         raise ValueError(f"cannot read JSON {path}") from error
@@ -157,12 +165,26 @@ def load_report(df: DataFrame, method: str) -> DataFrame:
     )
 
 
+def stored_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a corpus whose rows are all there and unchanged."""
+    versions = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("written")).collect()  # one row a version
+    for v in versions:
+        schema = T.StructType.fromJson(json.loads(v["schema"]))
+        found = spark.read.schema(schema).parquet(f"{path}/data/{v['version']}")
+        try:
+            if tuple(fingerprint(found).first()) == (v["n_rows"], v["checksum"]):
+                return found
+        except (PySparkException, Py4JError):
+            continue
+    raise ValueError(f"no whole version of a corpus at {path}")
+
+
 def load_corpus(spark: SparkSession, path: str, build: Callable[[], DataFrame] | None = None) -> DataFrame:
-    """The stored corpus; where it is missing or unreadable it is built, saved and read."""
+    """The stored corpus; where it is missing, damaged or unreadable it is built, saved and read."""
     try:
-        return spark.read.parquet(path)
-    except PySparkException:
+        return stored_corpus(spark, path)
+    except (PySparkException, ValueError):
         if build is None:
             raise
     save_corpus(build(), path)
-    return spark.read.parquet(path)
+    return stored_corpus(spark, path)
