@@ -9,7 +9,6 @@ from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dqengine.functions.names import style_name
 from dqengine.operators import aggregate as ag
@@ -21,6 +20,7 @@ ALL = "all_columns"
 
 
 class Operation(str, Enum):
+    # Operation names of a plan's JSON.
     STANDARDIZE_COLUMN_NAME = "standardize_column_name"
     HANDLE_NULLS = "handle_nulls"
     CONVERT_CASE = "convert_case"
@@ -156,7 +156,7 @@ def _apply_step(df: DataFrame, step: Step, names: Names) -> DataFrame:
         if key in p:
             p[key] = [names(c) for c in p[key]]
     if op is Operation.STANDARDIZE_COLUMN_NAME:
-        chosen = "all" if column in (None, ALL) else [column]
+        chosen = [c for c in df.columns if c != MARKS] if column in (None, ALL) else [column]
         out = cols.standardize_names(df, chosen, **p)
         names.follow(df.columns, out.columns)
         return out
@@ -244,50 +244,79 @@ def _apply_group(df: DataFrame, group: Sequence[Step], names: Names) -> DataFram
     return nulls.fill_statistics(df, strategies, by, group[0].params.get("approx", False))
 
 
+def keeps_rows(step: Step) -> bool:
+    """True for a step after which the same rows are there."""
+    if step.operation_type in NULL_STEPS:
+        return step.params.get("strategy", "fill_zero") != "drop_rows"
+    return step.operation_type not in (Operation.FILTER_ROWS, Operation.AGGREGATE, Operation.REMOVE_DUPLICATES)
+
+
+# Missing marks that travel with the rows of a stage: before its first step and after each.
+MARKS = "__marks"
+
+
+def _marked(df: DataFrame, values: Sequence[Column]) -> DataFrame:
+    """Add marks to those that the rows carry already."""
+    own = F.array(*[v.cast("boolean") for v in values])
+    return df.withColumn(MARKS, F.concat(F.col(MARKS), own) if MARKS in df.columns else own)
+
+
 def apply_logged(df: DataFrame, plan: Plan) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """The same, and the log: rows and missing cells of the step's column before and after each step.
 
-    The log is a DataFrame of one row a step, made by one aggregation over the table between
-    two steps, so it does not depend on retried tasks or on an action on the result.
+    Steps that keep all rows form a stage with the step after which rows change. Within a stage every row carries marks
+    of what was missing before and after each step, so the log takes one aggregation a stage, however many
+    steps it has. The log does not depend on retried tasks or on an action on the result.
     """
     names = Names(df.columns)
     steps = plan.transformation_steps
-    between: list[tuple[DataFrame, list[str]]] = [(df, [])]
-    for step in steps:
-        between[-1][1].append(names(step.column_name or ALL))
-        df = _apply_step(df, step, names)
-        between.append((df, [names(step.column_name or ALL)]))
+    stages: list[DataFrame] = []
+    # where the numbers of each step are: (stage, mark) before and after it
+    places: list[tuple[tuple[int, int], tuple[int, int]]] = []
+    logged, count = df, 0
 
-    def log() -> DataFrame:
-        counts = None
-        for i, (table, columns) in enumerate(between):
-            # the column of the step before, and that of the step after, wherever there is one
-            own = [columns[0] if i else None, columns[-1] if i < len(steps) else None]
-            one = table.agg(F.lit(i).alias("at"), F.count(F.lit(1)).alias("rows"), *[_missing(table, c).alias(n) for c, n in zip(own, ("gone", "there"))])
-            counts = one if counts is None else counts.unionByName(one)
-        labels = F.array(
-            *[
-                F.struct(F.lit(s.operation_type.value).alias("operation"), F.lit(s.column_name).cast("string").alias("column"))
-                for s in steps
-            ]
-        )
-        order = Window.orderBy("at")  # one row a step
-        ahead = {c: F.lead(c).over(order) for c in ("rows", "gone")}
-        rows = counts.select("at", "rows", "there", ahead["rows"].alias("rows_after"), ahead["gone"].alias("gone")).filter(F.col("at") < len(steps))
-        return rows.withColumn("s", F.get(labels, F.col("at"))).select(
-            (F.col("at") + 1).alias("step"),
-            "s.operation",
-            "s.column",
-            F.col("rows").alias("rows_before"),
-            "rows_after",
-            (F.col("rows") - F.col("rows_after")).alias("rows_removed"),
-            (F.col("there") - F.col("gone")).alias("cells_filled"),
-        )
+    def mark(column: str) -> tuple[int, int]:
+        nonlocal logged, count
+        missing = st.present(logged, column).isNull() if column in logged.columns else F.lit(False)
+        logged, count = _marked(logged, [missing]), count + 1
+        return len(stages), count - 1
 
-    return df, log
+    for step in steps:
+        before = mark(names(step.column_name or ALL))
+        if not keeps_rows(step):
+            # the next stage reads the plain rows: marks must not keep duplicates apart
+            stages.append(logged)
+            logged, count = _apply_step(logged.drop(MARKS), step, names), 0
+        else:
+            logged = _apply_step(logged, step, names)
+        places.append((before, mark(names(step.column_name or ALL))))
+    stages.append(logged)
 
+    def log() -> DataFrame:
+        if not steps:
+            schema = "step int, operation string, column string, rows_before long, rows_after long, rows_removed long, cells_filled long"
+            return df.sparkSession.createDataFrame([], schema)
+        sizes = [max([0, *(m + 1 for pair in places for at, m in pair if at == i)]) for i in range(len(stages))]
+        one = df.sparkSession.range(1)
+        for i, (table, size) in enumerate(zip(stages, sizes)):
+            counts = [F.count_if(F.col(MARKS)[j]).alias(f"m{j}") for j in range(size)]
+            one = st.attach(one, table.agg(F.count(F.lit(1)).alias("rows"), *counts), f"s{i}")
+
+        def number(place: tuple[int, int], field: str | None = None) -> Column:
+            return F.col(f"s{place[0]}")[field or f"m{place[1]}"]
+
+        rows = [
+            F.struct(
+                F.lit(i + 1).alias("step"),
+                F.lit(step.operation_type.value).alias("operation"),
+                F.lit(step.column_name).cast("string").alias("column"),
+                number(before, "rows").alias("rows_before"),
+                number(after, "rows").alias("rows_after"),
+                (number(before, "rows") - number(after, "rows")).alias("rows_removed"),
+                (number(before) - number(after)).alias("cells_filled"),
+            )
+            for i, (step, (before, after)) in enumerate(zip(steps, places))
+        ]
+        return one.select(F.inline(F.array(*rows)))
 
-def _missing(df: DataFrame, column: str | None) -> Column:
-    if column is None or column not in df.columns:
-        return F.lit(0).cast("bigint")
-    return F.coalesce(F.count_if(st.present(df, column).isNull()), F.lit(0))
+    return logged.drop(MARKS), log

@@ -17,6 +17,7 @@ from dqengine.operators import profile as pf
 from dqengine.operators import stats as st
 from dqengine.plans.plan import ALL, Operation, Plan, Step
 from dqengine.plans.prefs import DateFormat, MissingStrategy, NamingStyle, NumberFormat, Preferences, TextCase
+from dqengine.session import materialize
 
 # Parameters of the rules, and the caps of a plan meant to be read by a person.
 SHORT_PLAN = {1: 10, 2: 8, 3: 3, 4: 3}
@@ -130,16 +131,19 @@ def clean_with_preferences(
     if prefs.date_format is not DateFormat.KEEP_ORIGINAL:
         for c in date_columns:
             df = _date(df, c, prefs)
+    # written once: gaps, fences and fills below all read the cleaned cells, and none cleans them again
+    df = materialize(df)
     df = _gaps(df, prefs, order_by, fill_value)
     numbers = [c for c in df.columns if isinstance(st.type_of(df, c), st.FLOATS)]
     if prefs.handle_outliers and numbers:
         df = numeric.outliers_iqr(df, numbers, action="clip")
     if prefs.decimal_places is not None and numbers:
         df = numeric.round_places(df, numbers, prefs.decimal_places)
+    if prefs.memory_optimization:
+        # chosen before duplicates go: these do not change the range of a column, and rows are compared once
+        df = cols.optimize_types(materialize(df))
     if prefs.remove_duplicates:
         df = dedup.remove_duplicates(df)
-    if prefs.memory_optimization:
-        df = cols.optimize_types(df)
     if prefs.column_naming_style is not NamingStyle.KEEP_ORIGINAL:
         df = cols.standardize_names(df, "all", prefs.column_naming_style.value)
     # the style already decides about spaces; a hyphen of kebab-case is part of it

@@ -78,6 +78,23 @@ def _(t):
     return readers.read_json(t.spark, path, multiline=False)
 
 
+@query(
+    "read_json_array",
+    "S3",
+    """select o_orderkey, o_custkey, o_orderstatus, o_orderpriority, round(o_totalprice, 2) as o_totalprice,
+         {'key': o_orderkey, 'note': 'a "}" or ]'} as more from orders""",
+)
+def _(t):
+    # files of one array each, with texts that hold brackets
+    path = scratch_path(t.spark, "arrays")
+    more = F.struct(F.col("o_orderkey").alias("key"), F.lit('a "}" or ]').alias("note")).alias("more")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 2).alias("o_totalprice"), more)
+    files = rows.select(F.floor(F.col("o_orderkey") / 20_000).alias("file"), F.to_json(F.struct("*")).alias("value"))
+    arrays = files.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+    return readers.read_json(t.spark, path)
+
+
 @query(
     "read_source",
     "S4",
@@ -858,6 +875,17 @@ def _(t):
     return dates.to_datetime(t.dirty_orders, "data_txt").select("id", F.col("data_txt").alias("day"))
 
 
+@query(
+    "to_datetime_spelled",
+    "D1",
+    "select o_orderkey, o_orderdate::timestamp as named, o_orderdate::timestamp as short from orders",
+)
+def _(t):
+    # month names and years of two digits
+    df = t.orders.select("o_orderkey", F.date_format("o_orderdate", "d MMM yyyy").alias("named"), F.date_format("o_orderdate", "dd/MM/yy").alias("short"))
+    return dates.to_datetime(dates.to_datetime(df, "named"), "short")
+
+
 @query("to_datetime_br", "D2", "select id, try_strptime(data_txt, '%d/%m/%Y') as day from dirty_orders")
 def _(t):
     return dates.to_datetime(t.dirty_orders, "data_txt", "br_format").select("id", F.col("data_txt").alias("day"))

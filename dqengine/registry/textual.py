@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dqengine.functions import text as tx
 from dqengine.operators import aggregate as ag
-from dqengine.operators import dedup, texts
+from dqengine.operators import dedup, similar, texts
 from dqengine.operators import textjobs as tj
 from dqengine.registry.base import query
 
@@ -231,6 +231,26 @@ def _(t):
     return dedup.fuzzy_duplicates(df, "c_custkey", "name", 2, ["c_mktsegment", "c_nationkey"], normalize=False)
 
 
+@query(
+    "near_documents",
+    "U6 K17",
+    """with recursive split as (
+         select doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\f\\r\\x0B]+'), lambda x: x <> '') as w from documents),
+       nodes as (select row_number() over (order by w) as node, w from (select distinct w from split where len(w) > 0)),
+       runs as (select distinct node, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as run from nodes),
+       sizes as (select node, count(*) as n from runs group by node),
+       common as (select a.node as a, b.node as b, count(*) as c from runs a join runs b on a.run = b.run and a.node <> b.node group by a.node, b.node),
+       near as (select a, b from common join sizes x on x.node = a join sizes y on y.node = b where c::double / (x.n + y.n - c) >= 0.8),
+       walk(node, reach) as (select node, node from nodes union select w.node, e.b from walk w join near e on w.reach = e.a),
+       classes as (select node, min(reach) as class from walk group by node),
+       placed as (select s.doc_id, c.class from split s left join nodes n on s.w = n.w left join classes c on n.node = c.node)
+       select doc_id as id, coalesce(min(doc_id) over (partition by class, class is null and doc_id is not null, case when class is null then doc_id end), doc_id) as class_id,
+         count(*) over (partition by class, case when class is null then doc_id end) as class_size from placed""",
+)
+def _(t):
+    return similar.near_documents(t.documents, "doc_id", "text")
+
+
 @query(
     "consolidate",
     "U7",
@@ -380,6 +400,18 @@ def _(t):
     return tj.extract_json(df, "text", "k int").select("event_id", F.col("parsed.k").alias("k"), "json_method")
 
 
+@query(
+    "extract_json_prose",
+    "T3",
+    "select event_id, (props->>'k')::int as k, 'balanced' as json_method from events",
+)
+def _(t):
+    # braces that are no object stand before and after the one that is
+    text = F.expr("concat('note {', event_id, '} says \"it: ', props, ' and {more} \" end')")
+    df = t.events.select("event_id", text.alias("text"))
+    return tj.extract_json(df, "text", "k int").select("event_id", F.col("parsed.k").alias("k"), "json_method")
+
+
 @query(
     "truncate_paragraphs",
     "T4",

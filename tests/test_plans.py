@@ -114,6 +114,31 @@ def test_log_with_statistics(spark):
     assert [(r["rows_removed"], r["cells_filled"]) for r in log().orderBy("step").collect()] == [(1, 0), (0, 1)]
 
 
+def test_log_takes_one_scan_a_stage(spark):
+    df = spark.createDataFrame([(1, "a ", None), (2, None, 4.0), (2, None, 4.0), (3, "B", float("nan"))], "id long, `My Text` string, v double")
+    plan = pl.Plan(
+        (
+            pl.Step("standardize_column_name", pl.ALL),
+            pl.Step("fill_nulls", "My Text", {"strategy": "fill_custom", "value": "N/A"}),
+            pl.Step("convert_case", "My Text", {"case": "upper"}),
+            pl.Step("derive_column", "w", {"expression": "v + 1"}),
+            pl.Step("remove_duplicates", pl.ALL),
+            pl.Step("handle_nulls", "v", {"strategy": "fill_mean"}),
+            pl.Step("rename_column", "v", {"new_name": "value"}),
+            pl.Step("handle_nulls", "w", {"strategy": "drop_rows"}),
+            pl.Step("fill_nulls", "v", {"strategy": "fill_zero"}),
+        )
+    )
+    out, log = pl.apply_logged(df, plan)
+    assert sorted(map(tuple, out.collect())) == [(2, "N/A", 4.0, 5.0)] and out.columns == ["id", "my_text", "value", "w"]
+    got = [(r["step"], r["rows_before"], r["rows_after"], r["cells_filled"]) for r in log().orderBy("step").collect()]
+    assert got == [(1, 4, 4, 0), (2, 4, 4, 2), (3, 4, 4, 0), (4, 4, 4, -2), (5, 4, 3, 0), (6, 3, 3, 2), (7, 3, 3, 0), (8, 3, 1, 2), (9, 1, 1, 0)]
+    # three stages and the mean that stands in two of them, for nine steps
+    scans = log()._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + log()._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation")
+    assert scans <= 6
+    assert pl.apply_logged(df, pl.Plan(()))[1]().count() == 0
+
+
 # ------------------------------------------------------------ suggestions
 
 
@@ -220,6 +245,36 @@ def test_corpus_is_built_once(spark, tmp_path):
     assert built == [1]
 
 
+def test_damaged_corpus_is_built_again(spark, tmp_path):
+    path, built = tmp_path / "corpus", []
+
+    def build():
+        built.append(1)
+        return spark.range(1000).selectExpr("id as chunk_id", "repeat(id, 9) as content", "array(id / 7.0D) as vector").repartition(3)
+
+    readers.load_corpus(spark, str(path), build)
+    part = sorted(path.glob("data/*/part-*.parquet"))[0]
+    whole = part.read_bytes()
+    for damaged in (whole[: len(whole) // 2], None):
+        # cut short, and gone with its checksum file
+        if damaged is None:
+            sorted(path.glob("data/*/part-*.parquet"))[0].unlink()
+        else:
+            part.write_bytes(damaged)
+        for crc in path.glob("data/*/.*.crc"):
+            crc.unlink()
+        assert readers.load_corpus(spark, str(path), build).count() == 1000
+    assert 2 <= len(built) <= 3
+
+    def fails():
+        raise OSError("no more")
+
+    # a rebuild that breaks off leaves what there was
+    with pytest.raises(Exception):
+        sinks.save_corpus(spark.range(10).selectExpr("id", "raise_error('stop') as x"), str(path))
+    assert readers.load_corpus(spark, str(path), fails).count() == 1000
+
+
 def test_parquet_partitions(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, k string")
     sinks.write_parquet(df, str(tmp_path / "deep" / "t"), partition_by=["k"])

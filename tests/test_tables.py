@@ -7,11 +7,12 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from dqengine.operators import aggregate as ag
 from dqengine.operators import audit as au
 from dqengine.operators import columns as cols
-from dqengine.operators import dates, dedup, nulls, numeric
+from dqengine.operators import clusters, dates, dedup, inverted, nulls, numeric, similar
 from dqengine.operators import profile as pf
 from dqengine.operators import retrieval as rt
 from dqengine.operators import stats as st
@@ -114,8 +115,27 @@ def test_ordered_fill_matches_pandas(table, skewed, by, strategy, limit):
 def test_ordered_fill_needs_an_order(table):
     with pytest.raises(ValueError):
         nulls.handle_nulls(table, "v", "fill_forward")
-    with pytest.raises(ValueError):
-        nulls.handle_nulls(table, "v", "fill_forward", order_by=["g"])
+
+
+@pytest.mark.parametrize("strategy", ["fill_forward", "fill_backward"])
+@pytest.mark.parametrize("limit", [None, 2])
+def test_ordered_fill_with_one_day_for_all_rows(spark, strategy, limit):
+    """Ties are settled by the next order column, and then by the place in the input; no task gets them all."""
+    rng = random.Random(2)
+    rows = [("2024-01-01", f"k{i % 7:03d}" if i % 5 else None, i, None if rng.random() < 0.6 else float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "day string, k string, i long, v double").repartition(6, "i")
+    frame = pd.DataFrame(rows, columns=["day", "k", "i", "v"]).sort_values(["day", "k", "i"], na_position="first")
+    want = frame["v"].ffill(limit=limit) if strategy == "fill_forward" else frame["v"].bfill(limit=limit)
+    out = nulls.handle_nulls(df, "v", strategy, order_by=["day", "k", "i"], limit=limit)
+    got = {r["i"]: r["v"] for r in out.collect()}
+    assert all(got[i] == v or (got[i] is None and v != v) for i, v in zip(frame["i"], want))
+    # the day alone: the order of the input decides
+    plain = spark.createDataFrame(rows, "day string, k string, i long, v double")
+    out = nulls.handle_nulls(plain, "v", strategy, order_by=["day"], limit=limit)
+    series = pd.Series([r[3] for r in rows])
+    want = series.ffill(limit=limit) if strategy == "fill_forward" else series.bfill(limit=limit)
+    got = {r["i"]: r["v"] for r in out.collect()}
+    assert all(got[i] == v or (got[i] is None and v != v) for i, v in enumerate(want))
 
 
 def test_normalize_nan_and_flat(spark):
@@ -389,6 +409,26 @@ def test_extract_json(spark):
     assert got == [("whole", 1), ("fenced", 2), ("braces", 3), (None, None), (None, None), (None, None)]
 
 
+def test_extract_json_from_prose(spark):
+    deep = '{"k": 5, "s": {"x": "}{"}, "a": [{"k": 6}]}'
+    cases = {
+        'note {x} then {"k": 1} end': ("balanced", 1),
+        'he said "no { then ' + deep + " and { more": ("balanced", 5),
+        'a " {b} " {"k": 4} c {bad} "': ("balanced", 4),
+        "{not} {any} {of: these}": (None, None),
+        'open { and {"k": 7}': ("balanced", 7),
+        # the parser stops at the end of the first object
+        'text {"k": 8, "t": "a \\" } b"} and } {': ("braces", 8),
+        '{"k": 2} and {"k": 3}': ("whole", 2),
+        "} {x} {": (None, None),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: (r["json_method"], r["parsed"] and r["parsed"]["k"]) for r in tj.extract_json(df, "t", "k int").collect()}
+    assert got == cases
+    many = "{x} " * 2000 + '{"k": 9}'
+    assert tj.extract_json(spark.createDataFrame([(many,)], "t string"), "t", "k int").first()["parsed"]["k"] == 9
+
+
 def test_lines(spark):
     text = '"quoted line here"\n# comment\n// other\n- listed item\n1. numbered item\nx\n\n' + "y" * 100
     df = spark.createDataFrame([(1, text)], "id int, t string")
@@ -458,6 +498,110 @@ def test_queries_beyond_one_block_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(rt, "QUERY_BLOCK_CELLS", 40)
     monkeypatch.setattr(rt, "SLICE_ROWS", 7)
     monkeypatch.setattr(rt, "WORDS_SENT", 0)
-    assert rows() == whole
-    plan = rt.keyword_search(queries, chunks, 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FlatMapCoGroupsInArrow") == 1  # one job over the chunks, however many blocks
+    for common in (0, 12, 1000):  # every word, some, and none scored inside the task
+        monkeypatch.setattr(inverted, "COMMON_CHUNKS", common)
+        assert rows() == whole
+    for name, value in (("CLUSTER_ROWS", 4), ("PART_ROWS", 3), ("BATCH_ROWS", 2), ("EARLY_ROWS", 6)):
+        monkeypatch.setattr(clusters, name, value)
+    assert rows()[0] == whole[0]
+
+
+def test_chunks_are_not_copied_per_block(spark, monkeypatch):
+    """A chunk's words leave it once, however many blocks the queries would have made."""
+    chunks = spark.createDataFrame([(i, f"the w{i} w{i % 50}") for i in range(400)], "chunk_id long, content string")
+    queries = spark.createDataFrame([(i, f"the w{i} w{i + 1}") for i in range(300)], "query_id long, text string")
+    monkeypatch.setattr(rt, "QUERY_BLOCK_CELLS", 300 * 302 // 10)
+    monkeypatch.setattr(inverted, "COMMON_CHUNKS", 100)
+    sizes = []
+    kept = inverted.materialize
+    monkeypatch.setattr(inverted, "materialize", lambda df: sizes.append(0) or [out := kept(df), sizes.append(out.count())][0])
+    got = rt.keyword_search(queries, chunks, 3)
+    assert got.filter("rank = 1 and score > 0.6").count() == 300
+    # postings, pairs that share a rare word, and what else is written
+    assert max(sizes) <= 1500  # ten blocks would have copied 4,000 chunks
+
+
+def test_clusters_skip_what_cannot_win(spark, monkeypatch):
+    for name, value in (("CLUSTER_ROWS", 20), ("PART_ROWS", 16), ("BATCH_ROWS", 8), ("EARLY_ROWS", 40)):
+        monkeypatch.setattr(clusters, name, value)
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(12, 6))
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(np.repeat(middles, 50, 0) + rng.normal(size=(600, 6)) * 0.05)]
+    asked = [(i, rows[i * 20][1]) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    found = rt._ranked(clusters.inner_products(vectors, queries, 6, 5, 0.5), 5).collect()
+    products = np.array([v for _, v in asked]) @ np.array([v for _, v in rows]).T
+    want = {(q, c, r) for q in range(30) for r, c in enumerate(sorted(range(600), key=lambda c: (-round(products[q, c], 9), c))[:5], 1)}
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in found} == want
+    index = clusters.build(vectors, 6)
+    floors = queries.withColumn("floor", F.lit(0.9))
+    seen = [r["cluster"] for late in (False, True) for r in clusters.visits(index, floors, late).collect()]
+    share = sum(index.sizes[c] for c in seen) / (30 * 600)
+    assert share < 0.3  # of all pairs
+
+
+LINES = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def near_by_hand(rows):
+    """Classes of texts linked by a Jaccard similarity of 0.8 of their 5-word runs."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        if i is not None:
+            sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    group = {i: i for i in sets}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(x and y and len(x & y) >= 0.8 * len(x | y) for x in sets[a] for y in sets[b]):
+                low, high = sorted((root(a), root(b)))
+                group[high] = low
+    roots = {i: root(i) for i in sets}
+    return {(i, r, sum(x == r for x in roots.values())) for i, r in roots.items()}
+
+
+@pytest.mark.parametrize("hot", [1000, 6])
+def test_near_documents(spark, monkeypatch, hot):
+    monkeypatch.setattr(similar, "HOT_BAND", hot)
+    rng = random.Random(9)
+    base = [" ".join(rng.choice(LINES) for _ in range(60)) for _ in range(6)]
+    rows = [(i, base[i % 2]) for i in range(30)]  # copies
+    for i in range(30, 120):  # near copies, some close to the limit, in chains
+        words = base[rng.randrange(6)].split()
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(60)] = rng.choice(LINES)
+        rows.append((i, " ".join(words)))
+    rows += [(200, None), (201, "  "), (202, "one two"), (203, "ONE  two"), (None, base[0]), (204, base[0]), (204, "something else entirely here"), (205, "something else entirely here")]
+    df = spark.createDataFrame(rows, "id long, body string").repartition(4)
+    got = [tuple(r) for r in similar.near_documents(df, "id", "body").collect()]
+    assert len(got) == len(set(got)) and set(got) == near_by_hand(rows)
+    assert similar.near_documents(df.limit(0), "id", "body").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_fuzzy_finds_long_pairs(spark, limit):
+    rng = random.Random(limit)
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (58, 62, 64, 65, 90, 300)]
+    for t in list(texts):
+        for _ in range(12):
+            s = list(t)
+            for _ in range(rng.randrange(1, 5)):
+                at = rng.randrange(len(s))
+                s[at : at + rng.randrange(0, 2)] = rng.choice(["", "x", "y"])
+            texts.append("".join(s))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {tuple(r) for r in dedup.fuzzy_duplicates(df, "id", "t", limit, normalize=False).collect()}
+    heads = {}
+    for i, t in enumerate(texts):
+        heads.setdefault(t, i)
+    want = {(heads[t], i, 0) for i, t in enumerate(texts) if heads[t] != i}
+    pairs = sorted(heads.items(), key=lambda x: x[1])
+    want |= {(i, j, distance(a, b)) for n, (a, i) in enumerate(pairs) for b, j in pairs[n + 1 :] if abs(len(a) - len(b)) <= limit and distance(a, b) <= limit}
+    assert got == want

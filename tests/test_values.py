@@ -121,3 +121,14 @@ def test_unicode_blanks_accents_and_marks(spark):
     assert apply(spark, ["a\u2003\u00a0b\x1cc"], tx.normalize_whitespace) == ["a b c"]
     assert apply(spark, ["Škoda Łódź Őr Việt", "e\u0301te\u0301", "ßæ日"], tx.remove_accents) == ["Skoda Lodz Or Viet", "ete", "ßæ日"]
     assert apply(spark, ["a\x01 b", "o'neil\x01 x1ß"], tx.title_case) == ["A\x01 B", "O'Neil\x01 X1Ss"]
+
+
+def test_dates_spelled_or_short(spark):
+    day = datetime.datetime(2024, 1, 31)
+    texts = ["31/01/24", "31-1-24", "31.01.24 00:00", "31 Jan 2024", "31 january 2024", "31-Jan-24", "31st of January, 2024", "Jan 31, 2024"]
+    texts += ["January 31st, 2024", "JAN. 31 2024", "31Jan2024", "31/Jan/2024 00:00:00", "31 Jan 2024 01:30:00+01:30"]
+    assert apply(spark, texts, dt.parse_date) == [day] * len(texts)
+    others = {"31/01/69": datetime.datetime(1969, 1, 31), "01/02/68": datetime.datetime(2068, 2, 1), "4 Sept 99 05:06": datetime.datetime(1999, 9, 4, 5, 6)}
+    others |= dict.fromkeys(["31 Feb 2024", "31 Xyz 2024", "32/01/24", "Jan 2024", "31 Jan 202", "marching 3 2024"])
+    assert apply(spark, list(others), dt.parse_date) == list(others.values())
+    assert apply(spark, ["31/01/24"], lambda c: dt.parse_date(c, "br_format")) == [None]
