@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +37,11 @@ CENTURY_TURN = 69
 STYLES = {"iso": "yyyy-MM-dd", "us": "MM/dd/yyyy", "br": "dd/MM/yyyy"}
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once. For rare branches: they stay out of the generated code."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _made(c: Column, order: str) -> Column:
     """The timestamp of the numbers in the text; no such day gives NULL, without an exception per row."""
     parts = F.split(c, "[-/. T:]")
@@ -52,7 +57,7 @@ def _made(c: Column, order: str) -> Column:
 
 def _zoned(c: Column) -> Column:
     """A time with a zone, brought to UTC; the text without it must fit one of the shapes."""
-    made = _plain(F.regexp_replace(c, ZONE, "$1"))
+    made = _let(F.regexp_replace(c, ZONE, "$1"), _plain)
     hours, minutes = (F.coalesce(F.regexp_extract(c, ZONE, i).try_cast("int"), F.lit(0)) for i in (2, 3))
     sign = F.when(F.regexp_extract(c, ZONE, 2).startswith("-"), -1).otherwise(1)
     return made - F.make_dt_interval(F.lit(0), hours, sign * minutes)
@@ -86,10 +91,15 @@ def _shaped(c: Column, shapes: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
-def _plain(c: Column) -> Column:
-    """A day, with or without a clock, in any way that ``auto`` reads."""
+def _rare(c: Column) -> Column:
+    """A day in one of the ways that ``AUTO`` does not list."""
     compact = F.when(c.rlike(COMPACT), _made(F.regexp_replace(c, COMPACT, "$1-$2-$3"), "ymd"))
-    return compact.when(c.rlike(MAYBE_SPELLED), _shaped(_spelled(c), AUTO[:1])).otherwise(_shaped(c, AUTO))
+    return compact.when(c.rlike(MAYBE_SPELLED), _let(_spelled(c), lambda x: _shaped(x, AUTO[:1])))
+
+
+def _plain(c: Column) -> Column:
+    """A day, with or without a clock, in any way that ``auto`` reads but a zone."""
+    return F.coalesce(_shaped(c, AUTO), _let(c, _rare))
 
 
 def parse_date(c: Column, format: str = "auto") -> Column:
@@ -103,7 +113,7 @@ def parse_date(c: Column, format: str = "auto") -> Column:
     c = trim_text(c)
     if format != "auto":
         return _shaped(c, (FORMATS[format],))
-    return F.when(c.rlike(ZONE), _zoned(c)).otherwise(_plain(c))
+    return F.coalesce(_shaped(c, AUTO), _let(c, lambda x: F.when(x.rlike(ZONE), _zoned(x)).otherwise(_rare(x))))
 
 
 def format_date(c: Column, style: str = "iso") -> Column:
