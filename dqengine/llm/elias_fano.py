@@ -79,6 +79,48 @@ class EliasFano:
         low = int.from_bytes(self.low[first // 8 : -(-last // 8)].tobytes(), "little") >> (first % 8)
         return self.least + (((self.select(i) - i) << self.low_bits) | (low & ((1 << self.low_bits) - 1)))
 
+    def at(self, indices: np.ndarray) -> np.ndarray:
+        """The entries at ``indices``, each by select: from its sample over the population counts to its bit."""
+        i = np.asarray(indices, np.int64)
+        if not len(i):
+            return np.zeros(0, np.int64)
+        if i.min() < 0 or i.max() >= self.n:
+            raise IndexError(f"{i.min()} to {i.max()} of {self.n}")
+        high = self.high.astype(np.uint64)
+        start = self.samples[i // SAMPLE].astype(np.int64)
+        word, left = start // 64, i % SAMPLE
+        # bits of the first word that stand before the sample do not count
+        left = left + np.bitwise_count(high[word] & ((np.uint64(1) << (start % 64).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        while len(far := np.flatnonzero((ones := np.bitwise_count(high[word]).astype(np.int64)) <= left)):
+            left[far] -= ones[far]
+            word[far] += 1
+        bits, place = high[word], np.zeros(len(i), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):  # within the word by halves
+            low = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= low
+            left -= np.where(up, low, 0)
+            place += np.where(up, half, 0)
+            bits = np.where(up, bits >> np.uint64(half), bits)
+        rest = (word * 64 + place - i).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            packed = np.concatenate([self.low, np.zeros(8, np.uint8)])
+            first = i * self.low_bits
+            for k in range(self.low_bits):
+                bit = first + k
+                rest |= ((packed[bit // 8] >> (bit % 8).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(k)
+        return (rest + np.uint64(self.least % (1 << 64))).astype(np.int64)
+
+    def find(self, value: int) -> int:
+        """The first entry that is not below ``value``, by halving over selected entries."""
+        low, high = 0, self.n
+        while low < high:
+            middle = (low + high) // 2
+            if self[middle] < value:
+                low = middle + 1
+            else:
+                high = middle
+        return low
+
     def __len__(self) -> int:
         return self.n
 

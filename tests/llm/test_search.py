@@ -1,5 +1,6 @@
 """Operators 3, 5 and 6 against brute force and exact round trips."""
 
+import json
 import re
 import zlib
 
@@ -31,6 +32,9 @@ def test_elias_fano_round_trip(values):
         return
     assert code.decode().tolist() == values
     assert [code[i] for i in range(len(values))] == values
+    assert code.at(np.arange(len(values))).tolist() == values and code.at(np.arange(len(values))[::-3]).tolist() == values[::-3]
+    for v in {*values[:5], *values[-5:], 17}:
+        assert code.find(v) == sum(x < v for x in values)
 
 
 def test_elias_fano_is_small():
@@ -75,6 +79,31 @@ def test_token_files_edges(spark, tmp_path):
     assert token_files.encode_documents(table(spark, []), TOKENIZER).count() == 0
 
 
+def test_reading_single_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_IDS", 300)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()] + EDGES
+    path = str(tmp_path / "files")
+    token_files.write_token_files(table(spark, rows), path, TOKENIZER)
+    encode = token_files._tokenizer(TOKENIZER).encode
+    wanted = [9, 150, -10, 77, 123456]
+    got = sorted((r["doc_id"], list(r["ids"])) for r in token_files.read_documents(spark, path, wanted).collect())
+    assert got == sorted((i, encode(t or "", add_special_tokens=False).ids + [0]) for i, t in rows if i in wanted)
+
+
+def test_tokenizer_of_another_kind_is_not_cut(tmp_path):
+    path = str(tmp_path / "other.json")
+    with open(TOKENIZER, encoding="utf-8") as f:
+        made = json.load(f)
+    made["normalizer"] = {"type": "Lowercase"}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    encoder = token_files.Encoder(path)
+    texts = ["Two Words, and more. Yes", None, "A"]
+    assert not encoder.cuts and token_files.Encoder(TOKENIZER).cuts
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(pa.array(texts, pa.string()))]
+    assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def python_print(t):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOWER))
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -227,6 +256,14 @@ def test_proximity_and_spans(spark):
     assert {r["n_hit"] for r in decontaminate.find_items(docs, asked.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("slack", [1, 3])
+def test_proximity_stays_in_one_document(spark, slack):
+    asked = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    rows = [(1, "x alpha beta gamma"), (2, "delta epsilon y"), (3, ""), (4, "alpha"), (5, "beta gamma delta epsilon"), (6, "beta alpha gamma q delta epsilon")]
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.find_items(table(spark, rows).coalesce(1), asked, slack=slack).collect()}
+    assert {i for i, n in got.items() if n} == {6}
+
+
 def test_word_hashes_do_not_depend_on_place():
     texts = ["ab cd  ab", None, "", "x" * 5000 + " ab", "cdab ab\tcd"]
     data, offsets = text.string_bytes(pa.array(texts))
