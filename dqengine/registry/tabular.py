@@ -109,8 +109,13 @@ def _(t):
 @query(
     "load_report",
     "S5",
-    """select 'default' as method_used, 'mixed types: data_txt' as warnings from dirty_orders
-       having count(*) filter (data_txt = 'invalid') > 0""",
+    """with cells as (select unnest([{'c': 'data_txt', 'v': data_txt}, {'c': 'valor_txt', 'v': valor_txt}], recursive := true) from dirty_orders),
+       kinds as (
+         select distinct c, case when regexp_matches(v, '^[+-]?[0-9]+$') then 'int' when regexp_matches(v, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$') then 'double'
+           when regexp_matches(v, '^([0-9]{4}-[0-9]{2}-[0-9]{2}([ T].*)?|[0-9]{2}/[0-9]{2}/[0-9]{4})$') then 'date'
+           when lower(v) in ('true', 'false') then 'bool' else 'string' end as kind from cells where v not in ('', 'NULL', 'null', 'NaN', 'nan', 'N/A', '#N/A')),
+       mixed as (select c from kinds group by c having count(*) > 1)
+       select 'default' as method_used, coalesce('mixed types: ' || string_agg(c, ', ' order by c), '') as warnings from mixed""",
 )
 def _(t):
     loaded = readers.load_csv(t.spark, _written_csv(t, t.dirty_orders.select("id", "data_txt", "valor_txt")))
@@ -750,7 +755,12 @@ def _(t):
 @query(
     "detect_decimal",
     "M5",
-    """select 0::bigint as n_dot, count(valor_txt) as n_comma, 'comma' as decimal from dirty_orders""",
+    """with c as (
+         select regexp_replace(valor_txt, '[^0-9.,+-]', '', 'g') as v from dirty_orders),
+       n as (
+         select count(*) filter (regexp_matches(v, '^[+-]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)?[.][0-9]+$')) as n_dot,
+           count(*) filter (regexp_matches(v, '^[+-]?([0-9]{1,3}([.][0-9]{3})+|[0-9]+)?,[0-9]+$')) as n_comma from c)
+       select *, case when n_comma > n_dot then 'comma' else 'dot' end as decimal from n""",
 )
 def _(t):
     return numeric.detect_decimal(t.dirty_orders, "valor_txt")
@@ -909,10 +919,13 @@ def _(t):
 @query(
     "detect_date_format",
     "D5",
-    """select count(try_strptime(data_txt, '%d/%m/%Y')) as n_br, count(try_strptime(data_txt, '%Y-%m-%d')) as n_iso,
-         count(try_strptime(data_txt, '%m/%d/%Y')) as n_us,
-         count(case when try_strptime(data_txt, '%d/%m/%Y') is not null then try_strptime(data_txt, '%m/%d/%Y') end) as n_ambiguous,
-         count(data_txt) as n_values, 'br_format' as format from dirty_orders""",
+    """with c as (
+         select count(try_strptime(data_txt, '%d/%m/%Y')) as n_br, count(try_strptime(data_txt, '%Y-%m-%d')) as n_iso,
+           count(try_strptime(data_txt, '%m/%d/%Y')) as n_us,
+           count(case when try_strptime(data_txt, '%d/%m/%Y') is not null then try_strptime(data_txt, '%m/%d/%Y') end) as n_ambiguous,
+           count(data_txt) as n_values from dirty_orders)
+       select *, case when greatest(n_br, n_iso, n_us) = 0 then 'none' when n_br >= greatest(n_iso, n_us) then 'br_format'
+         when n_iso >= n_us then 'iso_format' else 'us_format' end as format from c""",
 )
 def _(t):
     return dates.detect_date_format(t.dirty_orders, "data_txt")
