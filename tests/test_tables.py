@@ -605,3 +605,32 @@ def test_fuzzy_finds_long_pairs(spark, limit):
     pairs = sorted(heads.items(), key=lambda x: x[1])
     want |= {(i, j, distance(a, b)) for n, (a, i) in enumerate(pairs) for b, j in pairs[n + 1 :] if abs(len(a) - len(b)) <= limit and distance(a, b) <= limit}
     assert got == want
+
+
+def test_top_values_of_long_arrays(spark):
+    """Two arrays that begin alike are two values, and are shown whole."""
+    low, high = list(range(100)), [*range(99), -1]
+    rows = [(low, "t")] * 3 + [(high, "t")] * 2 + [(None, "u" * 80)]
+    for columns in (["a"], ["a", "s"]):
+        df = spark.createDataFrame(rows, "a array<int>, s string").select(*columns)
+        tops = [(r["value"], r["count"]) for r in pf.top_values(df).filter("column = 'a'").orderBy("rank").collect()]
+        shown = ["[" + ", ".join(map(str, x)) + "]" for x in (low, high)]
+        assert tops == [(shown[0], 3), (shown[1], 2), ("nan", 1)]
+
+
+def test_approximate_tops_are_exact_for_frequent_values(spark):
+    rows = [(f"v{i % 5}" if i % 3 else f"rare {i}", "long " * 30 + str(i % 4), float(i % 7), None if i % 10 == 0 else i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "s string, t string, d double, n long")
+    both = [{r["name"]: (r["top_values"], r["is_nullable"]) for r in pf.profile(df, k=4, approx=a).collect()} for a in (False, True)]
+    assert both[0] == both[1] and len(both[0]["s"][0]) == 4
+    plan = pf.sketched_keys(df, 4, ["s"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_mixed_types_with_long_texts(spark):
+    rows = [("1", "x"), ("2.5", "y"), ("z" * 100 + "b", "z"), ("z" * 100 + "a", "w"), ("z" * 100 + "a", None)]
+    df = spark.createDataFrame(rows, "m string, plain string")
+    got = [tuple(r) for r in pf.mixed_types(df).collect()]
+    assert got == [("m", "double,int,string", "|".join(["1", "2.5", "z" * 100 + "a"]))]
+    assert pf.mixed_types(df.select("plain")).count() == 0
+    assert pf.mixed_types(spark.range(3)).count() == 0
