@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import discard, stored
 from .text import BLANKS, LOWER, look_up, mix, pieces, signed, string_bytes, word_hashes, words
 
 DEPTH = 4  # words of the longest context
@@ -27,6 +27,7 @@ LEAST = 2  # times a run of words must occur to be a context or a prediction
 DISCOUNT = 0.5
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the beginning and the end of a text among the word hashes
 MARK_BITS, SLICES = 26, 256  # places of the largest set of marks, and the rows it is gathered in
+SLICE_RUNS = 1 << 21  # tokens for each slice of the runs that are sought for repeats
 # One row a piece of a partition (about four megabytes of whole texts): its distinct words once,
 # its texts as places in that list.
 PACKED = "piece long, doc_id array<long>, held_out array<boolean>, first array<int>, words binary, n binary, at binary"
@@ -152,19 +153,64 @@ def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (marks[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 0x80 > 0
 
 
-def _count(length: int, known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, head, tail, n) of the runs of ``length`` in each piece's training texts, where both shorter parts are marked."""
+def _runs(batch: pa.RecordBatch, row: int, length: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``length`` in a piece, of those one symbol shorter, and where the former end: in training
+    texts, where both shorter parts are marked."""
+    symbols, before, text, _ = _stream(batch, row)
+    held = _flat(batch, row, "held_out").to_numpy(zero_copy_only=False)
+    at = np.flatnonzero((before >= length - 1) & ~held[text])
+    shorter = symbols
+    for _ in range(length - 2):
+        shorter = _longer(shorter, symbols)
+    at = at[_marked(known, shorter[at])]
+    at = at[_marked(known, shorter[at - 1])]
+    return _longer(shorter, symbols), shorter, at
+
+
+def _sketch(length: int, known: np.ndarray, slices: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, keys): the first 40 bits of each run of a piece as gaps, by their own first bits; twice for one that is repeated there."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            run, _, at = _runs(batch, row, length, known)
+            keys, n = np.unique(run[at] >> np.uint64(24), return_counts=True)
+            keys = np.repeat(keys, np.minimum(n, 2))
+            cuts = np.searchsorted(keys, np.arange(1, 1 << slices, dtype=np.uint64) << np.uint64(40 - slices))
+            parts = [(i, x) for i, x in enumerate(np.split(keys, cuts)) if len(x)]
+            gaps = [_shrink(np.diff(x, prepend=np.uint64(0)).astype("<u8")) for _, x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array(gaps, pa.binary())], names=["slice", "keys"])
+
+
+def _repeated(bits: int, slices: int, found: pa.Table) -> pa.Table:
+    """The marks of one slice: runs that stand more than once in it."""
+    keys = np.sort(np.concatenate([np.cumsum(_grow(x, "<u8")) for x in found["keys"]]))
+    twice = keys[1:][keys[1:] == keys[:-1]]
+    marks = np.zeros(1 << bits - slices, bool)
+    number = found["slice"][0].as_py()
+    marks[(twice >> np.uint64(40 - bits)).astype(np.int64) - (number << bits - slices)] = True
+    return pa.table([pa.array([number], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["slice", "marks"])
+
+
+def _twice(texts: DataFrame, length: int, known: np.ndarray, bits: int, tokens: int) -> np.ndarray:
+    """Marks of the runs of ``length`` that occur twice or more, at three bytes a run and piece.
+
+    Most runs occur once; with these marks the others alone are counted and joined. A slice gets about as many
+    runs however large the corpus is. Marks only spare work: a run that shares another's is told apart by its count.
+    """
+    slices = min(max((tokens // SLICE_RUNS).bit_length(), 0), bits - 3)
+    rows = texts.mapInArrow(lambda it: _sketch(length, known, slices, it), "slice int, keys binary")
+    marks = np.zeros((1 << slices, 1 << bits - slices - 3), np.uint8)
+    for r in rows.groupBy("slice").applyInArrow(lambda t: _repeated(bits, slices, t), "slice int, marks binary").toLocalIterator():
+        marks[r["slice"]] = np.frombuffer(r["marks"], np.uint8)
+    return marks.ravel()
+
+
+def _count(length: int, known: np.ndarray, twice: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, head, tail, n) of the runs of ``length`` in each piece that are marked as repeated in the corpus."""
     for batch in batches:
         for row in range(batch.num_rows):
-            symbols, before, text, _ = _stream(batch, row)
-            held = _flat(batch, row, "held_out").to_numpy(zero_copy_only=False)
-            at = np.flatnonzero((before >= length - 1) & ~held[text])
-            shorter = symbols
-            for _ in range(length - 2):
-                shorter = _longer(shorter, symbols)
-            at = at[_marked(known, shorter[at])]
-            at = at[_marked(known, shorter[at - 1])]
-            keys, one, n = np.unique(_longer(shorter, symbols)[at], return_index=True, return_counts=True)
+            run, shorter, at = _runs(batch, row, length, known)
+            at = at[_marked(twice, run[at])]
+            keys, one, n = np.unique(run[at], return_index=True, return_counts=True)
             columns = [signed(keys), signed(shorter[at - 1][one]), signed(shorter[at][one]), n]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "head", "tail", "n"])
 
@@ -242,7 +288,8 @@ def learn(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, l
 
     Runs of words are counted length by length; those that occur ``least`` times (at least twice) are
     tried, whatever the size of the corpus. A run occurs at most as often as both its parts one word shorter, so
-    only runs of marked parts are counted.
+    only runs of marked parts are looked at, and of these only those seen twice are counted. A context of more than
+    ``depth`` words is never tried.
 
     A context stays if its divergence from the context one word shorter, as log likelihood over the whole corpus,
     pays for its predictions at ln(tokens) nats each (minimum description length); its suffixes stay
@@ -269,7 +316,9 @@ def learn(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, l
     texts = packed.select("held_out", "first", "words", "at")
     judged, tried = [], []
     for length in range(2, depth + 2) if ends else ():
-        part = texts.mapInArrow(lambda it, k=length, f=_marks(shorter, bits): _count(k, f, it), "key long, head long, tail long, n long")
+        marked = _marks(shorter, bits)
+        twice = _twice(texts, length, marked, bits, tokens)
+        part = texts.mapInArrow(lambda it, k=length, f=marked, g=twice: _count(k, f, g, it), "key long, head long, tail long, n long")
         merged = part.groupBy("key").agg(F.sum("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
         # written before the joins, so that adaptive execution can split a word that very many runs share
         runs = stored(merged.filter(F.col("n") >= floor), "runs")
@@ -290,6 +339,9 @@ def learn(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, l
         keep = value >= F.col("k") * F.lit(float(np.log(tokens)))
         judged.append(stored(context.select(F.col("head").alias("key"), "left", suffix.alias("suffix"), keep.alias("keep")), "judged"))
         tried.append(run)
+        discard(runs)
+        # shuffle files of finished writes go when the driver collects its garbage, and there is little of it here
+        packed.sparkSession.sparkContext._jvm.System.gc()
         shorter = run.select("key", "n", "p", "tail")
     kept, needed = [], None
     for context in reversed(judged):

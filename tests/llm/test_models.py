@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from samples import EDGES, labels, table
 
+from dqengine.llm.learning import labelled_sample
 from dqengine.llm import langid, quality_crf, queries, suffix_tree, toxicity
 from dqengine.llm.tables import fold
 
@@ -150,6 +151,65 @@ def test_suffix_tree_is_a_distribution(spark):
         assert tree.chances(symbols, place, at, times).sum() == pytest.approx(1)
 
 
+def python_tree_scores(rows, depth):
+    """Contexts kept by the divergence test and the log10 probability of every text, from the definitions."""
+    begin, end = "<b>", "<e>"
+    texts = {i: [begin, *re.findall(r"[^\x20\x09-\x0D]+", t or ""), end] for i, t, _ in rows}
+    learnt = [texts[i] for i, _, held in rows if not held]
+    count = Counter(w for t in learnt for w in t[1:])
+    tokens, types = sum(count.values()), len(count)
+    n1, n2 = (sum(c == k for w, c in count.items() if w != end) for k in (1, 2))
+    discount = (n1 + 1) / (n1 + 2 * n2 + 2)
+    n = {(w,): c for w, c in count.items() if c >= 2 or w == end} | {(begin,): len(learnt)}
+    chance = {r: (c - discount) / tokens for r, c in n.items()}
+    left, share, keep = {}, {}, {}
+    for length in range(2, depth + 2):
+        runs = Counter(tuple(t[k : k + length]) for t in learnt for k in range(len(t) - length + 1))
+        runs = {r: c for r, c in runs.items() if c >= 2}
+        for head in {r[:-1] for r in runs}:
+            own = {r: c for r, c in runs.items() if r[:-1] == head}
+            seen, total = sum(own.values()), n[head]
+            left[head] = min(max(1 - (seen - 0.5 * len(own)) / total, 1e-9), 1.0)
+            value = (total - seen) * math.log(left[head])
+            for r, c in own.items():
+                share[r] = (c - 0.5) / total
+                chance[r] = left[head] * chance[r[1:]] + share[r]
+                value += c * math.log(chance[r] / chance[r[1:]])
+            keep[head] = value >= len(own) * math.log(tokens)
+        n |= runs
+    for head in sorted(left, key=len, reverse=True):  # suffixes stay with what they end
+        if keep[head] and len(head) > 1:
+            keep[head[1:]] = True
+
+    def at(text, k):
+        w = text[k]
+        p = (count[w] - discount) / tokens if count[w] else types * discount / tokens
+        for d in range(1, min(depth, k) + 1):
+            context = tuple(text[k - d : k])
+            if not keep.get(context):
+                break
+            p = left[context] * p + share.get((*context, w), 0.0)
+        return p
+
+    return {i: sum(math.log10(at(t, k)) for k in range(1, len(t))) for i, t in texts.items()}, sum(keep.values())
+
+
+@pytest.mark.parametrize("depth", [2, 4])
+def test_suffix_tree_equals_brute_force(spark, monkeypatch, depth):
+    monkeypatch.setattr(suffix_tree, "SLICE_RUNS", 100)  # many slices
+    rng = np.random.default_rng(8)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(9)) for i in range(5)]
+    rows = []
+    for i in range(90):
+        parts = [rng.choice(phrases) if rng.random() < 0.4 else " ".join(f"w{x}" for x in rng.integers(0, 30, 6)) for _ in range(rng.integers(0, 6))]
+        rows.append((i, " ".join(parts), bool(i % 5 == 0)))
+    want, kept = python_tree_scores(rows, depth)
+    assert kept > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(5)
+    got = suffix_tree.score_texts(docs, F.col("held"), depth=depth).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-9)
+
+
 def test_suffix_tree_edges(spark):
     docs = table(spark, EDGES)
     got = suffix_tree.score_texts(docs, F.col("doc_id") == 4).collect()
@@ -168,3 +228,13 @@ def test_suffix_tree_rare_runs_stay_in_a_large_corpus(spark):
     docs = table(spark, [(i, passage) for i in range(4)] + filler)
     got = suffix_tree.score_texts(docs, F.col("doc_id") == 3).filter("held_out").collect()
     assert len(got) == 1 and got[0]["n_known"] == 13 and got[0]["score"] > got[0]["base_score"] / 2
+
+
+def test_held_out_labels_change_nothing(spark):
+    """Labels of documents outside the training rows, or of none at all, do not change which texts are drawn."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    training = docs.filter("doc_id % 2 = 0")
+    few = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    more = few.unionByName(spark.createDataFrame([(i, 1, 1) for i in range(1, 400, 2)] + [(i, 0, 0) for i in range(1000, 3000)], "doc_id long, quality int, toxic int"))
+    drawn = [sorted(map(tuple, labelled_sample(training, labels, "toxic", 30, "s").collect())) for labels in (few, more)]
+    assert drawn[0] == drawn[1] and 20 < len(drawn[0]) < 100
