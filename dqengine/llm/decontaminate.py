@@ -140,24 +140,25 @@ def _match(slack: int, left: pa.Table, right: pa.Table) -> pa.Table:
         n = counts[rare]
         phrase = np.repeat(ids, n)
         at = places[np.repeat(bounds[rare], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] - shift[phrase, 0]
-        last = at.copy()
+        # places of a row are shifted by one free place for every row before; a phrase stays in the row of its rarest term
+        begins = starts[:-1] + np.arange(len(n_words))
+        home = np.searchsorted(begins, at + shift[phrase, 0], "right") - 1
         for r in range(1, table.shape[1]):
             term = table[phrase, r]
             want = at + shift[phrase, r]
-            if slack:  # proximity: the nearest place of the term within ``slack`` words
-                near = np.searchsorted(keys, term * room + np.clip(want - slack, 0, room - 1))
-                near = np.minimum(near, len(keys) - 1)
-                found = (keys[near] >= term * room) & (keys[near] <= term * room + np.minimum(want + slack, room - 1))
+            if slack:  # proximity: the nearest place of the term within ``slack`` words of the same row
+                low, high = np.maximum(want - slack, begins[home]), np.minimum(want + slack, begins[home] + n_words[home] - 1)
+                near = np.minimum(np.searchsorted(keys, term * room + low), len(keys) - 1)
+                found = (keys[near] >= term * room + low) & (keys[near] <= term * room + high)
             else:
                 near = np.minimum(np.searchsorted(keys, term * room + want), len(keys) - 1)
                 found = (keys[near] == term * room + want) & (want >= 0) & (want < room)
             ok = (term < 0) | found
-            phrase, at = phrase[ok], at[ok]
+            phrase, at, home = phrase[ok], at[ok], home[ok]
         if len(phrase):
             last = at + sizes[phrase] - 1
-            # places of a row are shifted by one free place for every row before
-            doc = np.searchsorted(starts[:-1] + np.arange(len(n_words)), np.maximum(at, 0), "right") - 1
-            floor = starts[doc] + doc
+            doc = home
+            floor = begins[doc]
             at = np.clip(at - floor, 0, None)
             last = np.minimum(last - floor, n_words[doc] - 1)
             edge = np.zeros(int(starts[-1]) + 1, np.int64)
@@ -199,7 +200,7 @@ def find_items(
     ``row`` is the hash of the text, ``n_hit`` counts the words inside any occurrence of a
     window of an item, ``items`` lists the items found and ``spans`` where they stand
     (first and last word). ``slack`` 0 finds exact phrases; with a slack every term
-    of a window may stand that many words from its place (proximity).
+    of a window may stand that many words from its place (proximity), within one document.
 
     The index is joined on terms: first the phrases meet the segments that hold
     their rarest term, then each segment intersects its own postings. Null or empty

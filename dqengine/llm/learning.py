@@ -17,10 +17,11 @@ def labelled_sample(
     """About ``per_class`` labelled texts (text, label) of each class, drawn by a hash of the id.
 
     Rows without an id, a text or a label are left out; a label repeated for one id counts once
-    (its least value).
+    (its least value). Labels of other documents than ``docs`` take no part, not even in the sizes of the classes.
     """
+    here = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id")).distinct()
     marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
-    marks = stored(marks, "labels")
+    marks = stored(marks.join(here, "doc_id", "left_semi"), "labels")
     sizes = marks.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     chosen = marks.join(F.broadcast(sizes.filter("label in (0, 1)")), "label").filter(draw * F.col("n") < per_class)

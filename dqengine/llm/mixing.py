@@ -14,9 +14,9 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the document's id and the seed alone."""
-    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed and the document's id, or on its text where it has no id."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.md5(F.encode(text, "utf-8")), F.lit("")))
     return F.conv(F.substring(F.md5(F.encode(key, "utf-8")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -66,8 +66,8 @@ def mix(
     A source's rate is its target over its size; each document is taken floor(rate)
     times and once more when its seeded draw falls below the fraction. Null source is
     a source of its own; null or blank text has size 0; a source of size 0 has rate 0
-    (none of its documents is taken); rows that share an id share their draw; an
-    empty table stays empty. Other columns pass through untouched.
+    (none of its documents is taken); rows that share an id share their draw, rows without one
+    draw by their text; an empty table stays empty. Other columns pass through untouched.
     """
     sized = docs.withColumn("__size", words_in(F.col(text)))
     sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("__size").alias("source_size"))
@@ -76,7 +76,7 @@ def mix(
     )
     joined = sized.join(targets, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    extra = (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("int")
+    extra = (draw(F.col(doc_id), F.col(text), seed) < rate - F.floor(rate)).cast("int")
     return joined.withColumn("__copies", (F.floor(rate) + extra).cast("int"))
 
 

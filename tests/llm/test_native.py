@@ -111,6 +111,16 @@ def test_mixing_edges(spark):
     assert mixing.mix(table(spark, [(1, None), (2, "")])).agg(F.sum("__copies")).first()[0] == 0
 
 
+def test_rows_without_id_meet_their_targets(spark):
+    """A third of a source has no id: its documents draw apart from each other."""
+    rows = [(None if i % 3 == 0 else i, f"text {i} of ten words or so, no more than that") for i in range(6000)]
+    mixed = mixing.mix(table(spark, rows, clash=False).withColumn("source", F.lit("one")))
+    row = mixed.agg(F.sum(F.col("__size") * F.col("__copies")).alias("taken"), F.max("__target").alias("target")).first()
+    assert abs(row["taken"] / row["target"] - 1) < 0.03
+    again = mixing.mix(table(spark, rows, clash=False).withColumn("source", F.lit("one")))
+    assert sorted(r["__copies"] for r in mixed.filter("doc_id is null").collect()) == sorted(r["__copies"] for r in again.filter("doc_id is null").collect())
+
+
 def test_targets_are_shared_by_weight(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 50), ("d", 0), (None, 400)]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
