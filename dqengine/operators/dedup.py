@@ -169,9 +169,11 @@ def fuzzy_duplicates(
     right = variants.withColumnsRenamed({"t": "t_b", "head": "id_b"})
     # size estimates do not see how far heads grow, so a broadcast is ruled out
     met = match_keys(left, right.hint("merge"), [*block, "variant"]).filter("id_a < id_b")
+    met = met.select("id_a", "id_b", "t_a", "t_b")
     # a pair may lie on both sides of the limit
-    long = _long_pairs(heads.filter(F.length("t") > LONG_TEXT - max_distance), block, max_distance)
-    met = met.select("id_a", "id_b", "t_a", "t_b").unionByName(long.select("id_a", "id_b", "t_a", "t_b"))
+    long = heads.filter(F.length("t") > LONG_TEXT - max_distance)
+    if not long.isEmpty():
+        met = met.unionByName(_long_pairs(long, block, max_distance).select("id_a", "id_b", "t_a", "t_b"))
     near = (
         met.withColumn("distance", F.levenshtein("t_a", "t_b", max_distance))
         .filter(F.col("distance") >= 0)
