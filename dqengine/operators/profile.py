@@ -213,17 +213,18 @@ def mixed_types(df: DataFrame) -> DataFrame:
     cells = _cells(df, texts).filter("value is not null")
     kinds = cells.select("column", value_kind(F.col("value")).alias("kind")).distinct()
     by_column = kinds.groupBy("column").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("types"), F.count("*").alias("k"))
-    mixed = materialize(by_column.filter("k > 1"))  # at most a row per column
+    # at most a row per column: sent to the cells, which by column alone would all meet in one task
+    mixed = F.broadcast(materialize(by_column.filter("k > 1")))
     # the least values begin with the least heads: only values with one of these are compared whole
     cells = cells.join(mixed.select("column"), "column", "left_semi").withColumn("head", F.substring("value", 1, LONG_TEXT))
     heads = cells.select("column", "head").distinct()
     place = F.row_number().over(Window.partitionBy("column").orderBy("head"))
-    heads = materialize(heads.withColumn("r", place).filter("r <= 3").drop("r"))
+    heads = F.broadcast(materialize(heads.withColumn("r", place).filter("r <= 3").drop("r")))
     whole = cells.join(heads, ["column", "head"], "left_semi").groupBy("column", F.sha2("value", 256)).agg(F.any_value("value").alias("value"))
     first = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     samples = whole.withColumn("r", first).filter("r <= 3").groupBy("column")
     samples = samples.agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("sample_values"))
-    return mixed.join(samples, "column").select("column", "types", "sample_values")
+    return samples.join(mixed, "column").select("column", "types", "sample_values")
 
 
 def missing_table(df: DataFrame) -> DataFrame:

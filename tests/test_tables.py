@@ -634,3 +634,16 @@ def test_mixed_types_with_long_texts(spark):
     assert got == [("m", "double,int,string", "|".join(["1", "2.5", "z" * 100 + "a"]))]
     assert pf.mixed_types(df.select("plain")).count() == 0
     assert pf.mixed_types(spark.range(3)).count() == 0
+
+
+def test_mixed_types_keep_cells_in_place(spark):
+    """A text column's cells are not shuffled by its name, which would bring them all to one task."""
+    df = spark.createDataFrame([(str(i), "x" if i % 2 else None) for i in range(50)] + [("a" * 70 + str(i), "x") for i in range(3)], "a string, b string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = pf.mixed_types(df)
+        assert [tuple(r) for r in got.collect()] == [("a", "int,string", "0|1|10")]
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
