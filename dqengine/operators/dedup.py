@@ -189,7 +189,8 @@ def components(links: DataFrame, left: str = "id_a", right: str = "id_b", rounds
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each
     keeps the edges of a node as a grouped minimum and a join, so a node with
     very many links is never gathered, and a long chain takes few rounds. Each
-    round is written to the checkpoint folder.
+    round is written to the checkpoint folder. Merge joins only: both sides grow
+    with the links, and small tables of many rounds would pile up in the driver.
     """
     edges = links.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u != v")
     nodes = edges.select("u").union(edges.select("v")).distinct()
@@ -207,7 +208,7 @@ def components(links: DataFrame, left: str = "id_a", right: str = "id_b", rounds
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
-    found = nodes.withColumnRenamed("u", "node").join(roots, F.col("node") == F.col("id"), "left")
+    found = nodes.withColumnRenamed("u", "node").join(roots.hint("merge"), F.col("node") == F.col("id"), "left")
     return found.select(F.col("node").alias("id"), F.coalesce("root", "node").alias("component"))
 
 
@@ -216,7 +217,7 @@ def _star(edges: DataFrame, keep: Column | None) -> DataFrame:
     # written first: a join reading an aggregate directly is not split by adaptive execution when a hub is hot
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     least = materialize(least.select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-    joined = edges.join(least, F.col("u") == F.col("w"))
+    joined = edges.join(least.hint("merge"), F.col("u") == F.col("w"))
     linked = (joined.filter(keep) if keep is not None else joined).select(F.col("v").alias("a"), "m")
     if keep is None:
         linked = linked.union(least.select(F.col("w").alias("a"), "m"))

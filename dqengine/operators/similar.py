@@ -86,7 +86,8 @@ def near_documents(
     a band with many of these is split by further least values. So no pair within a class is ever emitted.
 
     With the default bands a pair of similarity 0.8 is missed with a probability of 5e-8; all that meet are
-    verified exactly. Texts are split into words at blanks and lower-cased. A row without a
+    verified exactly. All joins are merge joins: every side grows with the texts, so none is sent through the driver.
+    Texts are split into words at blanks and lower-cased. A row without a
     text or word is a class of its own; rows without an id take no part; rows of one id are one member.
     """
     base = df.select(F.col(st.quoted(id_col)).alias("id"), tx.words(F.col(st.quoted(column))).alias("words"))
@@ -97,23 +98,24 @@ def near_documents(
     banded = materialize(sets.select("node", F.size("hashes").alias("size"), F.explode(band_keys(F.col("hashes"), BANDS, 1)).alias("band")))
     shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(shared.select(F.col("band").alias("of"), "first"))
-    met = materialize(banded.join(shared, F.col("band") == F.col("of")).drop("of"))
+    met = materialize(banded.join(shared.hint("merge"), F.col("band") == F.col("of")).drop("of"))
     led = met.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     led = materialize(_compared(led, sets))
     near = led.filter(F.col("similarity") >= least).select("a", "b")
     classes = materialize(components(near, "a", "b"))
     # what of a band is still apart: the distance to the first node bounds the distance of two others
-    apart = met.join(led.select(F.col("a").alias("first"), F.col("b").alias("node"), "similarity"), ["first", "node"], "left")
-    apart = apart.join(classes.withColumnRenamed("id", "node"), "node", "left")
+    led = led.select(F.col("a").alias("first"), F.col("b").alias("node"), "similarity")
+    apart = met.join(led.hint("merge"), ["first", "node"], "left")
+    apart = apart.join(classes.withColumnRenamed("id", "node").hint("merge"), "node", "left")
     apart = apart.select("band", "node", "size", F.coalesce("component", "node").alias("class"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
     apart = materialize(apart)
     mixed = apart.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = materialize(mixed.filter("low < high").select("band", "n"))
-    apart = apart.join(mixed, "band")
+    apart = apart.join(mixed.hint("merge"), "band")
     hot = materialize(apart.filter(F.col("n") > HOT_BAND))
-    finer = sets.join(hot.select("node").distinct(), "node", "left_semi")
+    finer = sets.join(hot.select("node").distinct().hint("merge"), "node", "left_semi")
     finer = finer.select(F.col("node").alias("of"), F.explode(band_keys(F.col("hashes"), SPLIT_BANDS, 2)).alias("more"))
-    split = hot.join(finer, F.col("node") == F.col("of")).withColumn("band", F.xxhash64("band", "more")).select(*hot.columns)
+    split = hot.join(finer.hint("merge"), F.col("node") == F.col("of")).withColumn("band", F.xxhash64("band", "more")).select(*hot.columns)
     left = materialize(apart.filter(F.col("n") <= HOT_BAND).unionByName(split)).drop("n")
     right = left.withColumnsRenamed({c: f"{c}_b" for c in left.columns})
     able = (F.least("size", "size_b") >= least * F.greatest("size", "size_b")) & (F.abs(F.col("similarity") - F.col("similarity_b")) <= 1 - least + 1e-9)
@@ -121,19 +123,20 @@ def near_documents(
     pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
     more = _compared(pairs, sets).filter(F.col("similarity") >= least).select("a", "b")
     classes = materialize(components(near.unionByName(more), "a", "b"))
-    placed = members.join(classes.withColumnRenamed("id", "of"), F.col("node") == F.col("of"), "left").select("id", F.coalesce("component", "node").alias("node"))
+    placed = members.join(classes.withColumnRenamed("id", "of").hint("merge"), F.col("node") == F.col("of"), "left").select("id", F.coalesce("component", "node").alias("node"))
     # rows of one id may hold different texts: they join what these belong to
     linked = _merged(placed)
     sizes = linked.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return linked.join(sizes, "class_id").select("id", "class_id", "class_size")
+    return linked.join(sizes.hint("merge"), "class_id").select("id", "class_id", "class_size")
 
 
 def _merged(placed: DataFrame) -> DataFrame:
     """``(id, class_id)`` once per id, classes named by their least id."""
     least = placed.filter("node is not null").groupBy("node").agg(F.min("id").alias("head"))
-    named = materialize(placed.join(least.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", F.coalesce("head", "id").alias("head")).distinct())
+    least = least.withColumnRenamed("node", "of").hint("merge")
+    named = materialize(placed.join(least, F.col("node") == F.col("of"), "left").select("id", F.coalesce("head", "id").alias("head")).distinct())
     twice = named.groupBy("id").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low < high")
-    links = named.join(twice.select(F.col("id").alias("of"), "low"), F.col("id") == F.col("of")).filter("head != low")
+    links = named.join(twice.select(F.col("id").alias("of"), "low").hint("merge"), F.col("id") == F.col("of")).filter("head != low")
     joined = components(links, "low", "head")
     heads = named.groupBy("id").agg(F.min("head").alias("head"))
-    return heads.join(joined.withColumnRenamed("id", "of"), F.col("head") == F.col("of"), "left").select("id", F.coalesce("component", "head").alias("class_id"))
+    return heads.join(joined.withColumnRenamed("id", "of").hint("merge"), F.col("head") == F.col("of"), "left").select("id", F.coalesce("component", "head").alias("class_id"))

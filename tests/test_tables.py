@@ -647,3 +647,27 @@ def test_mixed_types_keep_cells_in_place(spark):
         assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_near_documents_send_no_side_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(similar, "materialize", kept)
+    monkeypatch.setattr(dedup, "materialize", kept)
+    monkeypatch.setattr(similar, "HOT_BAND", 2)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(["more", *words]), "else", None, " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 62))  # whatever may be broadcast is
+    try:
+        got = similar.near_documents(df, "id", "body")
+        assert sorted(map(tuple, got.collect())) == [(0, 0, 4), (1, 0, 4), (2, 0, 4), (3, 3, 1), (4, 4, 1), (5, 0, 4)]
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not [p for p in plans if "BroadcastExchange" in p]
