@@ -90,6 +90,8 @@ def _(t):
     more = F.struct(F.col("o_orderkey").alias("key"), F.lit('a "}" or ]').alias("note")).alias("more")
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 2).alias("o_totalprice"), more)
     files = rows.select(F.floor(F.col("o_orderkey") / 20_000).alias("file"), F.to_json(F.struct("*")).alias("value"))
+    # a task for about five files, however many there are
+    files = files.repartition(t.orders.count() // 100_000 + 1, "file")
     arrays = files.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
     arrays.write.partitionBy("file").text(path)
     return readers.read_json(t.spark, path)

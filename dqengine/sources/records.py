@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from dqengine.session import materialize, scratch_path, size_checked
 
 BLOCK = ["file", "block"]
+# Bytes of the files for each task that sorts or gathers pieces, so that no task's share grows with the input.
+TASK_BYTES = 8 << 20
 
 
 def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
@@ -23,6 +25,12 @@ def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return pieces.select("value", *place, F.monotonically_increasing_id().alias("at"))
 
 
+def _tasks(spark: SparkSession, path: str) -> int:
+    """Tasks for all pieces of the files, by the sizes that the file system names."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    return max(1, -(-(size or 0) // TASK_BYTES))
+
+
 def _running(c: Column) -> Column:
     """Sum of all earlier rows of the block."""
     before = Window.partitionBy(*BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,9 +43,9 @@ def _entering(blocks: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return blocks.withColumns({c: F.coalesce(F.sum(x).over(before), F.lit(0)) for c, x in columns.items()})
 
 
-def _joined(pieces: DataFrame, sep: str) -> DataFrame:
+def _joined(pieces: DataFrame, sep: str, tasks: int) -> DataFrame:
     """``(file, record, value)``: records of one piece as they are, longer ones put together in order."""
-    sizes = pieces.filter("not whole").groupBy("file", "record").agg(
+    sizes = pieces.filter("not whole").repartition(tasks, "file", "record").groupBy("file", "record").agg(
         F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts")
     )
     long = sizes.select("file", "record", F.array_join(F.transform("parts", lambda p: p["value"]), sep).alias("value"))
@@ -50,7 +58,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     A line begins a record where the quotes before it are balanced. Most records are one line and are not shuffled
     again; only the lines of the others meet.
     """
-    lines = _pieces(spark, path, "\n")
+    tasks = _tasks(spark, path)
+    lines = _pieces(spark, path, "\n").repartition(tasks, *BLOCK)
     odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2))
     lines = lines.withColumn("odd", odd)
     lines = lines.withColumn("inside", _running(F.col("odd")) % 2)
@@ -64,7 +73,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     placed = lines.join(known, BLOCK)
     number = F.col("first") + F.when(F.col("entry") == 0, F.col("n0")).otherwise(F.col("n1")) - 1
     whole = (F.col("inside") == F.col("entry")) & (F.col("odd") == 0)
-    found = _joined(placed.select("file", "block", "at", "value", number.alias("record"), whole.alias("whole")), "\n")
+    found = _joined(placed.select("file", "block", "at", "value", number.alias("record"), whole.alias("whole")), "\n", tasks)
     return found.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
@@ -83,8 +92,9 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame | None:
     outside or inside of a text. An element ends with the brace that leads back to depth 1.
     """
     pieces = _pieces(spark, path, "}")
-    heads = pieces.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("head")).select(F.bool_and(F.col("head").rlike(r"^\s*\[")))
-    if not heads.first()[0]:
+    # a flag and a number: hashed, where texts would be sorted
+    heads = pieces.filter("block = 0").groupBy("file").agg(F.min_by(F.col("value").rlike(r"^\s*\["), "at").alias("array"))
+    if not heads.select(F.bool_and("array")).first()[0]:
         return None
     bare = F.regexp_replace("value", r"(?s)\\.", "")
     parts = F.split(bare, '"', -1)
@@ -98,7 +108,8 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame | None:
     # the closing brace itself counts where the piece ends outside of a text; a file's last piece has none, so it is mended below
     odd = F.pmod(F.size(parts) - 1, F.lit(2))
     pieces = pieces.withColumn("odd", odd).withColumn("d0", turns(0) - (1 - F.col("odd"))).withColumn("d1", turns(1) - F.col("odd"))
-    pieces = pieces.withColumn("inside", _running(F.col("odd")) % 2)
+    tasks = _tasks(spark, path)
+    pieces = pieces.repartition(tasks, *BLOCK).withColumn("inside", _running(F.col("odd")) % 2)
     own = lambda s: F.when(F.col("inside") == s, F.col("d0")).otherwise(F.col("d1"))
     pieces = pieces.withColumn("t0", own(0)).withColumn("t1", own(1))
     pieces = materialize(pieces.withColumn("r0", _running(F.col("t0")) + F.col("t0")).withColumn("r1", _running(F.col("t1")) + F.col("t1")))
@@ -109,14 +120,15 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame | None:
     depth = F.col("deep") + F.when(F.col("entry") == 0, F.col("r0")).otherwise(F.col("r1"))
     # outside of a text after the piece, and back in the array
     ends = (((F.col("inside") + F.col("entry") + F.col("odd")) % 2 == 0) & (depth == 1)).cast("long")
-    placed = materialize(placed.select("file", "block", "at", "value", depth.alias("depth"), ends.alias("ends")).withColumn("n", _running(F.col("ends"))))
+    placed = placed.select("file", "block", "at", "value", ends.alias("ends")).repartition(tasks, *BLOCK)
+    before = F.lag("ends").over(Window.partitionBy(*BLOCK).orderBy("at"))
+    placed = materialize(placed.withColumn("n", _running(F.col("ends"))).withColumn("before", before))
     counts = _entering(placed.groupBy(*BLOCK).agg(F.sum("ends").alias("ends")), {"first": F.col("ends")})
     numbered = placed.join(size_checked(counts.select(*BLOCK, "first")), BLOCK)
     numbered = numbered.withColumn("record", F.col("first") + F.col("n"))
     # a record of one piece ends there, and no piece before it is its own
-    before = F.lag("ends").over(Window.partitionBy(*BLOCK).orderBy("at"))
-    numbered = numbered.withColumn("whole", (F.col("ends") == 1) & (F.coalesce(before, F.lit(0)) == 1))
-    found = _joined(numbered, "}")
+    numbered = numbered.withColumn("whole", (F.col("ends") == 1) & (F.coalesce("before", F.lit(0)) == 1))
+    found = _joined(numbered, "}", tasks)
     last = found.groupBy("file").agg(F.max("record").alias("last"))
     found = materialize(found.join(size_checked(last), "file"))
     closing, element = r"^\s*\]\s*$", r"(?s)^\s*[\[,]\s*(\{.*)$"

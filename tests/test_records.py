@@ -81,3 +81,30 @@ def test_one_object_stays_with_the_reader(spark, tmp_path):
     path = tmp_path / "one.json"
     path.write_text('{"a":\n {"b": 1}}')
     assert readers.read_json(spark, str(path)).first()["a"]["b"] == 1
+
+
+def test_tasks_grow_with_the_files(spark, tmp_path, small_blocks, monkeypatch):
+    """Pieces are sorted and gathered in more tasks where the files are larger, whatever the session's partitions."""
+    dealt = []
+
+    def kept(df):
+        df = df.localCheckpoint()
+        dealt.append(df.rdd.getNumPartitions())
+        return df
+
+    monkeypatch.setattr(records, "materialize", kept)
+    monkeypatch.setattr(records, "TASK_BYTES", 1000, raising=False)
+    rows = [{"id": i, "t": "a } b\n" * 3, "s": {"x": i}} for i in range(200)]
+    folder, lines = tmp_path / "json", tmp_path / "csv"
+    folder.mkdir()
+    lines.mkdir()
+    (folder / "a.json").write_text(json.dumps(rows))
+    (lines / "a.csv").write_text("id,t\n" + "".join(f'{r["id"]},"{r["t"]}"\n' for r in rows))
+    tasks = -(-(folder / "a.json").stat().st_size // 1000)
+    found = records.read_json_array(spark, str(folder))
+    assert sorted(r["id"] for r in found.collect()) == list(range(200))
+    assert tasks > 10 and min(dealt) >= tasks
+    dealt.clear()
+    got = records.csv_records(spark, str(lines))
+    assert got.count() == 201
+    assert dealt == [-(-(lines / "a.csv").stat().st_size // 1000)]
