@@ -2,36 +2,43 @@
 
 Symbols are the words, the end of a text, and one symbol for every unknown word; contexts are
 the words before, back to the beginning of the text. The shortest context, the empty one, has
-counts of all words. Longer contexts and their predictions are tables that grow with the corpus.
-Both reach the texts by joins on hashes.
+counts of all words. For the longer ones every token is dealt once, as a window of its code and the codes
+of the words before it, by ranges of the reversed context: a part holds all that its contexts need, learns
+them and scores its windows; only sums by text come back.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import discard, stored
+from .tables import discard, ranked, stored
 from .text import BLANKS, LOWER, look_up, mix, pieces, signed, string_bytes, word_hashes, words
 
 DEPTH = 4  # words of the longest context
 LEAST = 2  # times a run of words must occur to be a context or a prediction
 DISCOUNT = 0.5
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the beginning and the end of a text among the word hashes
-MARK_BITS, SLICES = 26, 256  # places of the largest set of marks, and the rows it is gathered in
-SLICE_RUNS = 1 << 21  # tokens for each slice of the runs that are sought for repeats
+SLICE_RUNS = 1 << 19  # tokens for each part that the windows are dealt to
+CUT_SAMPLE = 32  # windows a part that the ranges of the parts are taken from
 # One row a piece of a partition (about four megabytes of whole texts): its distinct words once,
 # its texts as places in that list.
 PACKED = "piece long, doc_id array<long>, held_out array<boolean>, first array<int>, words binary, n binary, at binary"
+# The same texts with codes of their words in the whole corpus, and what each text needs no context for.
+CODED = "piece long, doc_id array<long>, held_out array<boolean>, first array<int>, known array<long>, base array<double>, codes binary"
+SUMS = "piece long, context int, text binary, score binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+SCALE = float(1 << 36)  # sums of logarithms come back as multiples of its inverse
+BEGIN_CODE, END_CODE, FIRST_CODE = 1, 2, 3  # codes in windows; 0 is no word, or one that is too rare for runs
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,23 +102,6 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), n], names=["piece", "place", "word", "n"])
 
 
-def _stream(batch: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts of a packed row, each from BEGIN to END; per symbol how many of its text
-    stand before it, its text, and whether it is a word."""
-    hashes = word_hashes(*_spelt(batch, row))
-    first = _flat(batch, row, "first").to_numpy().astype(np.int64)
-    texts = len(first) - 1
-    sizes = np.diff(first) + 2
-    begin = np.cumsum(sizes) - sizes
-    symbols = np.empty(int(sizes.sum()), np.uint64)
-    inner = np.ones(len(symbols), bool)
-    inner[begin] = inner[begin + sizes - 1] = False
-    symbols[inner] = hashes[_grow(batch.column("at")[row], "<i4")]
-    symbols[begin], symbols[begin + sizes - 1] = BEGIN, END
-    text = np.repeat(np.arange(texts), sizes)
-    return symbols, np.arange(len(symbols)) - begin[text], text, inner
-
-
 def _longer(heads: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Hashes of runs that end at each symbol, from those one symbol shorter that end before it."""
     out = np.zeros(len(symbols), np.uint64)
@@ -119,120 +109,6 @@ def _longer(heads: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mark(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marks = np.zeros(1 << bits, bool)
-    for batch in batches:
-        marks[batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
-    parts = [x.tobytes() for x in np.split(np.packbits(marks), SLICES)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "marks"])
-
-
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, out = 0, None
-    for batch in batches:
-        for x in batch.column("marks"):
-            part = np.frombuffer(x.as_buffer(), np.uint8)
-            out = part.copy() if out is None else np.bitwise_or(out, part, out=out)
-        number = batch.column("slice")[0].as_py() if batch.num_rows else number
-    if out is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slice", "marks"])
-
-
-def _marks(keys: DataFrame, bits: int) -> np.ndarray:
-    """One bit for the hashes that share their first ``bits`` bits: what is not marked is not among the
-    keys. Marks only spare work; what they let through is told apart by joins."""
-    found = keys.select("key").mapInArrow(lambda it: _mark(bits, it), "slice int, marks binary")
-    slices = found.groupBy("slice").applyInArrow(_unite, "slice int, marks binary").toArrow().sort_by("slice")
-    if not slices.num_rows:
-        return np.zeros(1 << bits - 3, np.uint8)
-    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for c in slices["marks"].chunks for x in c])
-
-
-def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - (len(marks) * 8).bit_length() + 1)
-    return (marks[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 0x80 > 0
-
-
-def _runs(batch: pa.RecordBatch, row: int, length: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``length`` in a piece, of those one symbol shorter, and where the former end: in training
-    texts, where both shorter parts are marked."""
-    symbols, before, text, _ = _stream(batch, row)
-    held = _flat(batch, row, "held_out").to_numpy(zero_copy_only=False)
-    at = np.flatnonzero((before >= length - 1) & ~held[text])
-    shorter = symbols
-    for _ in range(length - 2):
-        shorter = _longer(shorter, symbols)
-    at = at[_marked(known, shorter[at])]
-    at = at[_marked(known, shorter[at - 1])]
-    return _longer(shorter, symbols), shorter, at
-
-
-def _sketch(length: int, known: np.ndarray, slices: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, keys): the first 40 bits of each run of a piece as gaps, by their own first bits; twice for one that is repeated there."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            run, _, at = _runs(batch, row, length, known)
-            keys, n = np.unique(run[at] >> np.uint64(24), return_counts=True)
-            keys = np.repeat(keys, np.minimum(n, 2))
-            cuts = np.searchsorted(keys, np.arange(1, 1 << slices, dtype=np.uint64) << np.uint64(40 - slices))
-            parts = [(i, x) for i, x in enumerate(np.split(keys, cuts)) if len(x)]
-            gaps = [_shrink(np.diff(x, prepend=np.uint64(0)).astype("<u8")) for _, x in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array(gaps, pa.binary())], names=["slice", "keys"])
-
-
-def _repeated(bits: int, slices: int, found: pa.Table) -> pa.Table:
-    """The marks of one slice: runs that stand more than once in it."""
-    keys = np.sort(np.concatenate([np.cumsum(_grow(x, "<u8")) for x in found["keys"]]))
-    twice = keys[1:][keys[1:] == keys[:-1]]
-    marks = np.zeros(1 << bits - slices, bool)
-    number = found["slice"][0].as_py()
-    marks[(twice >> np.uint64(40 - bits)).astype(np.int64) - (number << bits - slices)] = True
-    return pa.table([pa.array([number], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["slice", "marks"])
-
-
-def _twice(texts: DataFrame, length: int, known: np.ndarray, bits: int, tokens: int) -> np.ndarray:
-    """Marks of the runs of ``length`` that occur twice or more, at three bytes a run and piece.
-
-    Most runs occur once; with these marks the others alone are counted and joined. A slice gets about as many
-    runs however large the corpus is. Marks only spare work: a run that shares another's is told apart by its count.
-    """
-    slices = min(max((tokens // SLICE_RUNS).bit_length(), 0), bits - 3)
-    rows = texts.mapInArrow(lambda it: _sketch(length, known, slices, it), "slice int, keys binary")
-    marks = np.zeros((1 << slices, 1 << bits - slices - 3), np.uint8)
-    for r in rows.groupBy("slice").applyInArrow(lambda t: _repeated(bits, slices, t), "slice int, marks binary").toLocalIterator():
-        marks[r["slice"]] = np.frombuffer(r["marks"], np.uint8)
-    return marks.ravel()
-
-
-def _count(length: int, known: np.ndarray, twice: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, head, tail, n) of the runs of ``length`` in each piece that are marked as repeated in the corpus."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            run, shorter, at = _runs(batch, row, length, known)
-            at = at[_marked(twice, run[at])]
-            keys, one, n = np.unique(run[at], return_index=True, return_counts=True)
-            columns = [signed(keys), signed(shorter[at - 1][one]), signed(shorter[at][one]), n]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "head", "tail", "n"])
-
-
-def _wanted(depth: int, contexts: np.ndarray, symbols: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, key) of the contexts and predictions that the texts of each piece may need."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            stream, before, _, _ = _stream(batch, row)
-            rising, context, keys = np.flatnonzero(before > 0), stream, [np.zeros(0, np.uint64)]
-            for d in range(1, depth + 1):
-                if d > 1:
-                    context = _longer(context, stream)
-                rising = rising[before[rising] >= d]
-                rising = rising[_marked(contexts, context[rising - 1])]
-                own = _longer(context, stream)[rising]
-                keys += [np.unique(context[rising - 1]), np.unique(own[_marked(symbols, own)])]
-            key = signed(np.unique(np.concatenate(keys)))
-            piece = np.full(len(key), batch.column("piece")[row].as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(key)], names=["piece", "key"])
-
-
 @dataclass(frozen=True)
 class SuffixTree:
     """The empty context's smoothing, and by depth the contexts and predictions that stayed.
@@ -274,92 +150,432 @@ class SuffixTree:
 
 
 @dataclass(frozen=True)
-class Learnt:
-    """The empty context (a tree without contexts), and by depth the tables of contexts (key, left) and predictions (key, share)."""
+class Codes:
+    """Codes of words by falling count: how often each occurs, and the sums of the empty context.
+
+    Words that occur ``floor`` times or more have codes up to ``last``; a rarer one has ``last`` and its count.
+    """
 
     root: SuffixTree
-    bits: int
-    contexts: list[DataFrame]
-    symbols: list[DataFrame]
+    types: int
+    floor: float
+    last: int
+    firsts: np.ndarray  # rank of the first word of each count
+    times: np.ndarray  # the counts, falling
+
+    def of(self, rank: np.ndarray) -> np.ndarray:
+        count = self.times[np.searchsorted(self.firsts, rank, "right") - 1]
+        return np.where(count >= self.floor, rank + FIRST_CODE, self.last + count).astype(np.int32)
+
+    def counts(self, codes: np.ndarray) -> np.ndarray:
+        out = np.where(codes > self.last, codes - self.last, 0).astype(np.int64)
+        out[codes == END_CODE] = self.root.ends
+        word = (codes >= FIRST_CODE) & (codes <= self.last)
+        out[word] = self.times[np.searchsorted(self.firsts, codes[word] - FIRST_CODE, "right") - 1]
+        return out
+
+
+def _ranks(found: pa.Table) -> pa.Table:
+    """One row for a piece: places of its distinct words that are known, ascending, and their ranks."""
+    place, rank = found["place"].to_numpy(), found["rank"].to_numpy()
+    order = np.argsort(place)
+    blob = _shrink(_planes(np.stack([np.diff(place[order], prepend=0), rank[order]])))
+    return pa.table([found["piece"][:1].cast(pa.int64()), pa.array([blob], pa.binary())], names=["piece", "ranks"])
+
+
+def _coded(codes: Codes, packed: pa.Table, found: pa.Table) -> pa.Table:
+    """One piece in codes, given the ranks of its distinct words that are known."""
+    first = _flat(packed, 0, "first").to_numpy().astype(np.int64)
+    place = _grow(packed.column("at")[0], "<i4")
+    code = np.zeros(int(place.max()) + 1 if len(place) else 0, np.int32)
+    if found.num_rows:
+        at, rank = _numbers(found["ranks"][0], 2)
+        code[np.cumsum(at)] = codes.of(rank)
+    each = codes.counts(code)[place]
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    ends, whole = codes.root.ends, np.log10(codes.root.tokens + 1 * (codes.types + 1))
+    known = np.bincount(text, each > 0, len(first) - 1).astype(np.int64) + int(ends > 0)
+    base = np.bincount(text, np.log10(each + 1.0) - whole, len(first) - 1) + (np.log10(ends + 1.0) - whole)
+    columns = [packed.column("piece").combine_chunks()]
+    columns += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (*[_flat(packed, 0, k) for k in ("doc_id", "held_out", "first")], pa.array(known), pa.array(base))]
+    columns += [pa.array([_shrink(_planes(code[place][None]))], pa.binary())]
+    return pa.Table.from_arrays(columns, names=[f.split()[0] for f in CODED.split(", ")])
+
+
+def _planes(columns: np.ndarray) -> np.ndarray:
+    """Rows of 32-bit numbers as planes of bytes, which shrink better."""
+    return np.ascontiguousarray(np.ascontiguousarray(columns, "<u4").view(np.uint8).reshape(*columns.shape, 4).swapaxes(1, 2))
+
+
+def _numbers(value: pa.Scalar, rows: int) -> np.ndarray:
+    planes = _grow(value, np.uint8)
+    planes = planes.reshape(rows, 4, len(planes) // (4 * rows))
+    return np.ascontiguousarray(planes.swapaxes(1, 2)).view("<i4")[:, :, 0].copy()
+
+
+def _windows(batch: pa.RecordBatch, row: int, depth: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token of a piece the codes of the words before it, the nearest first, and its own; its text, and whether it is learnt from."""
+    first = _flat(batch, row, "first").to_numpy().astype(np.int64)
+    texts, sizes = len(first) - 1, np.diff(first)
+    text = np.repeat(np.arange(texts), sizes + 1)
+    at = np.arange(len(text)) + (text + 1) * depth  # so many places before each text: the beginning and none
+    stream = np.zeros(len(text) + texts * depth, np.int32)
+    end = at[np.cumsum(sizes + 1) - 1]
+    stream[end - sizes - 1] = BEGIN_CODE
+    stream[end] = END_CODE
+    word = np.ones(len(text), bool)
+    word[np.cumsum(sizes + 1) - 1] = False
+    stream[at[word]] = _numbers(batch.column("codes")[row], 1)[0]
+    out = np.empty((depth + 1, len(text)), np.int32)
+    out[depth] = stream[at]
+    stream[stream > last] = 0
+    for d in range(depth):
+        out[d] = stream[at - 1 - d]
+        if d:
+            out[d, out[d - 1] == 0] = 0  # nothing is known beyond a rare word
+    return out, text, ~_flat(batch, row, "held_out").to_numpy(zero_copy_only=False)[text]
+
+
+def _salt(piece: int, size: int) -> np.ndarray:
+    """The last key of the windows of a piece, so that equal ones can be dealt to several parts."""
+    start = np.array([piece + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix(start + np.arange(size, dtype=np.uint64)) >> np.uint64(33)).astype(np.int32)
+
+
+def _pair(columns: np.ndarray) -> np.ndarray:
+    """The first two columns as one number, or the only one."""
+    wide = columns[0].astype(np.uint64)
+    return wide << np.uint64(32) | columns[1].astype(np.uint64) if len(columns) > 1 else wide
+
+
+def _order(columns: np.ndarray) -> np.ndarray:
+    """The order of windows by all their columns, the first one first."""
+    return np.lexsort([_pair(columns[i : i + 2]) for i in range(0, len(columns), 2)][::-1])
+
+
+def _some(depth: int, last: int, step: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few windows of each piece with their salts."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            piece = batch.column("piece")[row].as_py()
+            columns, _, _ = _windows(batch, row, depth, last)
+            salt = _salt(piece, columns.shape[1])
+            drawn = np.flatnonzero(mix(salt.astype(np.uint64) + np.uint64(piece)) % np.uint64(step) == 0)
+            rows = np.vstack([columns, salt])[:, drawn].T.ravel()
+            sizes = np.arange(0, len(rows) + 1, depth + 2, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(sizes), pa.array(rows, pa.int32()))], names=["window"])
+
+
+def _cuts(coded: DataFrame, depth: int, codes: Codes, tokens: int) -> np.ndarray:
+    """The first window of each part but the first, one a column."""
+    parts = -(-tokens // SLICE_RUNS)
+    none = np.zeros((depth + 2, 0), np.int32)
+    if parts < 2:
+        return none
+    step = max(tokens // (parts * CUT_SAMPLE), 1)
+    found = coded.mapInArrow(lambda it: _some(depth, codes.last, step, it), "window array<int>").toArrow()
+    if not found.num_rows:
+        return none
+    drawn = np.concatenate([x.flatten().to_numpy() for x in found["window"].chunks]).reshape(-1, depth + 2).T
+    drawn = drawn[:, _order(drawn)]
+    return np.unique(drawn[:, np.arange(1, parts) * drawn.shape[1] // parts], axis=1)
 
 
-def learn(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, least: float = LEAST) -> Learnt:
-    """Learn contexts and predictions from packed training texts and their (word, c).
+@dataclass(frozen=True)
+class Shared:
+    """Contexts whose windows lie in several parts, by length as (number of the context one word shorter, word), and these parts."""
+
+    keys: list[np.ndarray]
+    numbers: list[np.ndarray]
+    parts: list[tuple[int, int, int]]
+
+    def of(self, words: np.ndarray, length: int, shorter: np.ndarray) -> np.ndarray:
+        """Numbers of the contexts of ``length``, -1 for those in one part, given their first words and the numbers of the shorter ones."""
+        at = np.flatnonzero(shorter >= 0)
+        place = look_up(self.keys[length - 1], shorter[at] << 32 | words[at])
+        out = np.full(len(shorter), -1)
+        at, place = at[place >= 0], place[place >= 0]
+        out[at] = self.numbers[length - 1][place]
+        return out
+
+
+def _shared(cuts: np.ndarray, depth: int) -> Shared:
+    rows = [tuple(x) for x in cuts.T.tolist()]
+    numbers: dict[tuple[int, ...], int] = {(): 0}
+    keys: list[dict[int, int]] = [{} for _ in range(depth)]
+    parts = []
+    for row in rows:
+        for d in range(1, depth + 1):
+            head = row[:d]
+            if not row[d - 1]:
+                break
+            if head not in numbers:
+                number = numbers[head] = len(numbers)
+                keys[d - 1][numbers[head[:-1]] << 32 | row[d - 1]] = number
+                parts.append((number, bisect_right(rows, head), bisect_right(rows, (*head, 1 << 32))))
+    return Shared([np.array(sorted(k), np.int64) for k in keys], [np.array([k[x] for x in sorted(k)], np.int64) for k in keys], parts)
 
-    Runs of words are counted length by length; those that occur ``least`` times (at least twice) are
-    tried, whatever the size of the corpus. A run occurs at most as often as both its parts one word shorter, so
-    only runs of marked parts are looked at, and of these only those seen twice are counted. A context of more than
-    ``depth`` words is never tried.
 
-    A context stays if its divergence from the context one word shorter, as log likelihood over the whole corpus,
-    pays for its predictions at ln(tokens) nats each (minimum description length); its suffixes stay
-    with it. Its symbols are discounted, and what is left is shared as the shorter context shares
-    it, down to the empty one, whose discount by Ney's estimate is the chance of an unknown word.
+def _shared_runs(depth: int, last: int, shared: Shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, symbol, n) of the shared contexts in the training texts of each piece; all rare symbols are one, 0."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            columns, _, learnt = _windows(batch, row, depth, last)
+            columns = columns[:, learnt]
+            number, found = np.zeros(columns.shape[1], np.int64), [np.zeros(0, np.int64)]
+            for d in range(1, depth + 1):
+                number = shared.of(columns[d - 1], d, number)
+                columns, number = columns[:, number >= 0], number[number >= 0]
+                found.append(number << 32 | np.where(columns[depth] > last, 0, columns[depth]).astype(np.int64))
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["context", "symbol", "n"])
+
 
-    Runs, contexts and predictions are tables in the shared folder; the driver has sums and marks.
-    Two different runs are one if their 64-bit hashes are equal.
+def _deal(depth: int, last: int, cuts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, piece, windows): the windows of a piece in each part, in the order of their first two columns, with text and whether it is learnt from."""
+    heads = _pair(cuts[:2])
+    for batch in batches:
+        for row in range(batch.num_rows):
+            piece = batch.column("piece")[row].as_py()
+            columns, text, learnt = _windows(batch, row, depth, last)
+            key = _pair(columns[:2])
+            order = np.argsort(key)
+            key = key[order]
+            bounds, until = np.searchsorted(key, heads), np.searchsorted(key, heads, "right")
+            # windows that begin as a cut does are told apart by their other columns
+            salt = _salt(piece, columns.shape[1])
+            for low in np.unique(bounds[bounds < until]):
+                some = np.flatnonzero((bounds == low) & (bounds < until))
+                own = order[low : until[some[0]]]
+                both = _order(np.hstack([cuts[2:, some], np.vstack([columns[2:, own], salt[own]])]))
+                cut = both < len(some)
+                order[low : low + len(own)] = own[both[~cut] - len(some)]
+                bounds[some] = low + np.flatnonzero(cut) - np.arange(len(some))
+            bounds = np.concatenate([[0], bounds, [len(order)]])
+            steps = np.vstack([columns[2:, order], (text * 2 + learnt)[order].astype(np.int32)])
+            blobs = []
+            parts = np.flatnonzero(np.diff(bounds))
+            for i, j in zip(bounds[parts], bounds[parts + 1]):
+                step = np.diff(key[i:j], prepend=np.uint64(0))
+                head = np.stack([step >> np.uint64(32), step & np.uint64(0xFFFFFFFF)])
+                blobs.append(_shrink(_planes(np.vstack([head, steps[:, i:j]]))))
+            columns = [pa.array(parts, pa.int32()), pa.array([piece] * len(parts), pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "piece", "windows"])
+
+
+@dataclass
+class Level:
+    """The contexts of one length in a part and their runs; ``context`` is that of each window."""
+
+    context: np.ndarray
+    start: np.ndarray
+    parent: np.ndarray
+    number: np.ndarray
+    left: np.ndarray
+    keep: np.ndarray
+    runs: np.ndarray  # ascending: context and symbol
+    share: np.ndarray
+
+    def longer(self, at: np.ndarray, symbols: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Chances of the symbols of the windows ``at`` from those under the context one word shorter."""
+        context = self.context[at].astype(np.int64)
+        place = look_up(self.runs, context << 32 | symbols[at].astype(np.int64))
+        return self.left[context] * p + (np.where(place >= 0, self.share[place], 0.0) if len(self.runs) else 0.0)
+
+
+def _learnt(codes: Codes, shared: Shared, depth: int, columns: np.ndarray, learnt: np.ndarray, extra: pa.Table) -> list[Level]:
+    """The contexts that windows in order have, judged by their divergence (see ``score_texts``)."""
+    symbols, tokens = columns[depth], codes.root.tokens
+    rising = np.flatnonzero(learnt & (symbols > 0) & (symbols <= codes.last)).astype(np.int32)
+    new = np.zeros(len(symbols), bool)
+    new[0] = True
+    levels: list[Level] = []
+    owner, symbol, times = (extra[k].to_numpy().astype(np.int64) for k in ("context", "symbol", "n"))
+    runs, chance, above = np.zeros(0, np.int64), np.zeros(0), np.zeros(len(symbols), np.int32)
+    number = np.zeros(len(symbols), np.int64)
+    for d in range(1, depth + 1):
+        new[1:] |= columns[d - 1][1:] != columns[d - 1][:-1]
+        start = np.flatnonzero(new)
+        context = (np.cumsum(new) - 1).astype(np.int32)
+        total = np.add.reduceat(learnt, start, dtype=np.int64)
+        parent = above[start]
+        number = shared.of(columns[d - 1][start], d, number[parent] if d > 1 else np.zeros(len(start), np.int64))
+        rising = rising[columns[d - 1][rising] > 0]
+        keys = context[rising].astype(np.int64) << 32 | symbols[rising]
+        own, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+        often = n >= codes.floor
+        rising = rising[often[back] | (number[context[rising]] >= 0)]
+        often &= number[own >> 32] < 0  # the runs of shared contexts come counted over all parts
+        own, n = own[often], n[often]
+        del keys, back
+        if (number >= 0).any():
+            local = np.flatnonzero(number >= 0)
+            local = local[np.argsort(number[local])]
+            place = look_up(number[local], owner)
+            at = np.flatnonzero(place >= 0)
+            sums = symbol[at] < 0
+            total[local[place[at[sums]]]] = times[at[sums]]
+            at = at[~sums]
+            own, n = np.concatenate([own, local[place[at]] << 32 | symbol[at]]), np.concatenate([n, times[at]])
+            order = np.argsort(own)
+            own, n = own[order], n[order]
+        head = own >> 32
+        if d > 1:
+            below = chance[look_up(runs, parent[head].astype(np.int64) << 32 | own & 0xFFFFFFFF)] if len(own) else np.zeros(0)
+        else:
+            below = codes.root.alone(codes.counts(own & 0xFFFFFFFF))
+        seen, k = np.bincount(head, n, len(start)), np.bincount(head, minlength=len(start))
+        total = np.maximum(total, 1)
+        left = np.clip(1 - (seen - DISCOUNT * k) / total, 1e-9, 1.0)
+        share = (n - DISCOUNT) / total[head]
+        runs, chance = own, left[head] * below + share
+        value = np.bincount(head, n * np.log(chance / below), len(start)) + (total - seen) * np.log(left)
+        levels.append(Level(context, start, parent, number, left, (k > 0) & (value >= k * np.log(max(tokens, 1))), runs, share))
+        above = context
+    for level, shorter in zip(levels[:0:-1], levels[-2::-1]):  # suffixes stay with what they end
+        shorter.keep[level.parent[level.keep]] = True
+    return levels
+
+
+def _gathered(windows: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a part in the order of the words before them, and the row that each comes from."""
+    sizes, columns = [], []
+    for x in windows["windows"]:
+        found = _numbers(x, depth + 2)
+        key = np.cumsum(found[0].view(np.uint32).astype(np.uint64) << np.uint64(32) | found[1].view(np.uint32))
+        found[0], found[1] = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
+        sizes.append(found.shape[1])
+        columns.append(found)
+    columns = np.hstack(columns)
+    order = _order(columns[:depth])
+    return columns[:, order], np.repeat(np.arange(len(sizes)), sizes)[order]
+
+
+def _part_scored(codes: Codes, shared: Shared, depth: int, windows: pa.Table, extra: pa.Table) -> pa.Table:
+    """Sums of the log10 probabilities of a part's windows by piece and text (context -1).
+
+    Whether a shared context is kept by a longer one is known when all parts are done. What a text gains if it is
+    comes under the context's number; the shared contexts that this part keeps are rows without a piece.
     """
+    if not windows.num_rows:
+        return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())], names=["piece", "context", "text", "score"])
+    columns, piece = _gathered(windows, depth)
+    text, learnt = columns[depth + 1] >> 1, columns[depth + 1] & 1 > 0
+    symbols = columns[depth]
+    levels = _learnt(codes, shared, depth, columns, learnt, extra)
+    p = codes.root.alone(codes.counts(symbols))
+    sure, maybe, q = np.arange(len(p)), np.zeros(0, np.int64), np.zeros(0)
+    gains: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for level in levels:
+        stays = level.keep[level.context[sure]]
+        maybe, q = np.concatenate([maybe, sure[~stays]]), np.concatenate([q, p[sure[~stays]]])
+        sure = sure[stays]
+        p[sure] = level.longer(sure, symbols, p[sure])
+        number = level.number[level.context[maybe]]
+        maybe, q, number = maybe[number >= 0], q[number >= 0], number[number >= 0]
+        then = level.longer(maybe, symbols, q)
+        gains.append((maybe, number, np.log10(then) - np.log10(q)))
+        q = then
+    at, number, score = (np.concatenate(x) for x in zip((np.arange(len(p)), np.full(len(p), -1), np.log10(p)), *gains))
+    forced = np.concatenate([x.number[x.keep & (x.number >= 0)] for x in levels])
+    del levels, columns, symbols, learnt, sure
+    owners, row = np.unique(number + 1 << 32 | piece[at], return_inverse=True)
+    slots, slot = np.unique(row << 32 | text[at], return_inverse=True)
+    sums = np.rint(np.bincount(slot, score, len(slots)) * SCALE).astype("<i8")
+    cuts = np.searchsorted(slots >> 32, np.arange(1, len(owners)))
+    texts = [_shrink(_planes(np.diff(x & 0xFFFFFFFF, prepend=0)[None])) for x in np.split(slots, cuts)]
+    of = windows["piece"].to_numpy()[owners & 0xFFFFFFFF]
+    columns = [
+        pa.array([*of, *[None] * len(forced)], pa.int64()),
+        pa.array([*(owners >> 32) - 1, *forced], pa.int32()),
+        pa.array([*texts, *[None] * len(forced)], pa.binary()),
+        pa.array([*[_shrink(_planes(x.view("<u4").reshape(-1, 2).T)) for x in np.split(sums, cuts)], *[None] * len(forced)], pa.binary()),
+    ]
+    return pa.Table.from_arrays(columns, names=["piece", "context", "text", "score"])
+
+
+def _texts_scored(coded: pa.Table, found: pa.Table) -> pa.Table:
+    """Scores of the texts of one piece from the sums of all parts."""
+    first = _flat(coded, 0, "first").to_numpy()
+    score = np.zeros(len(first) - 1)
+    for texts, sums in zip(found["text"], found["score"]):
+        low, high = _numbers(sums, 2)
+        score[np.cumsum(_numbers(texts, 1)[0])] += (high.astype(np.int64) << 32 | low.view(np.uint32)) / SCALE
+    kept = [_flat(coded, 0, k) for k in ("doc_id", "held_out", "known", "base")]
+    columns = [*kept[:2], pa.array(np.diff(first).astype(np.int64) + 1), *kept[2:], pa.array(score)]
+    return pa.Table.from_arrays(columns, names=[f.split()[0] for f in SCORES.split(", ")])
+
+
+def _encode(packed: DataFrame, counts: DataFrame, ends: int, least: float) -> tuple[Codes, DataFrame, DataFrame]:
+    """Codes of the words, the packed texts in codes, and the ranks of the words (both written)."""
     known = counts.filter(F.col("c") > 0)
-    sums = known.agg(
-        F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
-    ).first()
-    tokens = (sums["n"] or 0) + ends
-    types = sums["v"] + int(ends > 0)
-    discount = (sums["n1"] + 1) / (sums["n1"] + 2 * sums["n2"] + 2)
+    # one row for each count that occurs: their number grows with the root of the corpus at most
+    sums = known.groupBy("c").agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("c")).toArrow()
+    times, v = sums["c"].to_numpy(), sums["v"].to_numpy()
+    tokens, types = int(times @ v) + ends, int(v.sum()) + int(ends > 0)
+    n1, n2 = (int(v[times == k].sum()) for k in (1, 2))
+    discount = (n1 + 1) / (n1 + 2 * n2 + 2)
     root = SuffixTree(tokens, ends, discount, types * discount / tokens if tokens else 1.0, [], [])
-    bits = min(max((4 * tokens).bit_length(), 12), MARK_BITS)
     floor = max(least, 2)
-    marks = packed.sparkSession.createDataFrame([(int(x), ends) for x in (BEGIN, END)], "key long, n long")
-    common = known.filter(F.col("c") >= floor).select(F.col("word").alias("key"), F.col("c").alias("n")).unionByName(marks)
-    # runs one word shorter: how often they occur, and their chance as predictions
-    shorter = common.select("key", "n", ((F.col("n") - F.lit(discount)) / F.lit(max(tokens, 1))).alias("p"))
-    texts = packed.select("held_out", "first", "words", "at")
-    judged, tried = [], []
-    for length in range(2, depth + 2) if ends else ():
-        marked = _marks(shorter, bits)
-        twice = _twice(texts, length, marked, bits, tokens)
-        part = texts.mapInArrow(lambda it, k=length, f=marked, g=twice: _count(k, f, g, it), "key long, head long, tail long, n long")
-        merged = part.groupBy("key").agg(F.sum("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
-        # written before the joins, so that adaptive execution can split a word that very many runs share
-        runs = stored(merged.filter(F.col("n") >= floor), "runs")
-        if runs.isEmpty():
-            break
-        context = runs.groupBy("head").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("k"))
-        context = context.join(shorter.select(F.col("key").alias("head"), F.col("n").alias("total"), *(["tail"] if tried else [])), "head")
-        left = F.least(F.greatest(1 - (F.col("seen") - DISCOUNT * F.col("k")) / F.col("total"), F.lit(1e-9)), F.lit(1.0))
-        context = stored(context.withColumn("left", left), "contexts")
-        share = (F.col("n") - DISCOUNT) / F.col("total")
-        run = runs.join(context.select("head", "total", "left"), "head").withColumn("share", share)
-        run = run.join(shorter.select(F.col("key").alias("tail"), F.col("p").alias("below")), "tail")
-        run = run.withColumn("p", F.col("left") * F.col("below") + F.col("share"))
-        run = stored(run.select("key", "head", "tail", "n", "share", "p", (F.col("n") * F.ln(F.col("p") / F.col("below"))).alias("gain")), "predictions")
-        value = F.col("gain") + (F.col("total") - F.col("seen")) * F.ln("left")
-        context = context.join(run.groupBy("head").agg(F.sum("gain").alias("gain")), "head")
-        suffix = F.col("tail") if tried else F.lit(None).cast("long")
-        keep = value >= F.col("k") * F.lit(float(np.log(tokens)))
-        judged.append(stored(context.select(F.col("head").alias("key"), "left", suffix.alias("suffix"), keep.alias("keep")), "judged"))
-        tried.append(run)
-        discard(runs)
-        # shuffle files of finished writes go when the driver collects its garbage, and there is little of it here
-        packed.sparkSession.sparkContext._jvm.System.gc()
-        shorter = run.select("key", "n", "p", "tail")
-    kept, needed = [], None
-    for context in reversed(judged):
-        if needed is None:
-            context = context.filter("keep")
+    codes = Codes(root, types, floor, FIRST_CODE - 1 + int(v[times >= floor].sum()), np.cumsum(v) - v, times)
+    ranks = ranked(known.select("word", "c"), [-F.col("c"), F.col("word")], "rank")
+    # written before the join, so that adaptive execution can split a word that is in every piece
+    ranked_words = stored(ranks.select("word", "rank"), "ranks")
+    discard(ranks)
+    listed = packed.select("piece", "words", "n").mapInArrow(_listed, "piece long, place int, word long, n long")
+    met = listed.select("piece", "place", "word").join(ranked_words, "word").select("piece", "place", F.col("rank").cast("int").alias("rank"))
+    # written before it meets the texts, so that the shuffles of the words are gone by then
+    met = stored(met.groupBy("piece").applyInArrow(_ranks, "piece long, ranks binary"), "met")
+    coded = packed.drop("n", "words").groupBy("piece").cogroup(met.groupBy("piece")).applyInArrow(lambda a, b: _coded(codes, a, b), CODED)
+    coded = stored(coded, "coded")
+    discard(met)
+    return codes, coded, ranked_words
+
+
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """While this holds, shuffle files go when the write that needed them ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
         else:
-            context = context.join(needed.withColumn("needed", F.lit(True)), "key", "left").filter("keep or needed")
-        kept.insert(0, stored(context.select("key", "left", "suffix"), "kept"))
-        needed = kept[0].select(F.col("suffix").alias("key")).distinct()
-    symbols = [r.join(c.select(F.col("key").alias("head")), "head", "left_semi").select("key", "share") for r, c in zip(tried, kept)]
-    return Learnt(root, bits, [c.select("key", "left") for c in kept], symbols)
+            spark.conf.set(key, before)
+
+
+def _nodes(codes: Codes, depth: int, hashes: np.ndarray, windows: pa.Table) -> pa.Table:
+    """(length, key, left, share) of the contexts that stay and of their runs, when all windows are in one part."""
+    columns, _ = _gathered(windows, depth)
+    alone = Shared([np.zeros(0, np.int64)] * depth, [np.zeros(0, np.int64)] * depth, [])
+    extra = pa.table({k: pa.array([], pa.int64()) for k in ("context", "symbol", "n")})
+    out = []
+    for d, level in enumerate(_learnt(codes, alone, depth, columns, columns[depth + 1] & 1 > 0, extra), 1):
+        key = hashes[columns[d - 1][level.start]]
+        step = np.uint64(0x9E3779B97F4A7C15)
+        for i in range(d - 2, -1, -1):
+            key = mix(key * step + hashes[columns[i][level.start]])
+        run = level.keep[level.runs >> 32]
+        of, symbol = level.runs[run] >> 32, level.runs[run] & 0xFFFFFFFF
+        for keys, values in ((key[level.keep], (level.left[level.keep], None)), (mix(key[of] * step + hashes[symbol]), (None, level.share[run]))):
+            columns_ = [np.full(len(keys), d), signed(keys), *(x if x is not None else [None] * len(keys) for x in values)]
+            out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns_, (pa.int32(), pa.int64(), pa.float64(), pa.float64()))], names=["length", "key", "left", "share"]))
+    return pa.concat_tables(out)
 
 
 def grow(packed: DataFrame, counts: DataFrame, ends: int, depth: int = DEPTH, least: float = LEAST) -> SuffixTree:
-    """The whole tree in one place, to look at what a small corpus teaches (see ``learn``)."""
-    learnt = learn(packed, counts, ends, depth, least)
-    both = [[_ascending(t.toArrow(), t.columns[1]) for t in tables] for tables in (learnt.contexts, learnt.symbols)]
-    return replace(learnt.root, contexts=both[0], symbols=both[1])
+    """The whole tree in one place, to look at what a small corpus teaches (see ``score_texts``)."""
+    codes, coded, words = _encode(packed, counts, ends, least)
+    spelt = words.filter(F.col("rank") <= codes.last - FIRST_CODE).orderBy("rank").toArrow()
+    hashes = np.concatenate([np.array([0, BEGIN, END], np.uint64), spelt["word"].to_numpy().view(np.uint64)])
+    none = np.zeros((depth + 2, 0), np.int32)
+    dealt = coded.mapInArrow(lambda it: _deal(depth, codes.last, none, it), "part int, piece long, windows binary")
+    rows = dealt.groupBy("part").applyInArrow(lambda t: _nodes(codes, depth, hashes, t), "length int, key long, left double, share double").toArrow()
+    both = [[_ascending(rows.filter(pc.equal(rows["length"], d)), k) for d in range(1, depth + 1)] for k in ("left", "share")]
+    return replace(codes.root, contexts=both[0], symbols=both[1])
 
 
 def _ascending(rows: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -370,33 +586,6 @@ def _ascending(rows: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows[value].to_numpy()[order]
 
 
-def _texts_scored(root: SuffixTree, types: int, depth: int, packed: pa.Table, found: pa.Table) -> pa.Table:
-    """Scores of the texts of one piece, given the counts of its distinct words and what was learnt of its runs."""
-    runs, found = found.filter(pc.is_valid(found["key"])), found.filter(pc.is_null(found["key"]))
-    tree = replace(root, contexts=[_ascending(runs, "left")] * depth, symbols=[_ascending(runs, "share")] * depth)
-    first = _flat(packed, 0, "first").to_numpy().astype(np.int64)
-    place = _grow(packed.column("at")[0], "<i4")
-    count = np.zeros(found.num_rows, np.int64)
-    count[found["place"].to_numpy()] = found["c"].to_numpy()
-    symbols, before, text, inner = _stream(packed, 0)
-    each = np.full(len(symbols), tree.ends, np.int64)
-    each[inner] = count[place]
-    at = np.flatnonzero(before > 0)
-    each, owner = each[at], text[at]
-    base = np.log10(each + 1.0) - np.log10(tree.tokens + 1 * (types + 1))
-    score = np.log10(tree.chances(symbols, before, at, each))
-    n = len(first) - 1
-    columns = [
-        _flat(packed, 0, "doc_id"),
-        _flat(packed, 0, "held_out"),
-        pa.array(np.diff(first) + 1),
-        pa.array(np.bincount(owner, each > 0, n).astype(np.int64)),
-        pa.array(np.bincount(owner, base, n)),
-        pa.array(np.bincount(owner, score, n)),
-    ]
-    return pa.Table.from_arrays(columns, names=[f.split()[0] for f in SCORES.split(", ")])
-
-
 def score_texts(
     docs: DataFrame, held_out: Column, depth: int = DEPTH, least: float = LEAST, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -404,30 +593,46 @@ def score_texts(
 
     Contexts and counts are learnt from the rows that are not ``held_out``; every row is scored
     whole. Words are counted over all training texts by an aggregation on their 64-bit hashes (of a
-    billion distinct words two share one with a chance of 3 %); the words and runs of a piece
-    meet their counts and shares by joins. Null text is an empty one: its end only. Without
+    billion distinct words two share one with a chance of 3 %). Null text is an empty one: its end only. Without
     training rows nothing is known and every token is the unknown symbol. Rows are scored
     one by one, so repeated rows and ids are fine; extra columns are ignored.
+
+    Runs of words that occur ``least`` times (at least twice) are tried, whatever the size of the corpus. A context of
+    more than ``depth`` words is never tried. A context stays if its divergence from the context one word shorter, as log
+    likelihood over the whole corpus, pays for its predictions at ln(tokens) nats each (minimum description length);
+    its suffixes stay with it. Its symbols are discounted, and what is left is shared as the shorter context shares
+    it, down to the empty one, whose discount by Ney's estimate is the chance of an unknown word.
+
+    Every token goes once, as a window of codes, to one of the parts, which are ranges of about ``SLICE_RUNS`` windows by
+    the words before the token, the nearest first: all runs of a context, of its suffixes and of its extensions are
+    neighbours. The few contexts whose windows lie in several parts are counted beside that and given to all of these. Equal
+    windows can be dealt to several parts too, so no part grows with a frequent word or a repeated text.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    packed = stored(rows.mapInArrow(_pack, PACKED), "packed")
-    listed = packed.select("piece", "words", "n").mapInArrow(_listed, "piece long, place int, word long, n long")
-    # written before the join, so that adaptive execution can split a word that is in every piece
-    counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    ends = packed.select(F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("n")).first()["n"] or 0
-    learnt = learn(packed, counts, ends, depth, least)
-    root = learnt.root
-    types = counts.filter(F.col("c") > 0).count() + int(ends > 0)
-    no = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("place", "int"), ("c", "long"), ("key", "long"), ("left", "double"), ("share", "double"))}
-    met = listed.select("piece", "place", "word").join(counts, "word")
-    met = met.select(F.col("piece").alias("of"), "place", "c", no["key"], no["left"], no["share"])
-    if learnt.contexts:
-        rows = [t.select("key", "left", no["share"]) for t in learnt.contexts] + [t.select("key", no["left"], "share") for t in learnt.symbols]
-        # a run is a context, a prediction or both
-        nodes = stored(reduce(DataFrame.unionByName, rows).groupBy("key").agg(F.max("left").alias("left"), F.max("share").alias("share")), "nodes")
-        marks = [_marks(nodes.filter(F.col(name).isNotNull()), learnt.bits) for name in ("left", "share")]
-        wanted = packed.drop("doc_id", "n").mapInArrow(lambda it: _wanted(depth, *marks, it), "piece long, key long")
-        met = met.unionByName(wanted.join(nodes, "key").select(F.col("piece").alias("of"), no["place"], no["c"], "key", "left", "share"))
-    found = packed.drop("n").groupBy("piece").cogroup(met.groupBy("of")).applyInArrow(lambda a, b: _texts_scored(root, types, depth, a, b), SCORES)
-    total = F.lit(root.tokens).cast("long").alias("train_tokens")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", total, F.col("base").alias("base_score"), "score")
+    with _swept(spark):
+        packed = stored(rows.mapInArrow(_pack, PACKED), "packed")
+        listed = packed.select("piece", "words", "n").mapInArrow(_listed, "piece long, place int, word long, n long")
+        counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")), "words")
+        ends = packed.select(F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("n")).first()["n"] or 0
+        codes, coded, words = _encode(packed, counts, ends, least)
+        for table in (packed, counts, words):
+            discard(table)
+        cuts = _cuts(coded, depth, codes, codes.root.tokens)
+        shared = _shared(cuts, depth)
+        dealt = coded.mapInArrow(lambda it: _deal(depth, codes.last, cuts, it), "part int, piece long, windows binary")
+        found = coded.mapInArrow(lambda it: _shared_runs(depth, codes.last, shared, it), "context int, symbol int, n long")
+        found = stored(found.groupBy("context", "symbol").agg(F.sum("n").alias("n")), "shared")
+        totals = found.groupBy("context").agg(F.lit(-1).alias("symbol"), F.sum("n").alias("n"))
+        extra = found.filter((F.col("symbol") > 0) & (F.col("n") >= codes.floor)).unionByName(totals)
+        where = spark.createDataFrame(shared.parts, "context int, low int, high int")
+        extra = extra.join(F.broadcast(where), "context").select(F.explode(F.sequence("low", "high")).alias("part"), "context", "symbol", "n")
+        sums = dealt.groupBy("part").cogroup(extra.groupBy("part")).applyInArrow(lambda a, b: _part_scored(codes, shared, depth, a, b), SUMS)
+        sums = stored(sums, "sums")
+        discard(found)
+        kept = [r["context"] for r in sums.filter(F.col("piece").isNull()).select("context").distinct().collect()]
+    kept = spark.createDataFrame([(x,) for x in (-1, *kept)], "context int")
+    used = sums.filter(F.col("piece").isNotNull()).join(F.broadcast(kept), "context", "left_semi").select("piece", "text", "score")
+    scored = coded.drop("codes").groupBy("piece").cogroup(used.groupBy("piece")).applyInArrow(_texts_scored, SCORES)
+    total = F.lit(codes.root.tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", total, F.col("base").alias("base_score"), "score")

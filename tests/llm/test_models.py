@@ -4,6 +4,7 @@ import itertools
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -210,6 +211,46 @@ def test_suffix_tree_equals_brute_force(spark, monkeypatch, depth):
     assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("runs", [40, 400])
+def test_suffix_tree_of_frequent_words_and_copies_in_many_parts(spark, monkeypatch, runs):
+    """Contexts that lie in several parts, even equal windows, are judged over all of them and kept where a longer one anywhere is."""
+    monkeypatch.setattr(suffix_tree, "SLICE_RUNS", runs)
+    rng = np.random.default_rng(5)
+    rows = [(i, "a b c d e f g h", bool(i % 4 == 0)) for i in range(60)] + [(60 + i, None if i % 2 else "", False) for i in range(30)]
+    rows += [(90, "a " * 300, False), (91, "a " * 40, True)]
+    for i in range(60):
+        tail = [f"w{x}" for x in rng.integers(0, 60, 12)] + ["x", "y", "z"] * int(rng.integers(0, 3))
+        parts = [x for w in tail for x in (("the", w) if rng.random() < 0.8 else ("of", "the", w))]
+        rows.append((100 + i, " ".join(parts), bool(i % 5 == 0)))
+    want, kept = python_tree_scores(rows, 4)
+    assert kept > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(4)
+    got = suffix_tree.score_texts(docs, F.col("held")).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-9)
+
+
+def test_suffix_tree_needs_little_disk(spark, monkeypatch):
+    """The tables written stay below 4.5 bytes a token at any time, and the session's settings are as before."""
+    here, most = {}, [0]
+
+    def measured(table, name, stored=suffix_tree.stored):
+        found = stored(table, name)
+        for file in found.inputFiles():
+            here[file.removeprefix("file://")] = None
+        most[0] = max(most[0], sum(Path(f).stat().st_size for f in here if Path(f).exists()))
+        return found
+
+    monkeypatch.setattr(suffix_tree, "stored", measured)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in (rng.random(10_000) ** 3 * 3000).astype(int))) for i in range(40)]
+    got = suffix_tree.score_texts(table(spark, rows), F.col("doc_id") % 7 == 2).collect()
+    tokens = sum(r["n_tokens"] for r in got)
+    assert tokens == 400_040 and most[0] < 4.5 * tokens, most[0] / tokens
+    assert spark.conf.get(key, None) == before
+
+
 def test_suffix_tree_edges(spark):
     docs = table(spark, EDGES)
     got = suffix_tree.score_texts(docs, F.col("doc_id") == 4).collect()
