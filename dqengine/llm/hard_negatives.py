@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dqengine.session import swept
+
 from .tables import ranked, stored
 
 CELL_ROWS = 1024  # rows that a cell holds on average
@@ -163,7 +165,7 @@ def _sequence(index: tuple, q: np.ndarray) -> Iterator[tuple[float, int]]:
 
 
 def _cells(index: tuple, first: int, late: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells that each anchor visits.
+    """The cells that each anchor visits, with the anchor's lot.
 
     Early, those that come first until ``first`` rows are seen; late, those that come after them, until the bound
     falls below the anchor's floor.
@@ -188,8 +190,9 @@ def _cells(index: tuple, first: int, late: bool, batches: Iterator[pa.RecordBatc
                 if n and own >= floor - 0.5:  # the cell's own radii are tighter
                     anchors.append(at)
                     found.append(cell)
+        at = pa.array(anchors, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("anchor").take(pa.array(anchors, pa.int64())), pa.array(found, pa.int32())], names=["anchor", "cell"]
+            [batch.column("anchor").take(at), batch.column("lot").take(at), pa.array(found, pa.int32())], names=["anchor", "lot", "cell"]
         )
 
 
@@ -278,7 +281,8 @@ def mine(
 
     Each of the two searches visits cells in the order of their bounds until ``first`` rows are seen, and then
     all cells whose bound reaches what was found (the last positive; the last negative of a window, or its
-    lower end): the rest is certified to hold nothing better, so the result is that of all pairs.
+    lower end): the rest is certified to hold nothing better, so the result is that of all pairs. No table that
+    grows with the anchors passes the driver.
 
     See ``usable`` for the rows that take no part. Equal rows count each, except that a repeated
     anchor is one anchor; an anchor without positives, or a window without rows, has no rows. Empty tables give
@@ -301,11 +305,17 @@ def mine(
 
     def visited(asked: DataFrame, late: bool, score, schema: str, name: str) -> DataFrame:
         """Blocks of the cells each anchor visits meet their anchors, some at a time."""
-        cells = asked.select("anchor", "v", "floor").mapInArrow(lambda it: _cells(index, first, late, it), "anchor long, cell int")
-        calls = stored(cells.join(places, "cell").select("anchor", F.col("block").alias("at")), "calls").join(asked, "anchor")
+        # few bytes but much work: a task for each core, not one for the file
+        dealt = asked.select("anchor", "lot", "v", "floor").repartition(asked.sparkSession.sparkContext.defaultParallelism)
+        cells = dealt.mapInArrow(lambda it: _cells(index, first, late, it), "anchor long, lot int, cell int")
+        # merge joins: a row for each anchor and cell, which the planner takes for a row for each anchor
+        with swept(asked.sparkSession):
+            calls = stored(cells.hint("merge").join(places, "cell").select("anchor", "lot", F.col("block").alias("at")), "calls")
         wanted = calls.select(F.col("at").alias("block"), F.col("lot").alias("batch")).distinct()
-        met = blocks.join(wanted, "block").groupBy("block", "batch").cogroup(calls.groupBy("at", "lot"))
-        return stored(met.applyInArrow(score, schema), name)
+        calls = calls.join(asked.drop("lot").hint("merge"), "anchor")
+        met = blocks.join(wanted.hint("merge"), "block").groupBy("block", "batch").cogroup(calls.groupBy("at", "lot"))
+        with swept(asked.sparkSession):
+            return stored(met.applyInArrow(score, schema), name)
 
     def best(found: DataFrame, keys: list[str], k: int) -> DataFrame:
         ranking = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "id")
@@ -316,7 +326,7 @@ def mine(
     near = lambda a, b: _positives(positives, a, b)
     early = visited(anchors.withColumn("floor", least), False, near, schema, "early")
     floors = best(early, ["anchor"], positives).filter(F.col("rank") == positives).select("anchor", F.col("score").alias("floor"))
-    asked = anchors.join(stored(floors, "floors"), "anchor", "left").withColumn("floor", F.coalesce("floor", least))
+    asked = anchors.join(stored(floors, "floors").hint("merge"), "anchor", "left").withColumn("floor", F.coalesce("floor", least))
     late = visited(stored(asked, "asked"), True, near, schema, "late")
     chosen = best(early.unionByName(late), ["anchor"], positives).withColumnRenamed("rank", "window")
     # 100 * score between low and high percent of the positive's, in whole numbers
@@ -331,15 +341,16 @@ def mine(
         if found is not None:
             last = best(found, ["anchor", "window"], negatives).filter(F.col("rank") == negatives)
             last = stored(last.select("anchor", "window", F.col("score").alias("last")), "last")
-            part = windows.join(last, ["anchor", "window"], "left").withColumn("floor", F.coalesce("last", "low"))
+            part = windows.join(last.hint("merge"), ["anchor", "window"], "left").withColumn("floor", F.coalesce("last", "low"))
         lists = part.groupBy("anchor").agg(
             F.collect_list(F.struct("window", "low", "high", "floor")).alias("windows"), F.min("floor").alias("floor")
         )
-        asked = stored(lists.join(anchors, "anchor"), "asked")
+        asked = stored(lists.join(anchors.hint("merge"), "anchor"), "asked")
         schema = f"anchor long, window int, id {kinds['vec_id']}, score long"
         return visited(asked, late, lambda a, b: _negatives(negatives, a, b), schema, "negatives")
 
     early = in_windows(None, False)
     found = best(early.unionByName(in_windows(early, True)), ["anchor", "window"], negatives)
-    named = found.join(windows, ["anchor", "window"]).join(anchors.select("anchor", F.col("vec_id").alias("anchor_id")), "anchor")
+    ids = anchors.select("anchor", F.col("vec_id").alias("anchor_id"))
+    named = found.join(windows.hint("merge"), ["anchor", "window"]).join(ids.hint("merge"), "anchor")
     return named.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -11,16 +11,17 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqengine.session import swept
+
 from .tables import discard, ranked, stored
 from .text import BLANKS, LOWER, look_up, mix, pieces, signed, string_bytes, word_hashes, words
 
@@ -532,21 +533,6 @@ def _encode(packed: DataFrame, counts: DataFrame, ends: int, least: float) -> tu
     return codes, coded, ranked_words
 
 
-@contextmanager
-def _swept(spark: SparkSession) -> Iterator[None]:
-    """While this holds, shuffle files go when the write that needed them ends."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def _nodes(codes: Codes, depth: int, hashes: np.ndarray, windows: pa.Table) -> pa.Table:
     """(length, key, left, share) of the contexts that stay and of their runs, when all windows are in one part."""
     columns, _ = _gathered(windows, depth)
@@ -610,7 +596,7 @@ def score_texts(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    with _swept(spark):
+    with swept(spark):
         packed = stored(rows.mapInArrow(_pack, PACKED), "packed")
         listed = packed.select("piece", "words", "n").mapInArrow(_listed, "piece long, place int, word long, n long")
         counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")), "words")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dqengine.session import discard
 from dqengine.session import written as stored
 
 __all__ = ["stored", "discard", "fold", "ascii_lower", "ranked", "WORD", "BLANK_CHARS"]
@@ -13,14 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"  # a word of the contracts
 BLANK_CHARS = " \t\n\x0b\f\r"
 
 
-def discard(table: DataFrame) -> None:
-    """Remove the files of a ``stored`` table that nothing reads any more."""
-    jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
-
-
 def fold(id_col: str | Column, buckets: int) -> Column:
     """crc32 of the id as text modulo ``buckets``; a missing id falls in no bucket (-1)."""
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), "utf-8")), F.lit(buckets)), F.lit(-1)).cast("int")

@@ -131,6 +131,29 @@ def test_negatives_edges(spark):
     assert mined(big) == [(0, 1, 1, 2, 8 * 1024000**2, score)]
 
 
+def test_negatives_send_no_table_of_the_anchors_through_the_driver(spark, monkeypatch):
+    plans, write = {}, hard_negatives.stored
+
+    def kept(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(hard_negatives, "stored", kept)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 62))  # whatever may be broadcast is
+    try:
+        got = hard_negatives.mine(frame, F.col("vec_id") % 10 == 0)
+        plans["result"] = [got._jdf.queryExecution().executedPlan().toString()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    grown = ["calls", "early", "late", "negatives", "floors", "asked", "windows", "last", "result"]
+    assert not [name for name in grown for p in plans[name] if "BroadcastExchange" in p]
+    assert all("RepartitionByNum" in p or "REPARTITION_BY_NUM" in p for p in plans["calls"])  # visits are many tasks
+
+
 def test_bounds_cover_every_row():
     draw = np.random.default_rng(1)
     v = draw.integers(-100, 100, (300, 6)).astype(float)
