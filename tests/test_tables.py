@@ -649,6 +649,38 @@ def test_mixed_types_keep_cells_in_place(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_near_documents_write_what_may_link(spark, monkeypatch):
+    """Shingles are kept for texts that share a band, and pairs for those whose sketches allow the similarity."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared, twin = fresh(70), fresh(100)
+    half = [shared + fresh(30) for _ in range(40)]  # about 0.5 similar, so that nearly all pairs meet in some band
+    rows = [*half, *[fresh(100) for _ in range(40)], twin, [*twin, "more"]]
+    seen, compared = [], similar._compared
+
+    def kept(pairs, sets):
+        seen.append((pairs.count(), sets.count()))
+        return compared(pairs, sets)
+
+    monkeypatch.setattr(similar, "_compared", kept)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "id long, body string")
+    got = similar.near_documents(df, "id", "body")
+    assert {tuple(r) for r in got.collect()} == {(i, min(i, 80), 2 if i >= 80 else 1) for i in range(82)}
+    assert seen[0][0] == 1 and sum(n for n, _ in seen) < 5
+    assert all(n <= 42 for _, n in seen)
+
+
+def test_sketches_never_differ_by_more_than_the_sets(spark):
+    rng = random.Random(6)
+    pairs = [({rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)}, extra) for n in (0, 1, 50, 3000) for extra in (0, 1, 40, 5000)]
+    rows = [(list(a), [*list(a)[extra // 2 :], *range(extra)], len(set(list(a)[: extra // 2]) ^ set(range(extra)))) for a, extra in pairs]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, differ int")
+    got = df.select("differ", similar.sketches(F.col("a")).alias("a"), similar.sketches(F.col("b")).alias("b")).collect()
+    for differ, a, b in got:
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+        assert len(a) == len(b) == similar.SKETCH_BITS // 64 and bits <= differ and bits % 2 == differ % 2 and (bits > 0 or not differ)
+
+
 def test_near_documents_send_no_side_through_the_driver(spark, monkeypatch):
     plans = []
 
